@@ -10,7 +10,13 @@ from checks.base import (
     UNEVEN_DIMENSION,
     values_sql,
 )
-from pairloom.functions.text import STRIP_PATTERN
+
+# What Python's str.strip() removes, as a regex class
+WHITESPACE = (
+    r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
+STRIP_PATTERN = rf"\A{WHITESPACE}|{WHITESPACE}\z"
 
 IDS = "lang_pair, ord, source_id, target_id, source_lang, target_lang"
 
@@ -263,7 +269,9 @@ WHERE source_lang = 'eng' AND target_lang IN ('fra', 'spa')""",
   source_lang || '_Latn' AS source_lang, target_lang || '_Latn' AS target_lang FROM pairs
 WHERE source_lang = 'eng' AND contains('xdeu_Latn,fra_Latn', target_lang || '_Latn')""",
     "wide_eval": f"WITH {_WIDE} SELECT ord, source_lang, target_lang, {MD5S} FROM sides",
-    "head_per_pair": f"WITH {PAIRS_SQL} SELECT {IDS} FROM pairs WHERE ord < 40",
+    "head_per_pair": f"""WITH {PAIRS_SQL}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang_pair ORDER BY ord) AS place FROM pairs)
+SELECT {IDS} FROM ranked WHERE place <= 40""",
     "dense_renumber": f"""WITH {PAIRS_SQL} SELECT lang_pair, ord AS old_ord,
   row_number() OVER (PARTITION BY lang_pair ORDER BY ord) - 1 AS ord FROM pairs WHERE score >= 0.5""",
     "interleave": f"WITH {_INTERLEAVED} SELECT pos, lang_pair, ord FROM mixed",

@@ -29,7 +29,7 @@ from pairloom.sources import cache as cache_source
 from pairloom.sources import codes as code_source
 from pairloom.sources import files, scores, tables
 from pairloom.streaming import pairs as streams
-from pairloom.workspace import new_dir
+from pairloom.workspace import cut_lineage, new_dir
 
 THRESHOLD = 0.95
 LOOSE_THRESHOLD = 0.5
@@ -46,7 +46,8 @@ def joined(ids_column: str):
 def write_line_files(spark: SparkSession, sf_dir: str) -> str:
     """The pairs as aligned line files, each side a folder of part files."""
     root = new_dir(spark, "lines")
-    turned = orient.orient(pairs(spark, sf_dir), ANCHOR, SIDES)
+    # written once, read for every side
+    turned = cut_lineage(orient.orient(pairs(spark, sf_dir), ANCHOR, SIDES))
     sizes = {r.lang_pair: r.n for r in order.key_sizes(turned).collect()}
     for pair in PAIRS:
         first, _ = pair.split("-")

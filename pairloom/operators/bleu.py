@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.tokens import ngrams
+from pairloom.functions.tokens import gram_key
+
+#: Each token makes this many gram rows, over all orders and both sides.
+_GROWTH = 8
 
 TOKEN_SEPARATOR = r"[ \t\r\n]+"
 
 
 def tokens(text: str) -> Column:
-    return F.filter(F.split(F.col(text), TOKEN_SEPARATOR), lambda t: t != "")
-
-
-def _grams(tokenised: Column, max_n: int) -> Column:
-    # the length of a gram tells its order, so one array holds all orders
-    return F.concat(*(ngrams(tokenised, n) for n in range(1, max_n + 1)))
+    return F.array_remove(F.split(F.col(text), TOKEN_SEPARATOR), "")
 
 
 def bleu_counts(df: DataFrame, group: str, max_n: int = 4) -> DataFrame:
@@ -26,22 +24,34 @@ def bleu_counts(df: DataFrame, group: str, max_n: int = 4) -> DataFrame:
     shuffled once; its n-grams, several times the size of the text, are made and counted
     behind that shuffle. A large group is no hot key, as segments are what is spread.
     """
+    # A fixed number of partitions: adaptive execution would merge them by the size of
+    # the texts, not knowing how many n-grams follow.
+    parts = _GROWTH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segments = (
         df.select("segment_id", group, "hypothesis", "reference")
-        .repartition("segment_id")
+        .repartition(parts, "segment_id")
         .select("segment_id", group, tokens("hypothesis").alias("_h"), tokens("reference").alias("_r"))
     )
     sides = F.array(
-        F.struct(_grams(F.col("_h"), max_n).alias("grams"), F.lit(1).alias("h"), F.lit(0).alias("r")),
-        F.struct(_grams(F.col("_r"), max_n).alias("grams"), F.lit(0).alias("h"), F.lit(1).alias("r")),
+        F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), F.col("_h").alias("t1")),
+        F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), F.col("_r").alias("t1")),
     )
+    names = [f"t{i}" for i in range(1, max_n + 1)]
+    shifted = {
+        name: F.slice("t1", i, F.greatest(F.size("t1"), F.lit(1)))
+        for i, name in enumerate(names[1:], start=2)
+    }
+    keys = F.array(*(gram_key([F.col(t) for t in names[:n]]) for n in range(1, max_n + 1)))
     per_gram = (
-        segments.select("segment_id", group, F.explode(sides).alias("side"))
+        # zipped with its own tails, every token meets the ones after it in generated
+        # code; a lambda over positions would be interpreted
+        segments.select("segment_id", group, F.inline(sides))
+        .withColumns(shifted)
         # outer: a group whose texts are all empty is still a group
-        .select("segment_id", group, "side.h", "side.r", F.explode_outer("side.grams").alias("gram"))
-        .groupBy("segment_id", group, "gram")
+        .select("segment_id", group, "h", "r", F.inline_outer(F.arrays_zip(*names)))
+        .select("segment_id", group, "h", "r", F.inline(keys))
+        .groupBy("segment_id", group, "n", "a", "b")
         .agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-        .withColumn("n", F.when(F.col("gram").isNull(), 0).otherwise(F.size("gram")))
     )
 
     def total(n: int, value: Column) -> Column:

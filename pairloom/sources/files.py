@@ -113,7 +113,7 @@ def block_bound(spark: SparkSession, sizes: list[int]) -> int:
     conf = spark.conf
     most = _bytes(conf.get("spark.sql.files.maxPartitionBytes", "134217728b"))
     open_cost = _bytes(conf.get("spark.sql.files.openCostInBytes", "4194304b"))
-    cores = int(conf.get("spark.sql.files.minPartitionNum", "0") or 0)
+    cores = int(conf.get("spark.sql.files.minPartitionNum", None) or 0)
     cores = cores or spark.sparkContext.defaultParallelism
     # the cluster may grow until the job runs
     share = sum(s + open_cost for s in sizes) / (4 * cores)
