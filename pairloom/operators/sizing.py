@@ -16,7 +16,7 @@ from pairloom.workspace import cut_lineage
 BROADCAST_ROWS = 200_000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it to a
     shuffle join. Use it on narrow rows only."""
     summary = settle(df, max_rows)
@@ -30,13 +30,14 @@ class Summary(NamedTuple):
     small: bool
 
 
-def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> Summary:
+def settle(df: DataFrame, max_rows: int | None = None) -> Summary:
     """Compute a summary (counts per key or per block) once, for plans that use it more
     than once or need to know its size.
 
-    Up to ``max_rows`` it becomes a local table, which the optimizer knows the size of;
+    Up to ``max_rows`` (``BROADCAST_ROWS``) it becomes a local table, which the optimizer knows the size of;
     a larger one is checkpointed to shared storage and stays distributed.
     """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
         return Summary(local_table(df.sparkSession, head, df.schema), True)
