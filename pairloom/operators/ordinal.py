@@ -8,17 +8,24 @@ counts, so that one pair holding a third of all rows still spreads over the clus
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.sizing import BROADCAST_ROWS, Summary, settle
+from pairloom.operators.sizing import Summary, settle
 
 #: Order values per numbering block: the most rows one sort group can hold.
 BLOCK_WIDTH = 100_000
 
+#: Slots of a run when a large table of counts is summed in two levels.
 _FAN = 4096
 
+#: File blocks up to which their offsets are broadcast: some 100 MB of short rows, and with
+#: blocks of 128 MB the offsets of 128 TB of text, which is then not shuffled for it.
+BROADCAST_BLOCKS = 1_000_000
+
 
 def div(value: Column | str, by: int) -> Column:
     """Whole-number division; ``/`` would go through doubles."""
@@ -56,9 +63,15 @@ def _sum_before(value: str, keys: Sequence[Column | str], *order: Column | str)
 
 
 def slot_counts(df: DataFrame, keys: Sequence[str], slot: Column) -> Summary:
-    """``keys, _slot, n``: rows per slot, counted once."""
+    """``keys, _slot, n``: rows per slot, counted once.
+
+    A row without a key or a position has no place. The count sees every row, so it is
+    here that one is an error.
+    """
+    placed = reduce(and_, (c.isNotNull() for c in (slot, *map(F.col, keys))))
+    checked = df.filter(F.assert_true(placed, F.lit("a row lacks its key or position")).isNull())
     by = [*keys, slot.cast("long").alias("_slot")]
-    return settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    return settle(checked.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
 
 
 def rank_in_slots(
@@ -105,7 +118,7 @@ def dense_ordinal(
     counts: Summary | None = None,
 ) -> DataFrame:
     """Renumber each key 0..n-1 by the integer column ``order``, which must be unique
-    within the key. Keys must not be null."""
+    within the key. A null key or position is an error."""
     return rank_in_slots(df, keys, div(order, width), [order], out, counts)
 
 
@@ -135,7 +148,7 @@ def with_ordinal(
     # shard names are numbered with at least five digits: longer means later
     earlier = _sum_before("_n", keys, F.length("shard"), "shard", "block")
     offsets = blocks.withColumn("_offset", earlier)
-    if max_blocks is not None and max_blocks <= BROADCAST_ROWS:
+    if max_blocks is not None and max_blocks <= BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
     step = F.col("seq") - F.col("_first")
     joined = lines.join(offsets, block_keys, "left")

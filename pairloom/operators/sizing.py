@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,10 +39,15 @@ def settle(df: DataFrame, max_rows: int | None = None) -> Summary:
     a larger one is checkpointed to shared storage and stays distributed.
     """
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return Summary(local_table(df.sparkSession, head, df.schema), True)
-    return Summary(cut_lineage(df), False)
+    # kept until it is stored, so that a large summary is not computed a second time
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        head = kept.limit(max_rows + 1).toArrow()
+        if head.num_rows <= max_rows:
+            return Summary(local_table(df.sparkSession, head, df.schema), True)
+        return Summary(cut_lineage(kept), False)
+    finally:
+        kept.unpersist()
 
 
 def local_table(spark: SparkSession, rows: pa.Table | list[tuple], schema: StructType) -> DataFrame:

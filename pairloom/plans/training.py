@@ -54,31 +54,34 @@ def resolve_languages(
     anchor_code = resolve_anchor(dim, anchor)
     base = anchor_code.split("_")[0]
     literal = match == "substring"
-    catalog = settle(catalog.select("lang_pair").distinct()).df
     sided = (
-        catalog.filter(names_code("lang_pair", [base], match))
+        catalog.select("lang_pair")
+        .distinct()
+        .filter(names_code("lang_pair", [base], match))
         .select("lang_pair", other_side("lang_pair", base, literal).alias("code"))
         # a pair of the anchor with itself has no other side
         .filter((F.col("code") != "") & (F.col("code") != base))
     )
-    requested = sided.select("code") if targets is None else targets
-    unknown = uncovered(requested, catalog, match).limit(100).collect()
-    if unknown:
-        raise ValueError(f"no data for languages: {sorted(r.code for r in unknown)}")
+    # names of pairs are file-system metadata; a reader needs them here to prune folders
+    sided = settle(sided).df
+    if targets is None:
+        requested = sided.select("code").distinct()
+    else:
+        requested = targets.select("code").distinct()
+        unknown = uncovered(requested, catalog, match).limit(100).collect()
+        if unknown:
+            raise ValueError(f"no data for languages: {sorted(r.code for r in unknown)}")
     covered, matching = intersecting(requested, dim)
-    wanted = sided.join(matching, "code", "left_semi")
-    states = match_status(wanted, dim)
-    kept = states.filter("status = 'one'").select("lang_pair")
-    unclear = states.filter("status = 'ambiguous'").select("code").distinct()
-    dropped = dim.join(
-        unclear, F.split_part("script_code", F.lit("_"), F.lit(1)) == unclear["code"], "left_semi"
-    )
+    wanted = match_status(sided.join(matching, "code", "left_semi"), dim).collect()
+    unclear = {r.code for r in wanted if r.status == "ambiguous"}
     return Languages(
         anchor=base,
         anchor_code=anchor_code,
         covered=sorted(r.script_code for r in covered.collect()),
-        pairs=sorted(r.lang_pair for r in kept.collect()),
-        ambiguous=sorted(r.script_code for r in dropped.collect()),
+        pairs=sorted(r.lang_pair for r in wanted if r.status == "one"),
+        ambiguous=sorted(
+            r.script_code for r in dim.collect() if r.script_code.split("_")[0] in unclear
+        ),
     )
 
 

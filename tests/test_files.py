@@ -102,7 +102,7 @@ def test_uneven_sides(spark, root):
 def test_lines_keep_their_number_over_many_blocks(spark, root, conf, monkeypatch, bound):
     import pairloom.operators.ordinal as ordinal
 
-    monkeypatch.setattr(ordinal, "BROADCAST_ROWS", bound)  # 0: not broadcast by hint
+    monkeypatch.setattr(ordinal, "BROADCAST_BLOCKS", bound)  # 0: not broadcast by hint
     conf("spark.sql.files.maxPartitionBytes", "4096")
     conf("spark.sql.files.openCostInBytes", "64")
     n = 5000

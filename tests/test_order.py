@@ -44,6 +44,13 @@ def test_dense_ordinal(spark, either_way, width):
     assert all(expected[r.k][r.new] == r.ord for r in got)
 
 
+def test_a_row_without_a_place_is_an_error(spark):
+    for data in ([("a", None)], [(None, 1)]):
+        df = spark.createDataFrame(data, "k string, ord long")
+        with pytest.raises(Exception, match="lacks its key or position"):
+            ordinal.dense_ordinal(df, ["k"])
+
+
 def test_offsets_over_many_slots(spark, monkeypatch):
     monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(ordinal, "_FAN", 8)
