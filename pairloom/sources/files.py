@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from pairloom.functions.text import canonical_split, is_pair_name, left_code, right_code, strip_text
 from pairloom.operators.align import unmatched_counts, zip_sides
@@ -63,19 +63,19 @@ def choose_files(catalog: DataFrame, dev: str = "fallback") -> DataFrame:
         catalog = catalog.filter(F.col("split") != "dev")
     elif dev != "fallback":
         raise ValueError(f"unknown dev handling: {dev}")
-    both = (
-        catalog.groupBy("lang_pair", "split")
-        .agg(F.count_distinct("side").alias("_sides"))
-        .filter("_sides = 2")
-    )
-    usable = catalog.join(both, ["lang_pair", "split"], "left_semi")
-    form = usable.groupBy("lang_pair", "split", "side").agg(F.min("is_gz").alias("is_gz"))
-    usable = usable.join(form, ["lang_pair", "split", "side", "is_gz"], "left_semi")
-    # val > dev
-    named = usable.withColumn("_stored", canonical_split("split"))
-    source = named.groupBy("lang_pair", "_stored").agg(F.max("split").alias("split"))
+    group = ["lang_pair", "_stored"]
+    in_split = Window.partitionBy(*group, "split")
+    in_side = Window.partitionBy(*group, "split", "side")
     return (
-        named.join(source, ["lang_pair", "_stored", "split"], "left_semi")
+        catalog.withColumn("_stored", canonical_split("split"))
+        # one shuffle serves all three windows
+        .repartition(*group)
+        .withColumn("_sides", F.size(F.collect_set("side").over(in_split)))
+        .withColumn("_form", F.min("is_gz").over(in_side))
+        .filter((F.col("_sides") == 2) & (F.col("is_gz") == F.col("_form")))
+        # val > dev
+        .withColumn("_best", F.max("split").over(Window.partitionBy(*group)))
+        .filter(F.col("split") == F.col("_best"))
         .withColumn("split", F.col("_stored"))
         .select(*catalog.columns)
     )
