@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.operators.ordinal import BLOCK_WIDTH, div, rank_in_slots
-from pairloom.operators.sizing import small_side
+from pairloom.operators.sizing import settle
 
 
 def union_pairs(dfs: Iterable[DataFrame]) -> DataFrame:
@@ -29,23 +29,23 @@ def interleave(
     runs out. Adds ``pos``; ``order`` must be dense from 0 within the key.
 
     A row's place follows from its own position, the number of keys and the smallest
-    key, so nothing is sorted and, with a small number of keys, nothing shuffled.
+    key, so nothing is sorted and, with a small number of keys, nothing shuffled. The
+    smallest key is known before the rows are read: of a store, which is sorted by
+    position, the row groups behind it are skipped.
+
     ``sizes`` (``key, n``) can come from a cheaper place than ``df``, such as the counts
     of the table before it was renumbered.
     """
-    sizes = key_sizes(df, key) if sizes is None else sizes.select(key, "n")
-    whole = Window.partitionBy(F.lit(0))
-    turns = sizes.select(
-        key,
-        (F.row_number().over(whole.orderBy(key)) - 1).alias("_turn"),
-        F.count(F.lit(1)).over(whole).alias("_k"),
-        F.min("n").over(whole).alias("_rounds"),
+    sizes = settle(key_sizes(df, key) if sizes is None else sizes.select(key, "n"))
+    total = sizes.df.agg(F.count(F.lit(1)).alias("keys"), F.min("n").alias("rounds")).first()
+    turns = sizes.df.select(
+        key, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).alias("_turn")
     )
     return (
-        df.join(small_side(turns), key)
-        .filter(F.col(order) < F.col("_rounds"))
-        .withColumn("pos", (F.col(order) * F.col("_k") + F.col("_turn")).cast("long"))
-        .drop("_turn", "_k", "_rounds")
+        df.filter(F.col(order) < F.lit(total.rounds or 0))
+        .join(F.broadcast(turns) if sizes.small else turns, key)
+        .withColumn("pos", (F.col(order) * total.keys + F.col("_turn")).cast("long"))
+        .drop("_turn")
     )
 
 

@@ -9,6 +9,7 @@ from pairloom.operators import order, select
 from pairloom.operators.align import zip_sides
 from pairloom.operators.orient import orient, recode
 from pairloom.operators.bleu import bleu_counts
+from pairloom.operators.ordinal import head_per_pair
 from pairloom.schema import STORED_PAIR
 from pairloom.sinks import write_pairs
 from pairloom.sources.codes import code_dimension
@@ -40,6 +41,10 @@ def test_store_reads_prune_folders_and_columns(spark, store):
     assert re.search(r"ReadSchema: struct<source_text:string>", p)
 
 
+def test_first_rows_skip_row_groups(spark, store):
+    assert "LessThan(ord,40)" in plan(head_per_pair(read_pairs(spark, store), 40))
+
+
 def test_flat_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "flat")
     spark.createDataFrame([("a", "b", "x", "y")], "src_text string, tgt_text string, src_lang string, tgt_lang string").write.parquet(path)
@@ -56,6 +61,7 @@ def test_normalising_does_not_shuffle(spark, store):
 
 def test_interleave_does_not_shuffle(spark, store):
     p = plan(order.interleave(read_pairs(spark, store)))
+    assert "LessThan(ord,1000)" in p
     scan_side = p[: p.index("BroadcastExchange")]
     assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in scan_side
 
