@@ -97,10 +97,5 @@ def model_key(name: str) -> str:
     return name.replace("/", "-")
 
 
-def code_list(codes: str) -> list[str]:
-    """A comma-separated request as a list; an empty request is an empty list."""
-    return [c for c in (part.strip() for part in codes.split(",")) if c]
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

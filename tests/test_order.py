@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 import pairloom.operators.order as order
 import pairloom.operators.ordinal as ordinal
 import pairloom.operators.sizing as sizing
-from pairloom.sinks import write_ordered  # noqa: F401
 
 
 @pytest.fixture(params=["broadcast", "distributed"])
