@@ -36,7 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[_LOWER]
+_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_FOLDED_CODE = _BYTE_CODE[_LOWER]
 _PLACE = mix(np.arange(901, 901 + 2 * SHINGLE_WORDS, dtype=np.uint64)) | _U(1)
 _BASE = 0x9E3779B97F4A7C17 | 3
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -97,14 +98,17 @@ def word_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-def word_hashes(texts: Texts, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased.
+def word_hashes(
+    texts: Texts, begin: np.ndarray, end: np.ndarray, fold: bool = True
+) -> np.ndarray:
+    """A 64-bit hash of each span, with A-Z lower-cased if ``fold``.
 
     One polynomial over all bytes, as running sums; a word's part of it is divided by the
     power of its place (the base is odd, so it has an inverse), which makes it the word's own.
     """
     sums = np.zeros(len(texts.data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[texts.data] * _power(_BASE, len(texts.data)), out=sums[1:])
+    code = _FOLDED_CODE if fold else _BYTE_CODE
+    np.cumsum(code[texts.data] * _power(_BASE, len(texts.data)), out=sums[1:])
     own = (sums[end] - sums[begin]) * _power(_BASE_INV, len(texts.data) + 1)[begin]
     return mix(own + (end - begin).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
