@@ -98,19 +98,30 @@ def word_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
+def span_hashes(texts: Texts, fold: bool = True):
+    """A function from begins and ends of spans to their 64-bit hashes, with A-Z lower-cased if
+    ``fold``.
+
+    One polynomial over all bytes, as running sums; a span's part of it is divided by the power
+    of its place (the base is odd, so it has an inverse), which makes it the span's own.
+    """
+    n = len(texts.data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((_FOLDED_CODE if fold else _BYTE_CODE)[texts.data] * _power(_BASE, n), out=sums[1:])
+    unshift = _power(_BASE_INV, n + 1)
+
+    def hashes(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        own = (sums[end] - sums[begin]) * unshift[begin]
+        return mix(own + (end - begin).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+    return hashes
+
+
 def word_hashes(
     texts: Texts, begin: np.ndarray, end: np.ndarray, fold: bool = True
 ) -> np.ndarray:
-    """A 64-bit hash of each span, with A-Z lower-cased if ``fold``.
-
-    One polynomial over all bytes, as running sums; a word's part of it is divided by the
-    power of its place (the base is odd, so it has an inverse), which makes it the word's own.
-    """
-    sums = np.zeros(len(texts.data) + 1, np.uint64)
-    code = _FOLDED_CODE if fold else _BYTE_CODE
-    np.cumsum(code[texts.data] * _power(_BASE, len(texts.data)), out=sums[1:])
-    own = (sums[end] - sums[begin]) * _power(_BASE_INV, len(texts.data) + 1)[begin]
-    return mix(own + (end - begin).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span."""
+    return span_hashes(texts, fold)(begin, end)
 
 
 class Shingles(NamedTuple):
