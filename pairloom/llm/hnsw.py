@@ -40,7 +40,7 @@ BLOCK_QUERIES = 4096
 #: Neighbours of a node (twice as many at the bottom) and breadth of searches.
 M = 16
 EF_BUILD = 64
-EF = 96
+EF = 128
 
 _U = np.uint64
 
