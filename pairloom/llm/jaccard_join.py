@@ -55,7 +55,7 @@ SEND = 3_000_000
 RANGE = 2_000_000
 BLOCK = 2_000_000
 #: Sets a block of a cluster holds.
-BLOCK_SETS = 4096
+BLOCK_SETS = 1024
 
 _U = np.uint64
 
@@ -292,30 +292,41 @@ def _open_sets(table: pa.Table, parts: int) -> pa.Table:
 # 4. DivideSkip -------------------------------------------------------------------------
 
 
-def _merge(lists: list[np.ndarray], least: int) -> Iterator[tuple[int, int]]:
-    """(id, number of lists) of the ids in at least ``least`` of the sorted lists: heap merge
-    that, when the smallest id is too rare, skips all lists to the next one that could do."""
-    runs = [x.tolist() for x in lists if len(x)]
-    heap = [(x[0], i, 0) for i, x in enumerate(runs)]
+#: Entries up to which lists are merged by a heap; longer ones are sorted together, which gives
+#: the same ids and counts.
+HEAP_ENTRIES = 2000
+
+
+def _merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in at least ``least`` of the sorted lists, and in how many: heap merge that, when the
+    smallest id is too rare, skips all lists to the next one that could do."""
+    if sum(map(len, lists)) > HEAP_ENTRIES:
+        ids, count = np.unique(np.concatenate(lists), return_counts=True)
+        return ids[count >= least], count[count >= least]
+    runs = [x.tolist() for x in lists]
+    heap = [(x[0], i, 0) for i, x in enumerate(runs) if x]
     heapq.heapify(heap)
+    ids, count = [], []
     while len(heap) >= least:
         top = heap[0][0]
         popped = []
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap))
+        to = top + 1
         if len(popped) >= least:
-            yield top, len(popped)
-            to = top + 1
+            ids.append(top)
+            count.append(len(popped))
         else:
             while heap and len(popped) < least - 1:
                 popped.append(heapq.heappop(heap))
             if not heap:
-                return
-            to = heap[0][0]
+                break
+            to = max(to, heap[0][0])
         for _, i, at in popped:
             at = bisect_left(runs[i], to, at)
             if at < len(runs[i]):
                 heapq.heappush(heap, (runs[i][at], i, at))
+    return np.array(ids, np.int64), np.array(count, np.int64)
 
 
 def spanning_links(
@@ -343,31 +354,29 @@ def spanning_links(
         lo = int(np.searchsorted(n, -(-percent * int(n[q]) // 100)))
         if lo >= q or lengths[q] < t:
             continue
-        lists = []
-        for w in term[ptr[q] : ptr[q + 1]]:
+        terms = term[ptr[q] : ptr[q + 1]]
+        terms = terms[np.argsort(list_ptr[terms + 1] - list_ptr[terms], kind="stable")]
+        # as many long lists as leave one that a partner must be in: each partner is in t lists
+        n_long = t - 1
+        short = [members[list_ptr[w] : list_ptr[w + 1]] for w in terms[: len(terms) - n_long]]
+        short = [x[np.searchsorted(x, lo) : np.searchsorted(x, q)] for x in short]
+        found, count = _merge([x[root[x] != root[q]] for x in short], t - n_long)
+        if sides is not None:
+            found, count = found[sides[found] != sides[q]], count[sides[found] != sides[q]]
+        need = -(-percent * (n[q] + n[found]) // (100 + percent))
+        left = n_long
+        for w in terms[len(terms) - n_long :]:
+            if not len(found):
+                break
+            able = count + left >= need
+            if not able.all():
+                found, count, need = found[able], count[able], need[able]
             x = members[list_ptr[w] : list_ptr[w + 1]]
-            x = x[np.searchsorted(x, lo) : np.searchsorted(x, q)]
-            x = x[root[x] != root[q]]
-            if sides is not None:
-                x = x[sides[x] != sides[q]]
-            if len(x):
-                lists.append(x)
-        if len(lists) < t:
-            continue
-        lists.sort(key=len)
-        n_long = t - 1  # as many lists as leave one common short list
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        for r, found in _merge(short, t - n_long):
-            if root[r] == root[q]:
-                continue
-            left = len(long)
-            for x in long:  # the shorter first
-                if found + left < t:
-                    break
-                at = int(x.searchsorted(r))
-                found += at < len(x) and x[at] == r
-                left -= 1
-            if 100 * found >= percent * (n[q] + n[r] - found):
+            at = np.minimum(np.searchsorted(x, found), len(x) - 1)
+            count = count + (x[at] == found)
+            left -= 1
+        for r in found[count >= need].tolist():
+            if root[r] != root[q]:
                 links.append((int(order[r]), int(order[q])))
                 root[root == root[r]] = root[q]
     return links
