@@ -1,24 +1,85 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: from raw documents to sampled pieces.
+
+Every stage takes what its predecessor wrote and returns the columns of its input, but for the last one,
+which returns pieces. Nothing is kept by path or sampled; a stage that removes documents removes only those that its
+operator rejects.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm.jaccard_join import jaccard_components
+from pairloom.llm.language_id import prediction
+from pairloom.llm.mixing import TARGETS, copies, mix
+from pairloom.llm.pieces import encode
+from pairloom.llm.secrets import redact_secrets
+from pairloom.operators.sizing import small_side
+from pairloom.workspace import cut_lineage, new_dir
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or no letter in it) go."""
+    return docs.filter(prediction(docs)["lang_pred"] != "und")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one with the smallest id."""
-    groups = jaccard_components(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi")
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Rows that repeat both id and text count once. Rows without an id stay, as nothing can name them. The ids
+    to remove are broadcast if they are few, else joined by shuffle.
+    """
+    groups = cut_lineage(jaccard_components(docs))
+    gone = small_side(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    repeated = small_side(repeated.select("doc_id"))
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; no document goes."""
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document is repeated, or left out, as its rate says. Rows of one id get the same rate; rows without
+    an id stay once."""
+    rates = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    times = rates.groupBy("doc_id").agg(F.max(copies(F.col("rate"))).alias("_times"))
+    mixed = docs.join(times, "doc_id", "left")
+    often = F.array_repeat(F.lit(1), F.coalesce("_times", F.lit(1)))
+    return mixed.select(*docs.columns, F.explode(often).alias("_one")).drop("_one")
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode(docs)
+
 
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("pieces", pieces),
+]
 
-STAGES = [("near_duplicates", near_duplicates)]
+#: Graph search over shingle sets, a trained language model and sampling have no SQL form; the stages
+#: are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = new_dir(spark, f"pipeline-{i}-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
