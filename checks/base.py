@@ -79,12 +79,21 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ids(df: DataFrame, *more: str) -> DataFrame:
+ID_COLUMNS = ["lang_pair", "ord", "source_id", "target_id", "source_lang", "target_lang"]
+TEXTS = ["source_text", "target_text"]
+
+
+def hashed(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns beside the MD5 of both texts."""
     return df.select(
-        "lang_pair", "ord", "source_id", "target_id", "source_lang", "target_lang", *more
+        *columns, F.md5("source_text").alias("source_md5"), F.md5("target_text").alias("target_md5")
     )
 
 
+def ids(df: DataFrame, *more: str) -> DataFrame:
+    return hashed(df, *ID_COLUMNS, *more)
+
+
 # The same tables in SQL. Numbered tables are materialised: DuckDB 2.0 mistakes
 # ``row_number() - 1 < n`` for a filter on ``row_number()`` when it merges the two.
 

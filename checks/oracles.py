@@ -118,7 +118,7 @@ _TOKENS = (
     _POSITIONS
     + """, rows AS (
   SELECT pos, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids,
-         list_transform(string_split(string_split(text, chr(10))[1], ' '), lambda w: length(w)) AS labels
+         list_transform(string_split(text, chr(10)), lambda w: length(w)) AS labels
   FROM numbered)"""
 )
 
@@ -170,9 +170,16 @@ turns AS (
 mixed AS (
   SELECT ord * k + turn AS pos, dense.* FROM dense JOIN turns USING (lang_pair) WHERE ord < rounds),
 {shuffled("mixed", "(SELECT greatest(1, n // 4) FROM stored)")}
-SELECT pos, lang_pair, source_id, target_id, source_lang, target_lang FROM shuffled"""
+SELECT pos, lang_pair, source_id, target_id, source_lang, target_lang, {MD5S} FROM shuffled"""
 
 
+_FIRST = """sizes AS (SELECT lang_pair, least(count(*), 20) AS n FROM oriented GROUP BY 1),
+turns AS (
+  SELECT lang_pair, row_number() OVER (ORDER BY lang_pair) - 1 AS turn,
+         count(*) OVER () AS k, min(n) OVER () AS rounds FROM sizes),
+mixed AS (
+  SELECT ord * k + turn AS pos, oriented.* FROM oriented JOIN turns USING (lang_pair) WHERE ord < rounds)"""
+
 _RECODED = f"""WITH {ORIENTED_SQL}, {dim(UNEVEN_DIMENSION)},
 recoded AS (
   SELECT o.* REPLACE ('eng_Latn' AS source_lang, b.script_code AS target_lang)
@@ -181,10 +188,11 @@ recoded AS (
 _WIDE = (
     DOCUMENTS_SQL
     + """, sides AS (
-  SELECT e.ord, 'eng_Latn' AS source_lang, o.code || '_Latn' AS target_lang,
+  SELECT p.ord, 'eng_Latn' AS source_lang, t.code || '_Latn' AS target_lang,
          e.text AS source_text, o.text AS target_text
-  FROM docs e JOIN docs o ON e.ord = o.ord AND e.lang = 'en' AND o.lang <> 'en'
-  WHERE e.ord < (SELECT min(n) FROM (SELECT count(*) AS n FROM docs GROUP BY lang)))"""
+  FROM (SELECT DISTINCT ord FROM docs) p CROSS JOIN (VALUES ('deu'), ('spa'), ('fra')) t(code)
+  LEFT JOIN docs e ON e.ord = p.ord AND e.code = 'eng'
+  LEFT JOIN docs o ON o.ord = p.ord AND o.code = t.code)"""
 )
 
 _SPACE = "chr(12288) || chr(8195) || chr(28) || chr(9) || chr(160) || ' '"
@@ -206,7 +214,7 @@ HAVING NOT bool_or(split = 'train')""",
   FROM pairs)
 SELECT lang_pair, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits, count(*) AS n
 FROM s GROUP BY 1""",
-    "write_ordered": f"WITH {_INTERLEAVED} SELECT pos, pos AS file_pos, lang_pair FROM mixed",
+    "write_ordered": f"WITH {_INTERLEAVED} SELECT pos, pos AS file_pos, lang_pair, {MD5S} FROM mixed",
     "score_files": f"WITH {PAIRS_SQL} SELECT lang_pair, ord, score FROM pairs",
     "catalog_filter": f"""WITH {_CATALOG} SELECT lang_pair FROM catalog
 WHERE lang_pair NOT IN (SELECT lang_pair FROM existing) AND 'en' IN (a, b)
@@ -247,41 +255,49 @@ FROM docs LEFT JOIN iso ON a3 = code GROUP BY 1, 2""",
     "missing_langs": _RECODED
     + " SELECT DISTINCT target_lang AS lang FROM recoded WHERE target_lang NOT IN ('eng_Latn', 'fra_Latn')",
     "langs_used": _RECODED + " SELECT DISTINCT target_lang AS lang FROM recoded",
-    "zip_pairs": f"WITH {PAIRS_SQL} SELECT {IDS} FROM pairs",
+    "zip_pairs": f"WITH {PAIRS_SQL} SELECT {IDS}, {MD5S} FROM pairs",
     "strip_text": f"""WITH s AS (SELECT doc_id, {strip(f"{_SPACE} || text || {_SPACE}")} AS t FROM documents)
 SELECT doc_id, md5(t) AS md5, length(t) AS n FROM s""",
-    "orient_pairs": f"WITH {ORIENTED_SQL} SELECT {IDS} FROM oriented",
-    "recode_pairs": _RECODED + f" SELECT {IDS} FROM recoded",
+    "orient_pairs": f"WITH {ORIENTED_SQL} SELECT {IDS}, {MD5S} FROM oriented",
+    "recode_pairs": _RECODED + f" SELECT {IDS}, {MD5S} FROM recoded",
     "directions": f"""WITH {ORIENTED_SQL}
-SELECT {IDS}, 'eng->X' AS objective_id FROM oriented UNION ALL
-SELECT lang_pair, ord, target_id, source_id, target_lang, source_lang, 'X->eng' FROM oriented""",
-    "attach_scores": f"WITH {PAIRS_SQL} SELECT lang_pair, ord, source_id, score FROM pairs",
-    "score_filter": f"WITH {PAIRS_SQL} SELECT lang_pair, ord, source_id, score FROM pairs WHERE score >= 0.95",
+SELECT {IDS}, 'eng->X' AS objective_id, {MD5S} FROM oriented UNION ALL
+SELECT lang_pair, ord, target_id, source_id, target_lang, source_lang, 'X->eng', md5(target_text),
+       md5(source_text) FROM oriented""",
+    "attach_scores": f"WITH {PAIRS_SQL} SELECT lang_pair, ord, source_id, score, {MD5S} FROM pairs",
+    "score_filter": f"""WITH {PAIRS_SQL} SELECT lang_pair, ord, source_id, score, {MD5S} FROM pairs
+WHERE score >= 0.95 AND ord % 11 <> 3""",
     "score_counts": f"""WITH {PAIRS_SQL} SELECT lang_pair, count(*) AS n,
-  count(*) FILTER (score >= 0.95) AS n_kept FROM pairs GROUP BY ROLLUP (lang_pair)""",
+  count(*) FILTER (score >= 0.95 AND ord % 11 <> 3) AS n_kept FROM pairs GROUP BY ROLLUP (lang_pair)""",
     "pair_counts": f"WITH {PAIRS_SQL} SELECT lang_pair, count(*) AS n FROM pairs GROUP BY ROLLUP (lang_pair)",
-    "eval_exclude": f"""WITH {PAIRS_SQL} SELECT {IDS} FROM pairs
+    "eval_exclude": f"""WITH {PAIRS_SQL} SELECT {IDS}, {MD5S} FROM pairs
 WHERE source_lang NOT IN ('fra', 'zho') AND target_lang NOT IN ('fra', 'zho')""",
     "flat_filter": f"""WITH {PAIRS_SQL} SELECT source_id, target_id, source_lang || '_Latn' AS source_lang,
-  target_lang || '_Latn' AS target_lang FROM pairs
+  target_lang || '_Latn' AS target_lang, {MD5S} FROM pairs
 WHERE source_lang = 'eng' AND target_lang IN ('fra', 'spa')""",
+    "read_flat": f"""WITH {PAIRS_SQL} SELECT fmt, source_lang || '_Latn' AS source_lang,
+  target_lang || '_Latn' AS target_lang, {MD5S} FROM pairs, (VALUES ('parquet'), ('json')) f(fmt)
+WHERE source_lang = 'eng'""",
     "flat_filter_literal": f"""WITH {PAIRS_SQL} SELECT source_id, target_id,
-  source_lang || '_Latn' AS source_lang, target_lang || '_Latn' AS target_lang FROM pairs
+  source_lang || '_Latn' AS source_lang, target_lang || '_Latn' AS target_lang, {MD5S} FROM pairs
 WHERE source_lang = 'eng' AND contains('xdeu_Latn,fra_Latn', target_lang || '_Latn')""",
     "wide_eval": f"WITH {_WIDE} SELECT ord, source_lang, target_lang, {MD5S} FROM sides",
     "head_per_pair": f"""WITH {PAIRS_SQL}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang_pair ORDER BY ord) AS place FROM pairs)
-SELECT {IDS} FROM ranked WHERE place <= 40""",
+SELECT {IDS}, {MD5S} FROM ranked WHERE place <= 40""",
     "dense_renumber": f"""WITH {PAIRS_SQL} SELECT lang_pair, ord AS old_ord,
-  row_number() OVER (PARTITION BY lang_pair ORDER BY ord) - 1 AS ord FROM pairs WHERE score >= 0.5""",
-    "interleave": f"WITH {_INTERLEAVED} SELECT pos, lang_pair, ord FROM mixed",
-    "union_languages": f"WITH {PAIRS_SQL} SELECT {IDS} FROM pairs",
+  row_number() OVER (PARTITION BY lang_pair ORDER BY ord) - 1 AS ord, {MD5S} FROM pairs WHERE score >= 0.5""",
+    "interleave": f"WITH {_INTERLEAVED} SELECT pos, lang_pair, ord, {MD5S} FROM mixed",
+    "interleave_empty_key": f"""WITH {PAIRS_SQL}, two AS (SELECT * FROM pairs WHERE lang_pair <> 'eng-spa')
+SELECT 2 * ord + (lang_pair = 'eng-fra')::INT AS pos, lang_pair, ord, {MD5S} FROM two
+WHERE ord < (SELECT min(n) FROM (SELECT count(*) AS n FROM two GROUP BY lang_pair))""",
+    "union_languages": f"WITH {PAIRS_SQL} SELECT {IDS}, {MD5S} FROM pairs",
     "block_shuffle": f"""WITH {_INTERLEAVED},
 {shuffled("mixed", "(SELECT greatest(1, count(*) // 4) FROM mixed)")}
-SELECT pos, old_pos, lang_pair, ord FROM shuffled""",
+SELECT pos, old_pos, lang_pair, ord, {MD5S} FROM shuffled""",
     "batches": f"""WITH {_POSITIONS} SELECT pos // 32 AS batch_id, count(*) AS n, min(pos) AS first_pos,
   max(pos) AS last_pos, md5(string_agg(text, '|' ORDER BY pos)) AS md5 FROM numbered GROUP BY 1""",
-    "teacher_batches": f"""WITH {_POSITIONS} SELECT pos // 32 AS batch_id, pos, doc_id FROM numbered
+    "teacher_batches": f"""WITH {_POSITIONS} SELECT pos // 32 AS batch_id, pos, doc_id, md5(text) AS md5 FROM numbered
 WHERE pos < (SELECT count(*) // 32 * 32 FROM numbered)""",
     "cache_dedup": f"""WITH {_CACHE} SELECT md5(source_text) AS source_md5,
   max_by(translation, ord) AS translation, max(ord) AS ord FROM rows GROUP BY source_text""",
@@ -302,8 +318,7 @@ again AS (
 SELECT pos, doc_id, md5(CASE WHEN text IN (SELECT text FROM again) THEN 't:' || text
                              ELSE translation END) AS target_md5 FROM cut""",
     "cache_store": f"""WITH {_POSITIONS}, runs AS (
-  SELECT text, min(CASE WHEN pos % 3 = 0 THEN 0 ELSE 1 END) AS ord FROM numbered
-  WHERE pos % 3 <= 1 GROUP BY 1)
+  SELECT text, min(CASE WHEN pos % 3 = 0 THEN 0 ELSE 1 END) AS ord FROM numbered GROUP BY 1)
 SELECT ord, md5(text) AS source_md5, md5('t:' || text) AS target_md5 FROM runs""",
     "cache_tsv": f"""WITH {_POSITIONS} SELECT pos AS ord,
   md5(regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g')) AS source_md5, lang || ' ' || source AS translation
@@ -349,8 +364,23 @@ SELECT ord * k + turn AS pos, source_lang, target_lang, {MD5S}
 FROM heads JOIN turns USING (target_lang) WHERE ord < rounds""",
     "flat_training_rows": f"""WITH {PAIRS_SQL}, kept AS (
   SELECT source_id, target_id, source_lang || '_Latn' AS source_lang, target_lang || '_Latn' AS target_lang,
-         row_number() OVER (ORDER BY target_id) - 1 AS pos
+         source_text, target_text, row_number() OVER (ORDER BY target_id) - 1 AS pos
   FROM pairs WHERE source_lang = 'eng' AND target_lang IN ('fra', 'spa')),
 {shuffled("kept", "(SELECT greatest(1, count(*) // 4) FROM kept)")}
-SELECT pos, source_id, target_id, source_lang, target_lang FROM shuffled""",
+SELECT pos, source_id, target_id, source_lang, target_lang, {MD5S} FROM shuffled""",
+    "training_first": f"""WITH {ORIENTED_SQL}, {_FIRST},
+{shuffled("mixed", "(SELECT greatest(1, count(*) // 4) FROM pairs)")}
+SELECT pos, lang_pair, source_id, target_id, {MD5S} FROM shuffled""",
+    "training_sizes": f"""WITH {PAIRS_SQL} SELECT count(*) AS n_stored,
+  count(*) FILTER (score >= 0.5) AS n_effective FROM pairs""",
+    "code_requests": f"""WITH {PAIRS_SQL} SELECT lang_pair, count(*) AS n FROM pairs
+WHERE lang_pair <> 'eng-spa' GROUP BY 1""",
+    "drop_script": _RECODED + " SELECT lang_pair, ord, split_part(target_lang, '_', 1) AS base FROM recoded",
+    "aligned_gz": f"WITH {_FILES} SELECT lang_pair, split, ord, source_lang, target_lang, {MD5S} FROM stored",
+    "uneven_report": f"""WITH {PAIRS_SQL}, n AS (
+  SELECT lang_pair, count(*) AS n_src, count(*) FILTER (lang_pair <> 'deu-eng') AS n_trg FROM pairs GROUP BY 1)
+SELECT lang_pair, 'train' AS split, n_src, n_trg, least(n_src, n_trg) AS n_pairs, n_src - n_trg AS n_unmatched FROM n""",
+    "stream_then_ingest": f"WITH {_FILES} SELECT lang_pair, split, ord, {MD5S} FROM stored",
+    "stream_two_sources": f"""WITH {_STORE} SELECT lang_pair, split, ord, {MD5S} FROM store
+WHERE lang_pair <> 'eng-spa'""",
 }

@@ -13,6 +13,7 @@ from checks.base import (
     SIDES,
     UNEVEN_DIMENSION,
     documents,
+    hashed,
     ids,
     one_line,
     pairs,
@@ -66,16 +67,10 @@ def write_line_files(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def _hashed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(
-        *keys, F.md5("source_text").alias("source_md5"), F.md5("target_text").alias("target_md5")
-    )
-
-
 def aligned_files(spark, sf_dir):
     catalog = files.list_pairs(spark, write_line_files(spark, sf_dir))
     lines = files.read_aligned(spark, catalog, mode="strict")
-    return _hashed(lines, "lang_pair", "split", "ord", "source_lang", "target_lang")
+    return hashed(lines, "lang_pair", "split", "ord", "source_lang", "target_lang")
 
 
 def aligned_report(spark, sf_dir):
@@ -93,12 +88,34 @@ def aligned_report(spark, sf_dir):
     return align.unmatched_counts(src.unionByName(trg).withColumn("split", F.lit("train")))
 
 
+def aligned_gz(spark, sf_dir):
+    """The line files packed with gzip, one file a side."""
+    plain, root = write_line_files(spark, sf_dir), new_dir(spark, "gz")
+    lines = files.scan_lines(spark, [f"{plain}/{p}/train.{s}" for p in PAIRS for s in ("src", "trg")])
+    kept = cut_lineage(lines.select("lang_pair", "side", "shard", "seq", "text"))
+    for pair in PAIRS:
+        for side in ("src", "trg"):
+            own = kept.filter((F.col("lang_pair") == pair) & (F.col("side") == side))
+            packed = own.orderBy(F.length("shard"), "shard", "seq").select("text")
+            packed.write.option("compression", "gzip").text(f"{root}/{pair}/train.{side}")
+    lines = files.read_aligned(spark, files.list_pairs(spark, root), mode="strict")
+    return hashed(lines, "lang_pair", "split", "ord", "source_lang", "target_lang")
+
+
+def uneven_report(spark, sf_dir):
+    """Files: German lacks its target side, French lacks the odd target lines."""
+    root = write_line_files(spark, sf_dir)
+    catalog = files.list_pairs(spark, root)
+    gone = (F.col("lang_pair") == "deu-eng") & (F.col("side") == "trg")
+    return files.read_aligned(spark, catalog.filter(~gone), mode="report")
+
+
 def ingest_resume(spark, sf_dir):
     """Store one pair, then resume: the other pairs are added, the first stays as it is."""
     root, out = write_line_files(spark, sf_dir), new_dir(spark, "store")
     corpus.ingest(spark, root, out, sources=["deu"])
     corpus.ingest(spark, root, out, target=ANCHOR)
-    return _hashed(tables.read_pairs(spark, out, split="train"), "lang_pair", "split", "ord")
+    return hashed(tables.read_pairs(spark, out, split="train"), "lang_pair", "split", "ord")
 
 
 def _store(spark, sf_dir) -> str:
@@ -118,7 +135,7 @@ def stored_catalog(spark, sf_dir):
 
 def read_stored_split(spark, sf_dir):
     out = _store(spark, sf_dir)
-    return _hashed(tables.read_pairs(spark, out, ["deu-eng", "eng-fra"], "train"), "lang_pair", "ord")
+    return hashed(tables.read_pairs(spark, out, ["deu-eng", "eng-fra"], "train"), "lang_pair", "ord")
 
 
 def skipped_pairs(spark, sf_dir):
@@ -134,12 +151,11 @@ def split_report(spark, sf_dir):
 
 def write_ordered(spark, sf_dir):
     """Interleaved rows written in order; the position comes back from the files."""
-    rows = _interleaved(spark, sf_dir).select("pos", "lang_pair", "ord")
+    rows = _interleaved(spark, sf_dir).select("pos", "lang_pair", "source_text", "target_text")
     out = new_dir(spark, "ordered")
     sinks.write_ordered(rows, out, rows.count(), rows_per_file=100)
-    return tables.read_parquet_ordered(spark, out).select(
-        "pos", F.col("ord").alias("file_pos"), "lang_pair"
-    )
+    found = tables.read_parquet_ordered(spark, out).withColumnRenamed("ord", "file_pos")
+    return hashed(found, "pos", "file_pos", "lang_pair")
 
 
 def score_files(spark, sf_dir):
@@ -285,6 +301,21 @@ def iso_lookup(spark, sf_dir):
     return rows.groupBy("code", "iso639_1").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def drop_script(spark, sf_dir):
+    """Script codes of the recoded pairs without their script."""
+    rows = _recoded(spark, sf_dir)
+    return rows.select("lang_pair", "ord", fx.drop_script("target_lang").alias("base"))
+
+
+def code_requests(spark, sf_dir):
+    """Languages for requested targets only: the pairs that a run would read."""
+    rows = pairs(spark, sf_dir)
+    dim = code_source.code_dimension(spark, DIMENSION)
+    targets = rows.filter("lang_pair <> 'eng-spa'").select(fx.other_side("lang_pair", ANCHOR).alias("code"))
+    found = training.resolve_languages(dim, rows.select("lang_pair").distinct(), ANCHOR, targets.distinct())
+    return rows.filter(F.col("lang_pair").isin(found.pairs)).groupBy("lang_pair").agg(F.count(F.lit(1)).alias("n"))
+
+
 def missing_langs(spark, sf_dir):
     vocab = code_source.vocabulary(spark, ["eng_Latn", "fra_Latn"])
     used = counts.langs_used(_recoded(spark, sf_dir))
@@ -333,18 +364,25 @@ def directions(spark, sf_dir):
     return ids(orient.directions(_oriented(spark, sf_dir), ANCHOR, SIDES), "objective_id")
 
 
+def _scored(spark, sf_dir) -> DataFrame:
+    """Every eleventh score is not a number."""
+    score = F.when(F.col("ord") % 11 == 3, F.lit(float("nan"))).otherwise(F.col("score"))
+    return pairs(spark, sf_dir).withColumn("score", score)
+
+
 def attach_scores(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    with_score = align.attach_scores(ids(rows), rows.select("lang_pair", "ord", "score"))
-    return with_score.select("lang_pair", "ord", "source_id", "score")
+    with_score = align.attach_scores(rows.drop("score"), rows.select("lang_pair", "ord", "score"))
+    return hashed(with_score, "lang_pair", "ord", "source_id", "score")
 
 
 def score_filter(spark, sf_dir):
-    return select.filter_scores(attach_scores(spark, sf_dir), THRESHOLD)
+    kept = select.filter_scores(_scored(spark, sf_dir), THRESHOLD)
+    return hashed(kept, "lang_pair", "ord", "source_id", "score")
 
 
 def score_counts(spark, sf_dir):
-    return counts.score_counts(pairs(spark, sf_dir), THRESHOLD)
+    return counts.score_counts(_scored(spark, sf_dir), THRESHOLD)
 
 
 def pair_counts(spark, sf_dir):
@@ -376,13 +414,25 @@ FLAT_TARGETS = "fra_Latn,spa_Latn"
 
 
 def _flat_ids(df: DataFrame) -> DataFrame:
-    return df.select("source_id", "target_id", "source_lang", "target_lang")
+    return hashed(df, "source_id", "target_id", "source_lang", "target_lang")
 
 
 def flat_filter(spark, sf_dir):
     return _flat_ids(select.flat_to_pairs(_flat(spark, sf_dir), "eng_Latn", FLAT_TARGETS))
 
 
+def read_flat(spark, sf_dir):
+    """A flat corpus through files, as Parquet and as JSON lines."""
+    flat, out = _flat(spark, sf_dir), new_dir(spark, "flat")
+    flat.drop("source_id", "target_id").write.parquet(f"{out}/parquet")
+    flat.drop("source_id", "target_id").write.json(f"{out}/json")
+    found = [
+        select.flat_to_pairs(tables.read_flat(spark, f"{out}/{fmt}", fmt), "eng_Latn").withColumn("fmt", F.lit(fmt))
+        for fmt in ("parquet", "json")
+    ]
+    return hashed(found[0].unionByName(found[1]), "fmt", "source_lang", "target_lang")
+
+
 def flat_filter_literal(spark, sf_dir):
     """A request text that contains a code without naming it."""
     return _flat_ids(
@@ -391,53 +441,58 @@ def flat_filter_literal(spark, sf_dir):
 
 
 def _wide(spark, sf_dir) -> DataFrame:
-    """One row per position that all languages have."""
+    """One row per position; a language that has fewer documents lacks a cell there."""
     docs = documents(spark, sf_dir)
     cells = [
         F.max(F.when(F.col("code") == c, F.col("text"))).alias(f"sentence_{c}_Latn")
         for c in CODES.values()
     ]
-    wide = docs.groupBy("ord").agg(*cells)
-    return wide.dropna()
+    return docs.groupBy("ord").agg(*cells)
 
 
 def wide_eval(spark, sf_dir):
     wide = _wide(spark, sf_dir)
     found = orient.wide_to_pairs(wide, "eng_Latn", code_source.codes_of_wide_table(wide))
-    return _hashed(found, "ord", "source_lang", "target_lang")
+    return hashed(found, "ord", "source_lang", "target_lang")
 
 
 # Order --------------------------------------------------------------------------------
 
 
 def head_per_pair_query(spark, sf_dir):
-    return head_per_pair(ids(pairs(spark, sf_dir)), 40)
+    return ids(head_per_pair(pairs(spark, sf_dir), 40))
 
 
 def dense_renumber(spark, sf_dir):
-    kept = select.filter_scores(ids(pairs(spark, sf_dir), "score"), LOOSE_THRESHOLD)
-    return dense_ordinal(kept.withColumn("old_ord", F.col("ord")), ["lang_pair"]).select(
-        "lang_pair", "old_ord", "ord"
-    )
+    kept = select.filter_scores(pairs(spark, sf_dir), LOOSE_THRESHOLD)
+    numbered = dense_ordinal(kept.withColumn("old_ord", F.col("ord")), ["lang_pair"])
+    return hashed(numbered, "lang_pair", "old_ord", "ord")
 
 
 def _interleaved(spark, sf_dir) -> DataFrame:
-    return order.interleave(ids(pairs(spark, sf_dir)))
+    return order.interleave(pairs(spark, sf_dir))
 
 
 def interleave(spark, sf_dir):
-    return _interleaved(spark, sf_dir).select("pos", "lang_pair", "ord")
+    return hashed(_interleaved(spark, sf_dir), "pos", "lang_pair", "ord")
+
+
+def interleave_empty_key(spark, sf_dir):
+    """Without Spanish rows there is no round if Spanish is to take part, and else two pairs alternate."""
+    rows = pairs(spark, sf_dir).filter("lang_pair <> 'eng-spa'")
+    none = order.interleave(rows, keys=PAIRS)
+    two = order.interleave(rows, keys=[p for p in PAIRS if p != "eng-spa"])
+    return hashed(none.unionByName(two), "pos", "lang_pair", "ord")
 
 
 def union_languages(spark, sf_dir):
-    rows = ids(pairs(spark, sf_dir))
-    return order.union_pairs(rows.filter(F.col("lang_pair") == p) for p in PAIRS)
+    rows = pairs(spark, sf_dir)
+    return ids(order.union_pairs(rows.filter(F.col("lang_pair") == p) for p in PAIRS))
 
 
 def block_shuffle(spark, sf_dir):
-    return order.block_shuffle(interleave(spark, sf_dir)).select(
-        "pos", "old_pos", "lang_pair", "ord"
-    )
+    shuffled = order.block_shuffle(_interleaved(spark, sf_dir))
+    return hashed(shuffled, "pos", "old_pos", "lang_pair", "ord")
 
 
 def _positions(spark, sf_dir) -> DataFrame:
@@ -456,8 +511,8 @@ def batches(spark, sf_dir):
 
 
 def teacher_batches(spark, sf_dir):
-    kept = order.full_batches(_positions(spark, sf_dir).select("pos", "doc_id"), 32)
-    return kept.select(order.batch_id(32).alias("batch_id"), "pos", "doc_id")
+    kept = order.full_batches(_positions(spark, sf_dir).select("pos", "doc_id", "text"), 32)
+    return kept.select(order.batch_id(32).alias("batch_id"), "pos", "doc_id", F.md5("text").alias("md5"))
 
 
 # Cache --------------------------------------------------------------------------------
@@ -536,7 +591,7 @@ def cache_store(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     for run in range(2):
         known = cache.dedup_cache(cache_source.read_cache(spark, root, model))
-        part = texts.filter(F.col("pos") % 3 <= run)
+        part = texts.filter(F.col("pos") % 3 <= 2 * run)
         _, new_rows = cache.translate(part, known, _translator())
         sinks.append_cache(new_rows, root, model, start=run)
     stored = cache_source.read_cache(spark, root, model)
@@ -572,7 +627,7 @@ def cache_bad_lines(spark, sf_dir):
 
 
 def _token_rows(spark, sf_dir) -> DataFrame:
-    """Word lengths as token ids: of a whole text, and of its first line as labels."""
+    """Lengths as token ids: of the words of a text, and of its lines as labels."""
 
     def lengths(text):
         return F.transform(F.split(text, " "), lambda w: F.length(w).cast("int"))
@@ -580,7 +635,7 @@ def _token_rows(spark, sf_dir) -> DataFrame:
     return _positions(spark, sf_dir).select(
         "pos",
         lengths(F.col("text")).alias("input_ids"),
-        lengths(F.split("text", "\n")[0]).alias("labels"),
+        F.transform(F.split("text", "\n"), lambda w: F.length(w).cast("int")).alias("labels"),
     )
 
 
@@ -642,7 +697,7 @@ def stream_normalize(spark, sf_dir):
     stream = streams.read_stream(spark, store, max_files=2)
     normal = streams.stream_normalize(stream, ANCHOR, "eng_Latn", dim)
     streams.start_append(normal, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return _hashed(
+    return hashed(
         spark.read.schema(STORED_PAIR).parquet(f"{out}/rows"),
         "lang_pair", "split", "ord", "source_lang", "target_lang",
     )
@@ -653,7 +708,7 @@ def stream_flat(spark, sf_dir):
     _flat(spark, sf_dir).drop("source_id", "target_id").write.parquet(flat)
     stream = streams.stream_flat(streams.read_flat_stream(spark, flat), "eng_Latn", FLAT_TARGETS)
     streams.start_append(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return _hashed(spark.read.parquet(f"{out}/rows"), "source_lang", "target_lang")
+    return hashed(spark.read.parquet(f"{out}/rows"), "source_lang", "target_lang")
 
 
 def stream_ingest(spark, sf_dir):
@@ -662,12 +717,38 @@ def stream_ingest(spark, sf_dir):
     existing = spark.createDataFrame([("eng-fra",)], "lang_pair string")
     stream = streams.read_stream(spark, arriving, max_files=1)
     streams.start_ingest(stream, f"{out}/rows", f"{out}/checkpoint", existing).awaitTermination()
-    return _hashed(
+    return hashed(
         tables.read_pairs(spark, f"{out}/rows", split=None),
         "lang_pair", "split", "ord", "source_lang", "target_lang",
     )
 
 
+def stream_then_ingest(spark, sf_dir):
+    """One store: a stream brings French, a second one (with a checkpoint of its own) German, and batch
+    jobs resume with what is left."""
+    root, out = write_line_files(spark, sf_dir), new_dir(spark, "shared")
+    arriving = corpus.read_aligned(spark, files.list_pairs(spark, root))
+    for pair in ("eng-fra", "deu-eng"):
+        landed = new_dir(spark, "landed")
+        arriving.filter(F.col("lang_pair") == pair).write.parquet(landed)
+        stream = streams.read_stream(spark, landed, max_files=1)
+        streams.start_ingest(stream, out, new_dir(spark, "checkpoint")).awaitTermination()
+    corpus.ingest(spark, root, out)
+    return hashed(tables.read_pairs(spark, out), "lang_pair", "split", "ord")
+
+
+def stream_two_sources(spark, sf_dir):
+    """A second stream, and one that lost its checkpoint, leave what is stored."""
+    arriving, out = _store(spark, sf_dir), new_dir(spark, "two")
+    stored = tables.read_pairs(spark, arriving, split=None)
+    for pair in ("deu-eng", "eng-fra", "deu-eng"):
+        landed = new_dir(spark, "landed")
+        stored.filter(F.col("lang_pair") == pair).write.parquet(landed)
+        stream = streams.read_stream(spark, landed)
+        streams.start_ingest(stream, out, new_dir(spark, "checkpoint")).awaitTermination()
+    return hashed(tables.read_pairs(spark, out, split=None), "lang_pair", "split", "ord")
+
+
 # Plans --------------------------------------------------------------------------------
 
 
@@ -684,25 +765,37 @@ def _training(spark, sf_dir, dimension: list[str]) -> DataFrame:
         LOOSE_THRESHOLD,
         sides=SIDES,
     )
-    return made.select(
-        "pos", "lang_pair", "source_id", "target_id", "source_lang", "target_lang"
-    )
+    return hashed(made, "pos", "lang_pair", "source_id", "target_id", "source_lang", "target_lang")
 
 
 def training_rows(spark, sf_dir):
     return _training(spark, sf_dir, DIMENSION)
 
 
+def training_first(spark, sf_dir):
+    """The first rows of each pair only."""
+    rows = pairs(spark, sf_dir)
+    dim = code_source.code_dimension(spark, DIMENSION)
+    languages = training.resolve_languages(dim, rows.select("lang_pair").distinct(), ANCHOR)
+    made = training.training_rows(rows, languages, dim, sides=SIDES, first=20)
+    return hashed(made, "pos", "lang_pair", "source_id", "target_id")
+
+
 def training_rows_uneven(spark, sf_dir):
     """Spanish is ambiguous and French unknown: only German is left."""
     return _training(spark, sf_dir, UNEVEN_DIMENSION)
 
 
+def training_sizes(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    return training.training_sizes(rows, select.filter_scores(rows, LOOSE_THRESHOLD))
+
+
 def eval_rows(spark, sf_dir):
     rows = pairs(spark, sf_dir)
     dim = code_source.code_dimension(spark, DIMENSION)
     languages = training.resolve_languages(dim, rows.select("lang_pair").distinct(), ANCHOR)
-    return _hashed(
+    return hashed(
         training.eval_rows(_wide(spark, sf_dir), languages), "pos", "source_lang", "target_lang"
     )
 
@@ -712,7 +805,7 @@ def flat_training_rows(spark, sf_dir):
         "ord", F.when(F.col("src_lang") == "eng_Latn", F.col("target_id")).otherwise(F.col("source_id"))
     )
     made = training.flat_training_rows(flat, "eng_Latn", FLAT_TARGETS)
-    return made.select("pos", "source_id", "target_id", "source_lang", "target_lang")
+    return hashed(made, "pos", "source_id", "target_id", "source_lang", "target_lang")
 
 
 QUERIES = {
@@ -727,13 +820,14 @@ QUERIES = {
         zip_pairs, strip_text, orient_pairs, recode_pairs, directions, attach_scores,
         score_filter, score_counts, pair_counts, eval_exclude, flat_filter, flat_filter_literal,
         wide_eval,
-        head_per_pair_query, dense_renumber, interleave, union_languages, block_shuffle, batches,
+        head_per_pair_query, dense_renumber, interleave, interleave_empty_key, union_languages, block_shuffle, batches,
         teacher_batches,
         cache_dedup, cache_dedup_literal, cache_lookup, cache_misses, cache_misses_batch,
         teacher_apply, teacher_apply_batch, cache_store, cache_tsv, cache_bad_lines,
         truncate_ids, pad_batch, mask_after_eos,
         bleu_counts, corpus_bleu,
-        stream_normalize, stream_flat, stream_ingest,
-        training_rows, training_rows_uneven, eval_rows, flat_training_rows,
+        stream_normalize, stream_flat, stream_ingest, stream_then_ingest, stream_two_sources,
+        aligned_gz, uneven_report, read_flat, drop_script, code_requests, training_sizes,
+        training_rows, training_first, training_rows_uneven, eval_rows, flat_training_rows,
     )
 }

@@ -17,7 +17,7 @@ def pad_right(ids: Column, length: Column, fill: int) -> Column:
 
 
 def attention_mask(ids: Column, length: Column) -> Column:
-    return pad_right(F.transform(ids, lambda _: F.lit(1)), length, 0)
+    return pad_right(F.array_repeat(F.lit(1), F.size(ids)), length, 0)
 
 
 def mask_after_eos(ids: Column, eos_id: int, ignore_id: int) -> Column:

@@ -80,6 +80,20 @@ def attach_scores(pairs: DataFrame, scores: DataFrame, strict: bool = True) -> D
     return zip_rows(pairs, narrow, ["lang_pair", "ord"], "strict" if strict else "inner")
 
 
+def check_lengths(pairs: DataFrame, scores: DataFrame) -> None:
+    """Fail unless every pair has as many scores as rows. Positions of both are dense, so equal counts mean
+    equal positions; only the names of pairs are read."""
+    sizes = [
+        df.groupBy("lang_pair").agg(F.count(F.lit(1)).alias(name))
+        for df, name in ((pairs, "_rows"), (scores, "_scores"))
+    ]
+    uneven = sizes[0].join(sizes[1], "lang_pair", "full_outer").filter(
+        ~F.col("_rows").eqNullSafe(F.col("_scores"))
+    )
+    if not uneven.isEmpty():
+        raise ValueError("pairs and scores have different lengths")
+
+
 def _keep(df: DataFrame, matched, mode: str) -> DataFrame:
     if mode == "inner":
         return df.filter(matched)

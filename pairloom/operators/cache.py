@@ -26,8 +26,11 @@ def dedup_cache(cache: DataFrame, literal: bool = False) -> DataFrame:
         cache = cache.groupBy("translation").agg(
             F.min_by("source_text", "ord").alias("source_text"), F.min("ord").alias("ord")
         )
-    return cache.groupBy("source_text").agg(
-        F.max_by("translation", "ord").alias("translation"), F.max("ord").alias("ord")
+    # a hash leads the key, so that sorts compare numbers before texts
+    return (
+        cache.groupBy(F.xxhash64("source_text").alias("_hash"), "source_text")
+        .agg(F.max_by("translation", "ord").alias("translation"), F.max("ord").alias("ord"))
+        .drop("_hash")
     )
 
 
@@ -69,22 +72,36 @@ def misses(
     raise ValueError(f"unknown mode: {mode}")
 
 
-def apply_translator(texts: DataFrame, fn: Translate, batch: int = 32) -> DataFrame:
-    """``source_text, translation`` by calling ``fn`` on lists of at most ``batch`` texts."""
+def apply_translator(
+    texts: DataFrame, fn: Translate, batch: int = 32, tasks: int | None = None
+) -> DataFrame:
+    """``source_text, translation`` by calling ``fn`` on lists of ``batch`` texts; only the last list of
+    a task can be shorter. Null texts are left out.
+
+    ``tasks`` is the number of tasks to share the work. Without it texts stay where they are, which for a slow
+    ``fn`` may mean few tasks: sentences are small in bytes.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def answered(chunk: list[str]) -> pd.DataFrame:
+            answers = list(fn(chunk))
+            if len(answers) != len(chunk):
+                raise ValueError(f"{len(chunk)} texts gave {len(answers)} translations")
+            return pd.DataFrame({"source_text": chunk, "translation": answers})
+
+        waiting: list[str] = []
         for frame in frames:
-            sources = frame["source_text"].tolist()
-            out: list[str] = []
-            for start in range(0, len(sources), batch):
-                chunk = sources[start : start + batch]
-                answers = list(fn(chunk))
-                if len(answers) != len(chunk):
-                    raise ValueError(f"{len(chunk)} texts gave {len(answers)} translations")
-                out += answers
-            yield pd.DataFrame({"source_text": sources, "translation": out})
-
-    return texts.select("source_text").mapInPandas(
+            waiting += frame["source_text"].tolist()
+            while len(waiting) >= batch:
+                yield answered(waiting[:batch])
+                waiting = waiting[batch:]
+        if waiting:
+            yield answered(waiting)
+
+    texts = texts.select("source_text").filter("source_text is not null")
+    if tasks is not None:
+        texts = texts.repartition(tasks, F.xxhash64("source_text"))
+    return texts.mapInPandas(
         run, "source_text string, translation string"
     )
 
@@ -97,18 +114,23 @@ def translate(
     mode: str = "row",
     drop_last: bool = False,
     materialize: bool = True,
+    tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(result, new_rows)``: requests with ``target_text``, and what to add to the cache.
 
     Every distinct missing text is sent to ``fn`` once. ``new_rows`` is checkpointed, so
     that using both results, or losing an executor, does not call ``fn`` again for texts
-    already done. ``drop_last`` cuts the trailing partial batch of requests.
+    already done. ``drop_last`` cuts the trailing partial batch of requests, ``tasks`` is the number of
+    tasks that call ``fn``. A null text has a null translation.
+
+    In ``batch`` mode a text that was computed again has its fresh translation everywhere, also in
+    batches that were all hits.
     """
     if drop_last:
         req = full_batches(req, batch)
     hot = hot_hashes(req, "source_text")
     todo = misses(req, cache, mode, batch, hot).select("source_text").distinct()
-    new_rows = apply_translator(todo, fn, batch)
+    new_rows = apply_translator(todo, fn, batch, tasks)
     if materialize:
         new_rows = cut_lineage(new_rows)
     known = cache.select("source_text", "translation")

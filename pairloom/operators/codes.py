@@ -86,7 +86,7 @@ def missing_langs(langs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def require_vocabulary(langs: DataFrame, vocab: DataFrame) -> None:
     """Fail when a used language is not in the model's vocabulary."""
-    missing = sorted(r.lang for r in missing_langs(langs, vocab).limit(1000).collect())
+    missing = sorted(r.lang for r in missing_langs(langs, vocab).collect())
     if missing:
         raise ValueError(f"languages missing from the vocabulary: {missing}")
 
@@ -96,6 +96,7 @@ def to_iso639_1(df: DataFrame, code: str, iso: DataFrame) -> DataFrame:
     says why there is none."""
     base = base_code(code)
     dim = iso.select(F.col("alpha_3").alias("_a3"), F.col("alpha_2").alias("_a2"))
+    # The two messages
     answer = (
         F.when(F.col("_a3").isNull(), F.concat(F.lit("Invalid ISO 639-3 code: "), base))
         .when(F.col("_a2").isNull(), F.concat(F.lit("No ISO 639-1 code for "), base))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.select import reaches
+
 
 def pair_counts(df: DataFrame, key: str = "lang_pair") -> DataFrame:
     """Rows per pair plus a grand total in the row with a null key.
@@ -19,7 +21,7 @@ def score_counts(df: DataFrame, threshold: float = 0.95, key: str = "lang_pair")
     """Rows and rows reaching the threshold, per pair and in total."""
     per_pair = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("score") >= F.lit(float(threshold))).alias("n_kept"),
+        F.count_if(reaches(F.col("score"), threshold)).alias("n_kept"),
     )
     return per_pair.rollup(key).agg(F.sum("n").alias("n"), F.sum("n_kept").alias("n_kept"))
 

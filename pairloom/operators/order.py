@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordinal import BLOCK_WIDTH, div, rank_in_slots
+from pairloom.operators.ordinal import BLOCK_WIDTH, div, rank_in_slots, slot_counts
 from pairloom.operators.sizing import settle
 
 
@@ -22,8 +22,21 @@ def key_sizes(df: DataFrame, key: str = "lang_pair") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_keys(sizes: DataFrame, keys: Sequence[str] | None, key: str = "lang_pair") -> DataFrame:
+    """``key, n`` of ``sizes`` for every one of ``keys``, 0 where there is no row."""
+    sizes = sizes.select(key, "n")
+    if keys is None:
+        return sizes
+    named = sizes.sparkSession.createDataFrame([(k,) for k in keys], f"{key} string")
+    return named.join(sizes, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def interleave(
-    df: DataFrame, key: str = "lang_pair", order: str = "ord", sizes: DataFrame | None = None
+    df: DataFrame,
+    key: str = "lang_pair",
+    order: str = "ord",
+    sizes: DataFrame | None = None,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Take one row of every key in turn, keys in alphabetical order, until the first key
     runs out. Adds ``pos``; ``order`` must be dense from 0 within the key.
@@ -35,8 +48,11 @@ def interleave(
 
     ``sizes`` (``key, n``) can come from a cheaper place than ``df``, such as the counts
     of the table before it was renumbered.
+
+    ``keys`` names all that take part. One that has no row left then counts as 0 rows, and as the
+    shortest key ends the rounds, no row is given; without ``keys`` only those with rows are known.
     """
-    sizes = settle(key_sizes(df, key) if sizes is None else sizes.select(key, "n"))
+    sizes = settle(with_keys(key_sizes(df, key) if sizes is None else sizes, keys, key))
     total = sizes.df.agg(F.count(F.lit(1)).alias("keys"), F.min("n").alias("rounds")).first()
     turns = sizes.df.select(
         key, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).alias("_turn")
@@ -57,6 +73,7 @@ def block_shuffle(
     n: int | None = None,
     pos: str = "pos",
     old: str = "old_pos",
+    rows: int | None = None,
 ) -> DataFrame:
     """Permute rows within consecutive blocks of ``block`` positions.
 
@@ -66,22 +83,27 @@ def block_shuffle(
     ``seed-pos``: the same on every run and for every partitioning.
 
     A block can be a quarter of the table, so it is cut by the leading MD5 digits into
-    slots of about a hundred thousand rows, and only those are sorted.
+    slots of about a hundred thousand rows, and only those are sorted. A row's slot depends on
+    nothing but its position, so with ``rows``, the number of rows (known if they were counted for
+    ``n``), the slots are counted without reading ``df``.
     """
     if block is None:
         if n is None:
-            n = df.count()
+            n = rows = df.count()
         block = max(1, n // ratio)
     digits = 0
     while digits < 12 and block > BLOCK_WIDTH * 16**digits:
         digits += 1
-    hashed = df.withColumnRenamed(pos, old).withColumn(
-        "_md5", F.md5(F.concat(F.lit(f"{seed}-"), F.col(old).cast("string")))
-    )
+    md5 = F.md5(F.concat(F.lit(f"{seed}-"), F.col(old).cast("string")))
+    hashed = df.withColumnRenamed(pos, old).withColumn("_md5", md5)
     slot = div(old, block) * 16**digits
     if digits:
         slot = slot + F.conv(F.substring("_md5", 1, digits), 16, 10).cast("long")
-    return rank_in_slots(hashed, [], slot, ["_md5", old], pos).drop("_md5")
+    counts = None
+    if rows is not None:
+        positions = df.sparkSession.range(rows).select(F.col("id").alias(old)).withColumn("_md5", md5)
+        counts = slot_counts(positions, [], slot)
+    return rank_in_slots(hashed, [], slot, ["_md5", old], pos, counts).drop("_md5")
 
 
 def batch_id(size: int, pos: str = "pos"):

@@ -57,10 +57,16 @@ def reverse(df: DataFrame, sides: Sequence[tuple[str, str]] | None = None) -> Da
 def directions(
     df: DataFrame, anchor: str, sides: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
-    """Forward and backward rows, told apart by ``objective_id``."""
-    forward = df.withColumn("objective_id", forward_tag(anchor))
-    backward = reverse(df, sides).withColumn("objective_id", backward_tag(anchor))
-    return forward.unionByName(backward)
+    """Forward and backward rows, told apart by ``objective_id``; the input is evaluated once."""
+    swap = {}
+    for a, b in _present(df, sides):
+        swap[a], swap[b] = b, a
+    forward = F.struct(*df.columns, forward_tag(anchor).alias("objective_id"))
+    backward = F.struct(
+        *(F.col(swap.get(c, c)).alias(c) for c in df.columns),
+        backward_tag(anchor).alias("objective_id"),
+    )
+    return df.select(F.inline(F.array(forward, backward)))
 
 
 def wide_to_pairs(df: DataFrame, src: str, tgts: Sequence[str]) -> DataFrame:
@@ -76,7 +82,7 @@ def wide_to_pairs(df: DataFrame, src: str, tgts: Sequence[str]) -> DataFrame:
         "source_text",
         "target_text",
         F.lit(src).alias("source_lang"),
-        F.substring("_column", len("sentence_") + 1, 1000).alias("target_lang"),
+        F.replace("_column", F.lit("sentence_"), F.lit("")).alias("target_lang"),
     )
 
 

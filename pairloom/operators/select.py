@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import is_pair_name, left_code, right_code, substrings
+from pairloom.operators.sizing import small_side
 
 
 def names_code(pair: str, codes: Iterable[str], match: str = "code") -> Column:
@@ -43,7 +44,9 @@ def select_pairs(
     ``sources``."""
     kept = catalog.filter(is_pair_name("lang_pair"))
     if existing is not None:
-        kept = kept.join(existing.select("lang_pair").distinct(), "lang_pair", "left_anti")
+        # rows, too, may be selected with this, and must not be dealt out by their pair
+        known = small_side(existing.select("lang_pair").distinct())
+        kept = kept.join(known, "lang_pair", "left_anti")
     if target is not None:
         kept = kept.filter(names_code("lang_pair", [target], match))
     if sources:
@@ -67,8 +70,9 @@ def uncovered(requested: DataFrame, catalog: DataFrame, match: str = "code") ->
 
 
 def exclude_langs(df: DataFrame, langs: DataFrame) -> DataFrame:
-    """Drop rows with a language of ``langs`` (column ``lang``) on either side."""
-    banned = langs.select("lang").distinct()
+    """Drop rows with a language of ``langs`` (column ``lang``) on either side. The list is broadcast
+    when it is short, so that rows are not dealt out by their language."""
+    banned = small_side(langs.select("lang").distinct())
     for side in ("source_lang", "target_lang"):
         df = df.join(banned, df[side] == banned["lang"], "left_anti")
     return df
@@ -80,7 +84,12 @@ def different_langs(df: DataFrame) -> DataFrame:
 
 def filter_scores(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Rows whose score reaches the threshold."""
-    return df.filter(F.col("score") >= F.lit(float(threshold)))
+    return df.filter(reaches(F.col("score"), threshold))
+
+
+def reaches(score: Column, threshold: float) -> Column:
+    """Whether a score is a number at or above the threshold; NaN is not, though Spark sorts it last."""
+    return (score >= F.lit(float(threshold))) & ~F.isnan(score)
 
 
 def flat_to_pairs(

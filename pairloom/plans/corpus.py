@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.operators.counts import catalog_counts
 from pairloom.operators.select import select_pairs
 from pairloom.sinks import write_pairs
-from pairloom.sources.files import list_pairs, read_aligned
+from pairloom.sources.files import list_pairs, read_aligned, skipped_splits
 from pairloom.sources.tables import stored_pairs
 
 
@@ -26,7 +27,8 @@ def ingest(
     """Read every wanted pair under ``root`` that ``out`` lacks and append it there.
 
     All pairs go through one job. ``override`` reads pairs that exist too and replaces
-    their splits. Returns the counts of pairs: all, skipped, left.
+    their splits. Splits without one of their sides are skipped with a warning. Returns the counts of pairs: all,
+    skipped, left.
     """
     catalog = list_pairs(spark, root)
     existing = stored_pairs(spark, out)
@@ -34,6 +36,11 @@ def ingest(
     counts = catalog_counts(catalog, existing.limit(0) if override else existing)
     counts = spark.createDataFrame(counts.toArrow())
     wanted = select_pairs(catalog, None if override else existing, target, sources, match)
+    if mode == "inner":
+        skipped = skipped_splits(wanted).collect()
+        if skipped:
+            names = ", ".join(sorted(f"{r.lang_pair}/{r.split} (only {r.side})" for r in skipped))
+            warnings.warn(f"splits without one of their sides are skipped: {names}", stacklevel=2)
     pairs = read_aligned(spark, wanted, mode)
     write_pairs(pairs, out, "override" if override else "append", chunk=None)
     return counts

@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import other_side
-from pairloom.operators.align import attach_scores
+from pairloom.operators.align import attach_scores, check_lengths
 from pairloom.operators.codes import (
     intersecting,
     match_status,
     resolve_anchor,
 )
-from pairloom.operators.order import block_shuffle, interleave
+from pairloom.operators.order import block_shuffle, interleave, with_keys
 from pairloom.operators.ordinal import dense_ordinal, head_per_pair, ordinal_counts
 from pairloom.operators.orient import orient, recode, wide_to_pairs
 from pairloom.operators.sizing import settle
 from pairloom.operators.select import (
     different_langs,
+    exclude_langs,
     filter_scores,
     flat_to_pairs,
     names_code,
@@ -68,7 +69,7 @@ def resolve_languages(
         requested = sided.select("code").distinct()
     else:
         requested = targets.select("code").distinct()
-        unknown = uncovered(requested, catalog, match).limit(100).collect()
+        unknown = uncovered(requested, catalog, match).collect()
         if unknown:
             raise ValueError(f"no data for languages: {sorted(r.code for r in unknown)}")
     covered, matching = intersecting(requested, dim)
@@ -95,25 +96,38 @@ def training_rows(
     ratio: int = 4,
     sides: Sequence[tuple[str, str]] | None = None,
     strict: bool = True,
+    first: int | None = None,
 ) -> DataFrame:
     """Oriented, recoded, filtered, interleaved and shuffled pairs with their ``pos``.
 
     ``pairs`` has a dense ``ord`` per ``lang_pair``. With ``scores`` only rows reaching
-    the threshold stay. The shuffle block is a ``ratio``-th of the *stored* rows, before
-    any filter.
+    the threshold stay, and with ``first`` only that many of each pair. The shuffle block is a
+    ``ratio``-th of the *stored* rows, before any filter. A pair of ``languages`` that is left without rows
+    ends the interleaving at once, so nothing is given.
     """
     kept = pairs.filter(F.col("lang_pair").isin(languages.pairs))
     n_stored = kept.count()
     # the scores line up with the stored rows, so they come before anything is dropped
     if scores is not None:
         wanted = scores.filter(F.col("lang_pair").isin(languages.pairs))
-        kept = filter_scores(attach_scores(kept, wanted, strict), threshold)
+        if strict:
+            check_lengths(kept, wanted)
+        # the narrow side is filtered first: rejected rows find no partner
+        kept = attach_scores(kept, filter_scores(wanted, threshold), strict=False)
     rows = recode(orient(kept, languages.anchor, sides), languages.anchor_code, dim)
     # one pass gives both the new positions and the rows per pair
     counts = ordinal_counts(rows, ["lang_pair"])
     sizes = counts.df.groupBy("lang_pair").agg(F.sum("n").alias("n"))
-    mixed = interleave(dense_ordinal(rows, ["lang_pair"], counts=counts), sizes=sizes)
-    return block_shuffle(mixed, seed, n=n_stored, ratio=ratio)
+    numbered = dense_ordinal(rows, ["lang_pair"], counts=counts)
+    if first is not None:
+        numbered = head_per_pair(numbered, first)
+        sizes = sizes.withColumn("n", F.least("n", F.lit(first)))
+    sizes = settle(with_keys(sizes, languages.pairs)).df
+    mixed = interleave(numbered, sizes=sizes)
+    rounds = sizes.agg(F.min("n")).first()[0] or 0
+    return block_shuffle(
+        mixed, seed, n=n_stored, ratio=ratio, rows=rounds * len(languages.pairs)
+    )
 
 
 def training_sizes(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -139,10 +153,8 @@ def eval_rows(
     if not languages.ambiguous:
         return mixed
     # the positions were given with these languages in place; they leave gaps
-    side = F.col("source_lang").isin(languages.ambiguous) | F.col("target_lang").isin(
-        languages.ambiguous
-    )
-    return mixed.filter(~side)
+    unclear = wide.sparkSession.createDataFrame([(c,) for c in languages.ambiguous], "lang string")
+    return exclude_langs(mixed, unclear)
 
 
 def flat_training_rows(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.align import ZIP_CHUNK
 from pairloom.operators.ordinal import div
-from pairloom.operators.select import select_pairs
 from pairloom.sources.cache import cache_path
-from pairloom.sources.tables import stored_pairs
+from pairloom.sources.tables import BATCH
 
 #: Rows per file of an ordered table.
 ROWS_PER_FILE = 500_000
@@ -20,8 +21,9 @@ def write_pairs(
     out: str,
     mode: str = "append",
     chunk: int | None = ZIP_CHUNK,
+    ingest: str = BATCH,
 ) -> None:
-    """Write pairs under ``lang_pair=/split=``.
+    """Write pairs under ``lang_pair=/split=/ingest=``.
 
     Rows are clustered by runs of ``chunk`` positions, so a pair makes about
     ``rows / chunk`` files however many tasks write, a large pair is written by many
@@ -30,24 +32,35 @@ def write_pairs(
     ``read_aligned`` gives.
 
     ``mode``: ``append``, ``overwrite`` for the whole of ``out``, or ``override`` to replace
-    just the splits that ``df`` has.
+    just the splits that ``df`` has, whoever wrote them. ``ingest`` names the writer; a stream's
+    micro-batch uses ``mode="replace"``, which replaces what the same writer wrote before, and
+    nothing else. While splits are overridden a reader can see old and new rows.
     """
     if chunk is not None:
         df = df.repartition("lang_pair", "split", div("ord", chunk))
-    df = df.sortWithinPartitions("lang_pair", "split", "ord")
-    writer = df.write.partitionBy("lang_pair", "split")
     if mode == "override":
+        ingest = f"{BATCH}-{uuid.uuid4().hex}"
+    df = df.sortWithinPartitions("lang_pair", "split", "ord").withColumn("ingest", F.lit(ingest))
+    writer = df.write.partitionBy("lang_pair", "split", "ingest")
+    if mode in ("override", "replace"):
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     elif mode in ("append", "overwrite"):
         writer = writer.mode(mode)
     else:
         raise ValueError(f"unknown mode: {mode}")
     writer.parquet(out)
+    if mode == "override":
+        _keep_only(df.sparkSession, out, ingest)
 
 
-def missing_pairs(catalog: DataFrame, out: str) -> DataFrame:
-    """Catalog rows of pairs the store does not have yet: what a resumed run has to do."""
-    return select_pairs(catalog, existing=stored_pairs(catalog.sparkSession, out))
+def _keep_only(spark: SparkSession, out: str, ingest: str) -> None:
+    """Remove what others wrote of the splits that ``ingest`` has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    for new in fs.globStatus(path(f"{out}/lang_pair=*/split=*/ingest={ingest}")) or []:
+        for other in fs.listStatus(new.getPath().getParent()):
+            if other.getPath().getName() != f"ingest={ingest}":
+                fs.delete(other.getPath(), True)
 
 
 def append_cache(new_rows: DataFrame, root: str, model: str, start: int = 0) -> None:
@@ -76,6 +89,10 @@ def write_ordered(
     other column as lines.
     """
     files = max(1, -(-n // rows_per_file))
-    file_no = F.least(div(pos, rows_per_file), F.lit(files - 1)).cast("int")
+    file_no = (
+        F.when(F.col(pos) < n, div(pos, rows_per_file))
+        .otherwise(F.raise_error(F.lit(f"a position is beyond the {n} rows that were announced")))
+        .cast("int")
+    )
     placed = df.repartitionById(files, file_no).sortWithinPartitions(pos)
     (placed.drop(pos) if fmt == "text" else placed).write.format(fmt).save(out)

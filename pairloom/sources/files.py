@@ -1,7 +1,7 @@
 """Aligned line files: ``<root>/<aaa-bbb>/<split>.src`` and ``.trg``, plain or gz.
 
 A side can also be a folder of part files, ``<split>.src/part-00000...``, as Spark
-writes it; their lines are taken in file-name order.
+writes it; their lines are taken in file-name order, shorter names first (``part-9`` before ``part-10``).
 """
 
 from __future__ import annotations
@@ -52,12 +52,15 @@ def list_pairs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def choose_files(catalog: DataFrame, dev: str = "fallback") -> DataFrame:
+def choose_files(
+    catalog: DataFrame, dev: str = "fallback", one_sided: bool = False
+) -> DataFrame:
     """The files to read per pair and split.
 
-    A plain side wins over its gz variant, and a split needs both sides. ``dev`` files
-    are stored as ``val`` where there are no ``val`` files; ``dev="ignore"`` never reads
-    them.
+    A plain side wins over its gz variant, and a split needs both sides, unless ``one_sided``
+    keeps those of which only one side is there (or has lines: empty files are not listed).
+    ``dev`` files are stored as ``val`` where there are no ``val`` files; ``dev="ignore"``
+    never reads them.
     """
     if dev == "ignore":
         catalog = catalog.filter(F.col("split") != "dev")
@@ -72,15 +75,27 @@ def choose_files(catalog: DataFrame, dev: str = "fallback") -> DataFrame:
         .repartition(*group)
         .withColumn("_sides", F.size(F.collect_set("side").over(in_split)))
         .withColumn("_form", F.min("is_gz").over(in_side))
-        .filter((F.col("_sides") == 2) & (F.col("is_gz") == F.col("_form")))
-        # val > dev
-        .withColumn("_best", F.max("split").over(Window.partitionBy(*group)))
-        .filter(F.col("split") == F.col("_best"))
+        .filter((F.lit(one_sided) | (F.col("_sides") == 2)) & (F.col("is_gz") == F.col("_form")))
+        # two sides before one, val before dev
+        .withColumn("_best", F.max(F.struct("_sides", "split")).over(Window.partitionBy(*group)))
+        .filter(F.col("split") == F.col("_best.split"))
         .withColumn("split", F.col("_stored"))
         .select(*catalog.columns)
     )
 
 
+def skipped_splits(catalog: DataFrame, dev: str = "fallback") -> DataFrame:
+    """``lang_pair, split, side``: splits that are skipped because just this side of them is there or
+    has lines."""
+    return (
+        choose_files(catalog, dev, one_sided=True)
+        .groupBy("lang_pair", canonical_split("split").alias("split"))
+        .agg(F.collect_set("side").alias("sides"))
+        .filter(F.size("sides") == 1)
+        .select("lang_pair", "split", F.col("sides")[0].alias("side"))
+    )
+
+
 def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines with their file's place in the catalog and their place in the file:
     ``lang_pair, split, side, shard, block, seq, text``."""
@@ -122,11 +137,11 @@ def block_bound(spark: SparkSession, sizes: list[int]) -> int:
 
 
 def numbered_lines(
-    spark: SparkSession, catalog: DataFrame, dev: str = "fallback"
+    spark: SparkSession, catalog: DataFrame, dev: str = "fallback", one_sided: bool = False
 ) -> DataFrame | None:
     """Stripped lines of the chosen files with their ``ord``; None without any file."""
     # file names are driver metadata: Spark's own file index holds them there too
-    files = choose_files(catalog, dev).select("path", "bytes").collect()
+    files = choose_files(catalog, dev, one_sided).select("path", "bytes").collect()
     if not files:
         return None
     lines = scan_lines(spark, [f.path for f in files])
@@ -141,10 +156,11 @@ def read_aligned(
     """All pairs of the catalog as one table of :data:`schema.STORED_PAIR`, one job
     whatever the number of pairs.
 
-    ``mode``: ``inner`` cuts to the shorter side, ``strict`` fails on uneven sides,
+    ``mode``: ``inner`` cuts to the shorter side and skips splits without one (see
+    :func:`skipped_splits`), ``strict`` fails on uneven sides, a missing or empty one included,
     ``report`` returns line counts per pair and split instead.
     """
-    lines = numbered_lines(spark, catalog, dev)
+    lines = numbered_lines(spark, catalog, dev, one_sided=mode != "inner")
     if mode == "report":
         if lines is None:
             lines = spark.createDataFrame([], "lang_pair string, split string, side string")

@@ -11,21 +11,27 @@ from pyspark.sql import functions as F
 from pairloom.operators.sizing import small_side
 from pairloom.schema import FLAT, STORED_PAIR
 
-_PARTITION = r"/lang_pair=([^/]+)/split=([^/]+)/"
+_PARTITION = r"/lang_pair=([^/]+)/split=([^/]+)/(?:ingest=([^/]+)/)?"
 
+#: Name under which batch jobs write to a store; streams use their own.
+BATCH = "batch"
 
-def stored_splits(spark: SparkSession, root: str) -> DataFrame:
+
+def stored_splits(spark: SparkSession, root: str, besides: str | None = None) -> DataFrame:
     """``lang_pair, split`` of what a store holds, from its folder names: no file is
-    opened. A store that does not exist is empty."""
+    opened. A store that does not exist is empty. ``besides`` leaves out what was written under
+    names that begin so."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], "lang_pair string, split string")
         raise
+    files = files.filter(F.col("path").rlike(_PARTITION))
+    if besides is not None:
+        files = files.filter(~F.regexp_extract("path", _PARTITION, 3).startswith(besides))
     return (
-        files.filter(F.col("path").rlike(_PARTITION))
-        .select(
+        files.select(
             F.regexp_extract("path", _PARTITION, 1).alias("lang_pair"),
             F.regexp_extract("path", _PARTITION, 2).alias("split"),
         )
@@ -33,9 +39,9 @@ def stored_splits(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def stored_pairs(spark: SparkSession, root: str) -> DataFrame:
+def stored_pairs(spark: SparkSession, root: str, besides: str | None = None) -> DataFrame:
     """The distinct ``lang_pair`` names of a store."""
-    return stored_splits(spark, root).select("lang_pair").distinct()
+    return stored_splits(spark, root, besides).select("lang_pair").distinct()
 
 
 def read_pairs(

@@ -17,6 +17,7 @@ from pairloom.operators.orient import orient, recode
 from pairloom.operators.select import flat_to_pairs, select_pairs
 from pairloom.schema import FLAT, STORED_PAIR
 from pairloom.sinks import write_pairs
+from pairloom.sources.tables import stored_pairs
 
 
 def read_stream(
@@ -67,14 +68,21 @@ def start_ingest(
 ) -> StreamingQuery:
     """Store arriving pairs (with ``lang_pair`` and ``split``), then stop.
 
-    Pairs named in ``existing`` are skipped. Every micro-batch has its own folder,
-    ``ingest=<id>``, which a repeated batch overwrites, so a restart neither loses nor
-    doubles rows, also when one pair's files arrive in several batches.
+    The store is that of batch jobs. Pairs named in ``existing`` are skipped; without it those that
+    the store has from others than this stream. Every micro-batch writes under its own name, made of
+    the stream's id (which its checkpoint keeps) and the batch's number. A repeated batch replaces its own rows and
+    nobody else's, so a restart neither loses nor doubles rows, also when one pair's files arrive
+    in several batches. A stream whose checkpoint is lost is another stream: it leaves what is stored as it is, and
+    skips the pairs that are there.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        new = select_pairs(batch, existing=existing)
-        write_pairs(new, f"{out.rstrip('/')}/ingest={batch_id}", "overwrite")
+        spark = batch.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if stream is None:
+            raise RuntimeError("the stream has no id")
+        known = stored_pairs(spark, out, besides=stream) if existing is None else existing
+        write_pairs(select_pairs(batch, existing=known), out, "replace", ingest=f"{stream}-{batch_id}")
 
     return (
         sdf.writeStream.foreachBatch(store)

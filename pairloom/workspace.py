@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The checkpoint folder of the context, or the one named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder; on a cluster
     an executor could not see it, so a missing setting is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
-    return sc.getCheckpointDir()
+        if named:  # set after the context was made
+            sc.setCheckpointDir(named)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return named or sc.getCheckpointDir()
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -30,6 +33,24 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies; used on those of :func:`new_dir` when they have been read.
+    Checkpoints go with their last reference under
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_dir(spark: SparkSession, name: str) -> Iterator[str]:
+    """A fresh folder that is removed at the end."""
+    path = new_dir(spark, name)
+    try:
+        yield path
+    finally:
+        remove_dir(spark, path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage, so that a lost executor does not make
     Spark run what is above it a second time."""

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 
 from pairloom.plans.corpus import ingest
-from pairloom.sources.files import choose_files, list_pairs, read_aligned
+from pairloom.sources.files import choose_files, list_pairs, read_aligned, skipped_splits
 from pairloom.sources.scores import read_scores
 from pairloom.sources.tables import (
     pairs_without_split,
@@ -84,7 +84,11 @@ def test_missing_and_empty_sides_are_skipped(spark, root):
     assert catalog.count() == 1
     assert choose_files(catalog).count() == 0
     assert read_aligned(spark, catalog).count() == 0
-    assert read_aligned(spark, catalog, mode="report").count() == 0
+    # what is skipped is told: a side without lines counts as 0 lines
+    assert rows(read_aligned(spark, catalog, mode="report")) == [("ces-eng", "train", 1, 0, 0, 1)]
+    assert rows(skipped_splits(catalog)) == [("ces-eng", "train", "src")]
+    with pytest.raises(Exception, match="different lengths"):
+        read_aligned(spark, catalog, mode="strict").count()
     assert list_pairs(spark, root + "-none").count() == 0
 
 
