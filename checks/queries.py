@@ -91,7 +91,8 @@ def aligned_report(spark, sf_dir):
 def aligned_gz(spark, sf_dir):
     """The line files packed with gzip, one file a side."""
     plain, root = write_line_files(spark, sf_dir), new_dir(spark, "gz")
-    lines = files.scan_lines(spark, [f"{plain}/{p}/train.{s}" for p in PAIRS for s in ("src", "trg")])
+    paths = [f"{plain}/{p}/train.{s}" for p in PAIRS for s in ("src", "trg")]
+    lines = files.with_side(files.raw_lines(spark, paths))
     kept = cut_lineage(lines.select("lang_pair", "side", "shard", "seq", "text"))
     for pair in PAIRS:
         for side in ("src", "trg"):

@@ -7,7 +7,7 @@ counts, so that one pair holding a third of all rows still spreads over the clus
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -123,14 +123,19 @@ def dense_ordinal(
 
 
 def with_ordinal(
-    lines: DataFrame, keys: Sequence[str], max_blocks: int | None = None
+    lines: DataFrame,
+    keys: Sequence[str],
+    named: Callable[[DataFrame], DataFrame],
+    max_blocks: int | None = None,
 ) -> DataFrame:
-    """Line numbers within ``keys`` for lines as ``sources.files.scan_lines`` gives them.
+    """Line numbers within ``keys`` for lines as ``sources.files.raw_lines`` gives them.
 
-    ``lines`` has ``keys``, ``shard``, ``block`` (start byte of the read block) and
-    ``seq`` (increasing within a block). A first pass counts lines per block; a line's
-    number is then its block's offset plus its distance from the block's first line,
-    which needs no sort and, as long as the table of blocks is small, no shuffle.
+    ``lines`` has ``file`` (its path as the reader tells it), ``block`` (start byte of the read
+    block) and ``seq`` (increasing within a block). A first pass counts lines per block;
+    ``named`` adds the ``keys`` and the ``shard`` to that small table, so paths are taken apart once
+    for each block and not for each line. A line's number is then its block's offset plus its distance from the
+    block's first line, which needs no sort and, as long as the table of blocks is small,
+    no shuffle.
 
     ``max_blocks`` is a proven upper bound of the number of blocks, known from the file
     sizes. Up to a limit the table of blocks is broadcast; above it, or without a
@@ -141,23 +146,24 @@ def with_ordinal(
     set; every line is checked against its block and a mismatch is an error.
     """
     keys = list(keys)
-    block_keys = [*keys, "shard", "block"]
-    blocks = lines.groupBy(*block_keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")
+    blocks = named(
+        lines.groupBy("file", "block").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")
+        )
     )
-    # shard names are numbered with at least five digits: longer means later
-    earlier = _sum_before("_n", keys, F.length("shard"), "shard", "block")
-    offsets = blocks.withColumn("_offset", earlier)
+    # a longer shard name means later: numbers have at least five digits
+    earlier = _sum_before("_n", keys or [F.lit(0)], F.length("shard"), "shard", "block")
+    offsets = blocks.select("file", "block", *keys, "_n", "_first", earlier.alias("_offset"))
     if max_blocks is not None and max_blocks <= BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
     step = F.col("seq") - F.col("_first")
-    joined = lines.join(offsets, block_keys, "left")
+    joined = lines.join(offsets, ["file", "block"], "left")
     same_cut = F.col("_n").isNotNull() & step.between(0, F.col("_n") - 1)
     checked = joined.filter(
         F.assert_true(same_cut, F.lit("files were split differently in the two passes")).isNull()
     )
-    kept = [c for c in lines.columns if c not in ("shard", "block", "seq")]
-    return checked.select(*kept, (F.col("_offset") + step).alias("ord"))
+    kept = [c for c in lines.columns if c not in ("file", "block", "seq")]
+    return checked.select(*keys, *kept, (F.col("_offset") + step).alias("ord"))
 
 
 def head_per_pair(df: DataFrame, n: int, order: str = "ord") -> DataFrame:

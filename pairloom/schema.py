@@ -1,8 +1,6 @@
 """Record types shared by sources, operators and sinks."""
 
 from pyspark.sql.types import (
-    ArrayType,
-    DoubleType,
     IntegerType,
     LongType,
     StringType,
@@ -15,6 +13,7 @@ def _strings(*names: str) -> list[StructField]:
     return [StructField(n, StringType()) for n in names]
 
 
+# Column names of the records that are read and written.
 PAIR_COLUMNS = ["source_text", "target_text", "source_lang", "target_lang"]
 
 #: The sentence pair.
@@ -36,10 +35,6 @@ CATALOG = StructType(
 #: A corpus that keeps both language codes per row and has no pair folders.
 FLAT = StructType(_strings("src_text", "tgt_text", "src_lang", "tgt_lang"))
 
-SCORES = StructType(
-    _strings("lang_pair") + [StructField("ord", LongType()), StructField("score", DoubleType())]
-)
-
 CACHE = StructType(
     [StructField("ord", LongType())] + _strings("source_text", "translation")
 )
@@ -48,11 +43,3 @@ CACHE = StructType(
 CODES = StructType(_strings("script_code") + [StructField("ord", LongType())])
 
 ISO = StructType(_strings("alpha_3", "alpha_2"))
-
-TOKENS = StructType(
-    [
-        StructField("pos", LongType()),
-        StructField("input_ids", ArrayType(IntegerType())),
-        StructField("labels", ArrayType(IntegerType())),
-    ]
-)

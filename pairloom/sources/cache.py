@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import model_key
 from pairloom.operators.ordinal import with_ordinal
 from pairloom.schema import CACHE
+from pairloom.sources.files import block_bound, file_sizes, raw_lines
 
 
 def scan_cache_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -18,16 +19,14 @@ def scan_cache_tsv(spark: SparkSession, path: str) -> DataFrame:
     Texts are taken as they are: no quoting, and ``NA`` is a text. Blank lines are
     skipped; a line without exactly two fields is bad.
     """
-    raw = spark.read.text(path).select(
-        F.col("value").alias("text"),
-        F.lit(0).alias("_file"),
-        F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("shard"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-    )
     fields = F.split("text", "\t")
+    bound = block_bound(spark, file_sizes(spark, [path]))
+
+    def named(blocks: DataFrame) -> DataFrame:
+        return blocks.withColumn("shard", F.regexp_extract("file", r"([^/]+)$", 1))
+
     return (
-        with_ordinal(raw, ["_file"])
+        with_ordinal(raw_lines(spark, [path]), [], named, bound)
         .filter(F.col("text") != "")
         .select(
             "ord",

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import canonical_split, is_pair_name, left_code, right_code, strip_text
@@ -96,33 +96,43 @@ def skipped_splits(catalog: DataFrame, dev: str = "fallback") -> DataFrame:
     )
 
 
-def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines with their file's place in the catalog and their place in the file:
-    ``lang_pair, split, side, shard, block, seq, text``."""
-    raw = spark.read.text(paths).select(
-        F.col("value").alias("text"),
-        # a path in metadata is URL-encoded, where "+" stands for itself
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias(
-            "_path"
-        ),
+def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines with their place: ``file, block, seq, text``."""
+    return spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("text"),
     )
 
+
+def file_name(file: str = "file") -> Column:
+    """A path as metadata has it, URL-encoded, with "+" standing for itself, made plain."""
+    return F.url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B")))
+
+
+def with_side(df: DataFrame) -> DataFrame:
+    """``df`` with the ``lang_pair, split, side, shard`` that its ``file`` tells."""
+
     def part(i: int):
-        return F.regexp_extract("_path", _SIDE_PATH, i)
-
-    return raw.select(
-        part(1).alias("lang_pair"),
-        canonical_split(part(2)).alias("split"),
-        part(3).alias("side"),
-        part(5).alias("shard"),
-        "block",
-        "seq",
-        "text",
+        return F.regexp_extract(file_name(), _SIDE_PATH, i)
+
+    return df.withColumns(
+        {
+            "lang_pair": part(1),
+            "split": canonical_split(part(2)),
+            "side": part(3),
+            "shard": part(5),
+        }
     )
 
 
+def file_sizes(spark: SparkSession, paths: list[str]) -> list[int]:
+    """Bytes of the files under ``paths``, from the file index; none is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return [r.length for r in found.select("length").collect()]
+
+
 def block_bound(spark: SparkSession, sizes: list[int]) -> int:
     """An upper bound of the blocks Spark cuts files of these sizes into."""
     conf = spark.conf
@@ -144,9 +154,9 @@ def numbered_lines(
     files = choose_files(catalog, dev, one_sided).select("path", "bytes").collect()
     if not files:
         return None
-    lines = scan_lines(spark, [f.path for f in files])
+    lines = raw_lines(spark, [f.path for f in files])
     bound = block_bound(spark, [f.bytes for f in files])
-    numbered = with_ordinal(lines, ["lang_pair", "split", "side"], bound)
+    numbered = with_ordinal(lines, ["lang_pair", "split", "side"], with_side, bound)
     return numbered.withColumn("text", strip_text("text"))
 
 

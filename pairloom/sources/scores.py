@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pairloom.functions.text import strip_text
 from pairloom.operators.ordinal import with_ordinal
 from pairloom.operators.sizing import local_table
+from pairloom.sources.files import block_bound, file_name, file_sizes, raw_lines
 
 
 def read_scores(
@@ -28,28 +29,23 @@ def read_scores(
     if not paths:
         return spark.createDataFrame([], "lang_pair string, ord bigint, score double")
     roots = {p: path.rstrip("/") for p, path in paths.items()}
-    raw = spark.read.text(list(roots.values())).select(
-        F.col("value").alias("text"),
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias(
-            "_path"
-        ),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-    )
+    files = list(roots.values())
     schema = StructType([StructField(n, StringType()) for n in ("_root", "lang_pair")])
     names = local_table(spark, [(_uri_path(r), p) for p, r in roots.items()], schema)
-    # a file is its own root; a part file's root is its folder
-    plain = F.regexp_replace(F.col("_path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-    folder = F.regexp_replace(plain, r"/[^/]+$", "")
-    in_folder = folder.isin([_uri_path(r) for r in roots.values()])
-    lines = raw.select(
-        F.when(in_folder, folder).otherwise(plain).alias("_root"),
-        F.when(in_folder, F.regexp_extract(plain, r"([^/]+)$", 1)).otherwise("").alias("shard"),
-        "block",
-        "seq",
-        "text",
-    ).join(names, "_root").drop("_root")
-    return with_ordinal(lines, ["lang_pair"]).select(
+
+    def named(blocks: DataFrame) -> DataFrame:
+        # a file is its own root; a part file's root is its folder
+        plain = F.regexp_replace(file_name(), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+        folder = F.regexp_replace(plain, r"/[^/]+$", "")
+        in_folder = folder.isin([_uri_path(r) for r in files])
+        shard = F.when(in_folder, F.regexp_extract(plain, r"([^/]+)$", 1)).otherwise("")
+        placed = blocks.withColumns(
+            {"_root": F.when(in_folder, folder).otherwise(plain), "shard": shard}
+        )
+        return placed.join(names, "_root").drop("_root")
+
+    bound = block_bound(spark, file_sizes(spark, files))
+    return with_ordinal(raw_lines(spark, files), ["lang_pair"], named, bound).select(
         "lang_pair", "ord", strip_text("text").cast("double").alias("score")
     )
 

@@ -152,3 +152,16 @@ def test_scratch_folders_are_removed(spark):
     kept = new_dir(spark, "try")
     spark.range(3).write.parquet(kept)
     remove_dir(spark, kept)
+
+
+def test_paths_are_taken_apart_on_blocks_only(spark, tmp_path):
+    from pairloom.sources.files import list_pairs, read_aligned
+
+    for side in ("src", "trg"):
+        path = tmp_path / "ces-eng" / f"train.{side}"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("a\nb\n")
+    lines = read_aligned(spark, list_pairs(spark, str(tmp_path)))
+    text_side = plan(lines).split("BroadcastExchange")[0]
+    assert "url_decode" not in text_side and "regexp_extract" not in text_side
+    assert lines.count() == 2
