@@ -168,13 +168,14 @@ class _Lattice:
         single = np.zeros(n, bool)  # bytes of characters that have a piece of their own
         lead = (data & 0xC0) != 0x80
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
-        for length in vocabulary.lookup[3]:
-            at = place[(place + length <= end_of) & lead] if length > 1 else place[lead]
-            if not len(at):
+        begins = np.flatnonzero(lead)
+        for length in vocabulary.lookup[3]:  # rising, so fewer and fewer places have room
+            begins = begins[begins + length <= end_of[begins]]
+            if not len(begins):
                 break
-            found = vocabulary.find(sums(at, at + length))
+            found = vocabulary.find(sums(begins, begins + length))
             hit = found >= 0
-            at, found = at[hit], found[hit]
+            at, found = begins[hit], found[hit]
             ends.append(at + length)
             befores.append(at)
             ids.append(found)
@@ -194,8 +195,9 @@ class _Lattice:
         self.first = np.searchsorted(end, np.arange(n + 1))
         alpha = np.full(n, -np.inf)
         share = np.empty(len(end))
-        by_offset = np.argsort(offset[end], kind="stable")
-        cuts = np.searchsorted(offset[end][by_offset], np.arange((size.max() if len(size) else 0) + 1))
+        far = offset[end]
+        by_offset = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 65536 else far, kind="stable")
+        cuts = np.searchsorted(far[by_offset], np.arange((size.max() if len(size) else 0) + 1))
         for lo, hi in zip(cuts, cuts[1:]):
             edges = by_offset[lo:hi]
             if not len(edges):
@@ -243,8 +245,9 @@ def encode_chunk(vocabulary: Vocabulary, texts: Texts, keys: np.ndarray) -> tupl
     doc = np.repeat(np.arange(texts.count), np.diff(unit_ptr))
     number = np.arange(len(begin)) - unit_ptr[doc]
     seeds = mix(keys[doc] + mix(number.astype(np.uint64) + _U(0x9E3779B97F4A7C15)))
-    first, place = starts[which], starts[which + 1] - 1
-    active = np.arange(len(begin))
+    # occurrences of one unit together, so that draws search one part of the lattices after the other
+    active = np.argsort(which, kind="stable")
+    first, place = starts[which[active]], starts[which[active] + 1] - 1
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     step = 0
     while len(active):
