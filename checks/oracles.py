@@ -173,12 +173,16 @@ mixed AS (
 SELECT pos, lang_pair, source_id, target_id, source_lang, target_lang, {MD5S} FROM shuffled"""
 
 
-_FIRST = """sizes AS (SELECT lang_pair, least(count(*), 20) AS n FROM oriented GROUP BY 1),
+def _first_rows(n: str) -> str:
+    """Interleaved rows of which each pair gives the first ``n``."""
+    return f"""sizes AS (SELECT lang_pair, least(count(*), {n}) AS n FROM oriented GROUP BY 1),
 turns AS (
   SELECT lang_pair, row_number() OVER (ORDER BY lang_pair) - 1 AS turn,
          count(*) OVER () AS k, min(n) OVER () AS rounds FROM sizes),
 mixed AS (
-  SELECT ord * k + turn AS pos, oriented.* FROM oriented JOIN turns USING (lang_pair) WHERE ord < rounds)"""
+  SELECT ord * k + turn AS pos, oriented.* FROM oriented JOIN turns USING (lang_pair) WHERE ord < rounds),
+{shuffled("mixed", "(SELECT greatest(1, count(*) // 4) FROM pairs)")}"""
+
 
 _RECODED = f"""WITH {ORIENTED_SQL}, {dim(UNEVEN_DIMENSION)},
 recoded AS (
@@ -368,9 +372,15 @@ FROM heads JOIN turns USING (target_lang) WHERE ord < rounds""",
   FROM pairs WHERE source_lang = 'eng' AND target_lang IN ('fra', 'spa')),
 {shuffled("kept", "(SELECT greatest(1, count(*) // 4) FROM kept)")}
 SELECT pos, source_id, target_id, source_lang, target_lang, {MD5S} FROM shuffled""",
-    "training_first": f"""WITH {ORIENTED_SQL}, {_FIRST},
-{shuffled("mixed", "(SELECT greatest(1, count(*) // 4) FROM pairs)")}
+    "training_first": f"""WITH {ORIENTED_SQL}, {_first_rows("20")}
 SELECT pos, lang_pair, source_id, target_id, {MD5S} FROM shuffled""",
+    "training_teacher": f"""WITH {ORIENTED_SQL}, {_first_rows("count(*)")}, {_CACHE}, known AS (
+  SELECT source_text, max_by(translation, ord) AS translation FROM rows
+  WHERE ord IN (SELECT doc_id FROM labels) GROUP BY 1)
+SELECT pos, lang_pair, source_id, target_id, md5(s.source_text) AS source_md5,
+       md5(coalesce(k.translation, 't:' || s.source_text)) AS target_md5
+FROM shuffled s LEFT JOIN known k USING (source_text)
+WHERE pos < (SELECT count(*) // 8 * 8 FROM shuffled)""",
     "training_sizes": f"""WITH {PAIRS_SQL} SELECT count(*) AS n_stored,
   count(*) FILTER (score >= 0.5) AS n_effective FROM pairs""",
     "code_requests": f"""WITH {PAIRS_SQL} SELECT lang_pair, count(*) AS n FROM pairs

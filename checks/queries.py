@@ -773,6 +773,16 @@ def training_rows(spark, sf_dir):
     return _training(spark, sf_dir, DIMENSION)
 
 
+def training_teacher(spark, sf_dir):
+    """Training rows with the teacher's targets, full batches only."""
+    rows = pairs(spark, sf_dir)
+    dim = code_source.code_dimension(spark, DIMENSION)
+    languages = training.resolve_languages(dim, rows.select("lang_pair").distinct(), ANCHOR)
+    made = training.training_rows(rows, languages, dim, sides=SIDES)
+    found, _ = training.teacher_rows(made, _known(spark, sf_dir), _translator(), 8)
+    return hashed(found, "pos", "lang_pair", "source_id", "target_id")
+
+
 def training_first(spark, sf_dir):
     """The first rows of each pair only."""
     rows = pairs(spark, sf_dir)
@@ -829,6 +839,6 @@ QUERIES = {
         bleu_counts, corpus_bleu,
         stream_normalize, stream_flat, stream_ingest, stream_then_ingest, stream_two_sources,
         aligned_gz, uneven_report, read_flat, drop_script, code_requests, training_sizes,
-        training_rows, training_first, training_rows_uneven, eval_rows, flat_training_rows,
+        training_rows, training_teacher, training_first, training_rows_uneven, eval_rows, flat_training_rows,
     )
 }

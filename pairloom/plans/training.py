@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import other_side
+from pairloom.functions.text import base_code, other_side
 from pairloom.operators.align import attach_scores, check_lengths
+from pairloom.operators.cache import Translate, translate
 from pairloom.operators.codes import (
     intersecting,
     match_status,
@@ -86,6 +87,41 @@ def resolve_languages(
     )
 
 
+def resolve_flat_languages(
+    dim: DataFrame, anchor: str, targets: DataFrame | None = None
+) -> Languages:
+    """Languages of a flat corpus, which has no pair names: the requested targets (column ``code``; without
+    them all languages of the dimension but the anchor) are looked up in the dimension only."""
+    anchor_code = resolve_anchor(dim, anchor)
+    base = anchor_code.split("_")[0]
+    if targets is None:
+        targets = dim.select(base_code("script_code").alias("code"))
+    requested = targets.select("code").distinct().filter(F.col("code") != base)
+    covered, _ = intersecting(requested, dim)
+    unclear = match_status(requested, dim).filter("status = 'ambiguous'").select("code").distinct()
+    several = dim.join(unclear, base_code("script_code") == F.col("code"), "left_semi")
+    return Languages(
+        anchor=base,
+        anchor_code=anchor_code,
+        covered=sorted(r.script_code for r in covered.collect()),
+        pairs=[],
+        ambiguous=sorted(r.script_code for r in several.collect()),
+    )
+
+
+def teacher_rows(
+    rows: DataFrame,
+    known: DataFrame,
+    fn: Translate,
+    batch: int = 32,
+    drop_last: bool = True,
+    tasks: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(rows, new_rows)``: training rows whose targets are the teacher's translations of their sources, from the
+    cache ``known`` or from ``fn``, and what to add to the cache. The trailing partial batch is cut."""
+    return translate(rows, known, fn, batch, drop_last=drop_last, tasks=tasks)
+
+
 def training_rows(
     pairs: DataFrame,
     languages: Languages,

@@ -47,7 +47,7 @@ def compare(spark: SparkSession, con, name: str, sf_dir: str) -> tuple[bool, str
 
 
 def main() -> int:
-    sf_dir, names = sys.argv[1], sys.argv[2:] or list(entry.queries())
+    sf_dir, names = sys.argv[1], sys.argv[2:] or list(entry.oracle_sql())
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")

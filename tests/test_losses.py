@@ -165,3 +165,14 @@ def test_paths_are_taken_apart_on_blocks_only(spark, tmp_path):
     text_side = plan(lines).split("BroadcastExchange")[0]
     assert "url_decode" not in text_side and "regexp_extract" not in text_side
     assert lines.count() == 2
+
+
+def test_languages_of_a_flat_corpus(spark):
+    from pairloom.plans.training import resolve_flat_languages
+    from pairloom.sources.codes import code_dimension
+
+    dim = code_dimension(spark, ["ces_Latn", "eng_Latn", "zho_Hans", "zho_Hant", "fra_Latn"])
+    asked = spark.createDataFrame([("eng",), ("zho",), ("tah",)], "code string")
+    found = resolve_flat_languages(dim, "ces", asked)
+    assert (found.anchor_code, found.covered, found.ambiguous) == ("ces_Latn", ["eng_Latn"], ["zho_Hans", "zho_Hant"])
+    assert resolve_flat_languages(dim, "ces").covered == ["eng_Latn", "fra_Latn"]
