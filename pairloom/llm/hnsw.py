@@ -1,11 +1,11 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Vectors go to shards of bounded size by a hash of their id. Each shard builds its own graph: every
-vector is in the bottom layer, and a sixteenth of each layer in the next. A graph is stored as flat arrays, for each
-layer the ids of its members and a table of neighbours. A search walks greedily down the layers
-and then keeps the ``EF`` nearest of the bottom layer; the shards' results are merged per query.
-All queries of a block walk together, a step at a time, and so do the vectors of a batch that are
-inserted, so the work is done on whole arrays.
+vector is in the bottom layer, and a sixteenth of each layer in the next. A graph is stored as flat
+arrays: for each layer its members and a table of neighbours. A search walks greedily down the
+layers and then keeps the ``EF`` nearest of the bottom layer; the shards' results are merged per
+query. All queries of a block walk together, a step at a time, and so do the vectors of a batch that
+are inserted, so the work is done on whole arrays.
 
 Nearness is the largest inner product. Vectors are given one more component, which makes all of
 them equally long (the longest vector of all data sets the length): then the nearest is the one with the
@@ -14,15 +14,15 @@ in double precision.
 
 Equal vectors of a shard are one node with many ids, so copies, however many, do not crowd a graph.
 
-Defined results: vectors that are null, of another length than most (the longest length that the
-most frequent one is), all zero, or hold a null or non-finite component take no part. Ties go to the
-smaller ``vec_id``. With fewer candidates than ``k`` all are returned. Rows without ``vec_id`` take no part; of rows that
-repeat an id the one with the larger product counts, and an id never finds itself. Further columns are ignored. Empty in, empty out.
+Defined results: vectors that are null, all zero, of another length than the most frequent one, or
+hold a null or non-finite component take no part, nor do rows without ``vec_id``. Ties go to the
+smaller ``vec_id``. With fewer candidates than ``k`` all are returned. Of rows that repeat an id the
+one with the larger product counts, and an id never finds itself. Further columns are ignored.
+Empty in, empty out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -210,7 +210,6 @@ def clean_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``vec_id, vector, norm`` of the rows that take part."""
     values = F.col(vector).cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
     out = (
         df.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("vector"))
         .filter("vec_id is not null and vector is not null")

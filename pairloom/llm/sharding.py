@@ -1,14 +1,15 @@
 """Resharding by minimum-cost flow.
 
-Old shards hold so many bytes, new shards shall hold given amounts. Bytes that stay cost nothing, bytes
-that move cost their distance; the flow of least cost says how many bytes go from which old shard
-to which new one. Rows move in blocks: an old shard is cut by a hash into ``BLOCKS`` parts, whose
-sizes are all the driver sees. Blocks are dealt to the flows out of their shard, so a new shard is off
-its amount by less than a block for each flow into it.
-
-Defined results: a null text has no bytes and its checksum is that of the empty text; every row is placed,
-repeated ones too; rows without ``doc_id`` or source are hashed as such. Slots follow block, id, checksum and size, so
-equal rows are interchangeable. Other columns are ignored. Empty in, empty out.
+Old shards hold so many bytes, new shards shall hold given amounts. Bytes that stay cost nothing,
+bytes that move cost their distance; the flow of least cost says how many bytes go from which old
+shard to which new one. Rows move in blocks: an old shard is cut by a hash into ``BLOCKS`` parts,
+whose sizes are all the driver sees. Blocks are dealt to the flows out of their shard, so a new shard
+is off its amount by less than a block for each flow into it.
+
+Defined results: a null text has no bytes and its checksum is that of the empty text; every row is
+placed, repeated ones too; rows without ``doc_id`` or source are hashed as such. Slots follow block,
+id, checksum and size, so equal rows are interchangeable. Other columns are ignored. Empty in, empty
+out.
 """
 
 from __future__ import annotations

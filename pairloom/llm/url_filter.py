@@ -1,19 +1,20 @@
 """URL filters: rules by host and path, and a logistic regression where no rule fits.
 
-Features are hashed character n-grams of host and path, each kind apart; the regression is trained by
-full-batch gradient descent on a small labelled table of URLs, kept in the checkpoint folder. All of it is
-column functions and aggregates; what the driver sees is one number for each of ``BUCKETS`` features.
-
-Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and has no n-grams, so
-the model's intercept decides; without labelled URLs of both verdicts everything undecided is allowed. Repeated rows
-each give a row. Columns beyond the id and the URL are ignored. Empty in, empty out.
+Features are hashed character n-grams of host and path, each kind apart; the regression is trained
+by full-batch gradient descent on a small labelled table of URLs, kept in the checkpoint folder. All
+of it is column functions and aggregates; what the driver sees is one number for each of
+``BUCKETS`` features.
+
+Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and has no
+n-grams, so the model's intercept decides; without labelled URLs of both verdicts everything
+undecided is allowed. Repeated rows each give a row. Columns beyond the id and the URL are ignored.
+Empty in, empty out.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
