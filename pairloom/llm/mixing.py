@@ -7,20 +7,22 @@ least-squares problem by projected gradient steps from rate 1: a step lowers the
 documents in domains that are over target, raises those of others, and cuts at 0. A step needs a few
 sums over all documents, so the gradient is distributed and the driver sees numbers for domains and pairs of domains only.
 
-The classifier is naive Bayes on the presence of the words that tell the classes of a bounded sample of labelled documents apart, and
-over three features of the form of a text (share of special signs, of capitals, of repeated lines). All is columns,
-joins and aggregates.
-
-Texts, not ids, are classified: equal texts share a posterior. Defined results: a null text counts as an empty one, with
-0 tokens; without a usable labelled row of two domains, all documents are in all domains alike, and rates are 1 if no text
-has tokens. A domain without any document keeps its excess; the others are met. Repeated rows each give a row. Columns
-beyond those named are ignored. Empty in, empty out.
+The classifier is naive Bayes on the presence of the words that tell the classes of a bounded sample
+of labelled documents apart, and on how far the lines of a text repeat. All is columns, joins and
+aggregates.
+
+Texts, not ids, are classified: equal texts share a posterior. Defined results: a null text counts as
+an empty one, with 0 tokens; without usable labelled rows of two domains all documents are in all
+domains alike, and rates are 1 if no text has tokens. A domain without any document keeps its
+excess; the others are met. Repeated rows each give a row. Columns beyond those named are ignored.
+Empty in, empty out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -51,37 +53,32 @@ LEAST_SEEN = 10
 TELLS = 1.0
 
 
+class Model(NamedTuple):
+    """``words``: ``word`` and its log-odds in each domain; ``start``: log-prior of each domain, with what the
+    absence of all words says."""
+
+    words: DataFrame
+    start: dict[str, float]
+
+
 def label_domain() -> Column:
     """The domain of a row of ``labels``."""
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
 
 
-def _flat(text: Column) -> Column:
-    return F.translate(text, "\n\t\r", "   ")
-
-
 def words(text: Column) -> Column:
-    """Words of a text, with punctuation as it stands; empty ones where spaces repeat."""
-    return F.split(F.lower(_flat(text)), " ")
+    """Words of a text as they stand, with capitals and punctuation; empty ones where spaces repeat."""
+    for white in "\n\t\r":
+        text = F.replace(text, F.lit(white), F.lit(" "))
+    return F.split(text, " ")
 
 
 def form(text: Column) -> Column:
-    """Three words that tell the form of a text."""
-    size = F.greatest(F.length(text), F.lit(1))
-
-    def share(signs: str, name: str, bounds: tuple[float, ...]) -> Column:
-        part = 1 - F.length(F.translate(text, signs, "")) / size
-        level = sum((part > b).cast("int") for b in bounds)
-        return F.concat(F.lit(f" {name}="), level.cast("string"))
-
+    """A word that tells how far the lines of a text repeat."""
     lines = F.split(text, "\n")
     fresh = F.size(F.array_distinct(lines)) / F.size(lines)
     repeated = F.when(fresh < 0.5, 2).when(fresh < 0.8, 1).otherwise(0)
-    return F.array(
-        share("!%&$*#|@^~<>{}=", "signs", (0.004, 0.02, 0.06)),
-        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "capitals", (0.02, 0.08, 0.3)),
-        F.concat(F.lit(" repeated="), repeated.cast("string")),
-    )
+    return F.array(F.concat(F.lit(" repeated="), repeated.cast("string")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -92,9 +89,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE_DOCS) -> DataFrame | None:
-    """``word`` and a column of log-weights for each domain: at most ``WORDS_EACH`` words for each, and the
-    forms. ``labelled`` has ``doc_id, domain``. None if fewer than two domains have rows."""
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE_DOCS) -> Model | None:
+    """At most ``WORDS_EACH`` words for each domain, and the forms. ``labelled`` has ``doc_id, domain``. None if fewer
+    than two domains have rows."""
     by_hash = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
@@ -119,7 +116,9 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
         *(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(d) for d in domains)
     )
     rate = {d: (F.col(d) + 0.5) / (sizes.get(d, 0) + 1.0) for d in domains}
-    weights = by_word.filter(F.greatest(*(F.col(d) for d in domains)) >= LEAST_SEEN).select(
+    # read by every domain below
+    by_word = cut_lineage(by_word.filter(F.greatest(*(F.col(d) for d in domains)) >= LEAST_SEEN))
+    weights = by_word.select(
         "word",
         *(F.log(rate[d] / (1 - rate[d])).alias(f"w_{d}") for d in domains),
         *(F.log(1 - rate[d]).alias(f"a_{d}") for d in domains),
@@ -135,43 +134,35 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     # a word that is missing speaks too: what all missing together say is added once
     absent = table.agg(*(F.sum(f"a_{d}").alias(d) for d in domains)).first()
     start = {d: math.log((sizes.get(d, 0) + 0.5) / (sum(sizes.values()) + 1)) + (absent[d] or 0.0) for d in domains}
-    columns = [f"w_{d}" for d in domains]
-    prior = docs.sparkSession.range(1).select(
-        F.lit(" prior").alias("word"), *(F.lit(start[d]).alias(c) for d, c in zip(domains, columns))
-    )
-    return table.select("word", *columns).union(prior)
+    return Model(table.select("word", *(f"w_{d}" for d in domains)), start)
 
 
-def posteriors(docs: DataFrame, model: DataFrame | None, domains: list[str]) -> DataFrame:
+def posteriors(docs: DataFrame, model: Model | None, domains: list[str]) -> DataFrame:
     """``doc_id, tokens`` and ``p_<domain>`` for every row.
 
     Words meet the bounded table of the model by broadcast where they are read; what is shuffled is one
-    row for each text with partial sums.
+    row for each text and known word in it, folded before it travels, so copies of a text count once.
     """
     keyed = _keyed(docs)
-    tokens = F.size(F.filter(words(F.col("text")), lambda w: w != "")).cast("long")
+    text = F.col("text")
+    rows = keyed.select("doc_id", "key", F.size(F.array_remove(words(text), "")).cast("long").alias("tokens"))
     if model is None:
         even = [F.lit(1 / len(domains)).alias(f"p_{d}") for d in domains]
-        return keyed.select("doc_id", tokens.alias("tokens"), *even)
-    text = F.col("text")
-    all_words = F.array_distinct(F.concat(F.array(F.lit(" prior")), form(text), words(text)))
-    known = F.broadcast(model)
-    scores = (
-        keyed.select("key", F.explode(all_words).alias("word"))
-        .join(known, "word")
-        .groupBy("key")
-        .agg(
-            F.sum(F.when(F.col("word") == " prior", 1).otherwise(0)).alias("copies"),
-            *(F.sum(f"w_{d}").alias(f"s_{d}") for d in domains),
-        )
+        return rows.select("doc_id", "tokens", *even)
+    weights = [f"w_{d}" for d in domains]
+    hits = (
+        keyed.select("key", F.explode(F.concat(form(text), words(text))).alias("word"))
+        .join(F.broadcast(model.words), "word")
+        .groupBy("key", "word", *weights)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    # sums run over all copies of a text
-    soft = {d: F.col(f"s_{d}") / F.col("copies") for d in domains}
+    scores = hits.groupBy("key").agg(*(F.sum(w).alias(w) for w in weights))
+    soft = {d: F.coalesce(f"w_{d}", F.lit(0.0)) + F.lit(model.start[d]) for d in domains}
     top = F.greatest(*soft.values())
     mass = {d: F.exp(soft[d] - top) for d in domains}
     total = sum(mass.values())
-    shares = scores.select("key", *((mass[d] / total).alias(f"p_{d}") for d in domains))
-    return keyed.select("doc_id", "key", tokens.alias("tokens")).join(shares, "key").drop("key")
+    shares = [(mass[d] / total).alias(f"p_{d}") for d in domains]
+    return rows.join(scores, "key", "left").select("doc_id", "tokens", *shares)
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float], tokens: float | None = None, steps: int = STEPS) -> DataFrame:
