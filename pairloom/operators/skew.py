@@ -7,24 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most texts that can be treated as hot.
-HOT_KEYS = 64
+#: Texts that can be treated as hot; with so many, each of the others is a thousandth at most.
+HOT_KEYS = 1000
+
+#: Rows of one text that a task takes without splitting them, however many rows there are.
+HOT_ROWS = 1_000_000
 
 #: Ways a hot text is split.
 SALTS = 64
 
 
 def hot_hashes(df: DataFrame, text: str, share: float = 1 / 256) -> list[int]:
-    """Hashes of the texts that make up more than ``share`` of the rows: at most
-    ``HOT_KEYS`` numbers, from one mergeable sketch, so no text is shuffled for it.
+    """Hashes of the texts that make up more than ``share`` of the rows, or more than ``HOT_ROWS``: at
+    most ``HOT_KEYS`` numbers, from one mergeable sketch, so no text is shuffled for it.
 
     The sketch may overrate a text; that only salts a text that did not need it.
     """
     found = df.agg(
-        F.expr(f"approx_top_k(xxhash64({text}), {HOT_KEYS}, 4096)").alias("top"),
+        F.expr(f"approx_top_k(xxhash64({text}), {HOT_KEYS}, 65536)").alias("top"),
         F.count(F.lit(1)).alias("n"),
     ).first()
-    return [t["item"] for t in found.top or [] if t["count"] > share * found.n]
+    most = min(share * found.n, HOT_ROWS)
+    return [t["item"] for t in found.top or [] if t["count"] > most]
 
 
 def text_join(
