@@ -51,7 +51,7 @@ LONG_LIST_SHARE = 400
 LONG_LIST_LEAST = 64
 
 #: Shingles a task handles at once: gathered before they are sent, in a hash range, in a block.
-SEND = 2_000_000
+SEND = 1_000_000
 RANGE = 2_000_000
 BLOCK = 2_000_000
 #: Sets a block of a cluster holds.

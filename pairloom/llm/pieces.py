@@ -35,6 +35,9 @@ from pairloom.llm.bytesets import Texts, chunks, mix, span_hashes, word_hashes
 #: The vocabulary; a parameter of the operators.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Bytes of text whose lattices are held at once; more would cost memory and save no time.
+CHUNK_BYTES = 400_000
+
 #: Weight of a byte piece, in nats; it is only in lattices of characters without a piece.
 _BYTE_WEIGHT = -12.0
 
@@ -295,7 +298,7 @@ def _encode(batches: Iterable[pa.RecordBatch], shared, seed: int) -> Iterator[pa
     for batch in batches:
         column = batch.column("text")
         keys = row_keys(batch.column("doc_id"), seed)
-        for texts in chunks(column):
+        for texts in chunks(column, CHUNK_BYTES):
             rows = slice(texts.first, texts.first + texts.count)
             ids, ptr = encode_chunk(vocabulary, texts, keys[rows])
             back, back_ptr = decode_ids(vocabulary, ids, ptr)
