@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.jaccard_join import jaccard_components
 from pairloom.llm.language_id import prediction
-from pairloom.llm.mixing import TARGETS, copies, mix
+from pairloom.llm.mixing import CLEAN, TARGETS, copies, rated, sparing, text_key
 from pairloom.llm.pieces import encode
 from pairloom.llm.secrets import redact_secrets
 from pairloom.operators.sizing import small_side
@@ -47,11 +47,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is repeated, or left out, as its rate says. Rows of one id get the same rate; rows without
-    an id stay once."""
-    rates = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
-    times = rates.groupBy("doc_id").agg(F.max(copies(F.col("rate"))).alias("_times"))
-    mixed = docs.join(times, "doc_id", "left")
+    """Every document is repeated, or left out, as its rate says: none of the clean domain is left out, and none of
+    another is repeated. Rows of one id and text get the same rate; rows without an id stay once."""
+    rates = rated(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    rates = sparing(rates, CLEAN, [d for d in TARGETS if d != CLEAN])
+    times = rates.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.max(copies(F.col("rate"))).alias("_times")
+    )
+    own = (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    mixed = docs.join(times, own, "left")
     often = F.array_repeat(F.lit(1), F.coalesce("_times", F.lit(1)))
     return mixed.select(*docs.columns, F.explode(often).alias("_one")).drop("_one")
 

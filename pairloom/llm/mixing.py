@@ -32,6 +32,8 @@ from pairloom.workspace import cut_lineage
 
 #: Target share of the tokens of each domain; the domains of the query are classes of ``labels``.
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+#: The domain of which a mix loses nothing; the others are not repeated.
+CLEAN = "good"
 
 #: Labelled documents of each domain that are learned from, those with the smallest hashes.
 SAMPLE_DOCS = 1500
@@ -85,7 +87,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and a key that equal texts share."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn(
-        "key", F.xxhash64("text")
+        "key", text_key(F.col("text"))
     )
 
 
@@ -138,7 +140,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
 
 
 def posteriors(docs: DataFrame, model: Model | None, domains: list[str]) -> DataFrame:
-    """``doc_id, tokens`` and ``p_<domain>`` for every row.
+    """``doc_id, key, tokens`` and ``p_<domain>`` for every row.
 
     Words meet the bounded table of the model by broadcast where they are read; what is shuffled is one
     row for each text and known word in it, folded before it travels, so copies of a text count once.
@@ -148,7 +150,7 @@ def posteriors(docs: DataFrame, model: Model | None, domains: list[str]) -> Data
     rows = keyed.select("doc_id", "key", F.size(F.array_remove(words(text), "")).cast("long").alias("tokens"))
     if model is None:
         even = [F.lit(1 / len(domains)).alias(f"p_{d}") for d in domains]
-        return rows.select("doc_id", "tokens", *even)
+        return rows.select("doc_id", "key", "tokens", *even)
     weights = [f"w_{d}" for d in domains]
     hits = (
         keyed.select("key", F.explode(F.concat(form(text), words(text))).alias("word"))
@@ -162,7 +164,7 @@ def posteriors(docs: DataFrame, model: Model | None, domains: list[str]) -> Data
     mass = {d: F.exp(soft[d] - top) for d in domains}
     total = sum(mass.values())
     shares = [(mass[d] / total).alias(f"p_{d}") for d in domains]
-    return rows.join(scores, "key", "left").select("doc_id", "tokens", *shares)
+    return rows.join(scores, "key", "left").select("doc_id", "key", "tokens", *shares)
 
 
 def fit_rates(members: DataFrame, targets: Mapping[str, float], tokens: float | None = None, steps: int = STEPS) -> DataFrame:
@@ -212,14 +214,39 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], tokens: float |
     return members.withColumn("rate", best[1] if best else F.lit(1.0))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """``doc_id, tokens, p_<domain> ..., rate`` of every row of ``docs``."""
+def text_key(text: Column) -> Column:
+    """The key that rows of :func:`rated` have from their text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def rated(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """``doc_id, key, tokens, p_<domain> ..., rate`` of every row of ``docs``."""
     domains = list(targets)
     labelled = labels.select("doc_id", label_domain().alias("domain"))
     model = learn(docs, labelled, domains)
     return fit_rates(posteriors(docs, model, domains), targets)
 
 
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """``doc_id, tokens, p_<domain> ..., rate`` of every row of ``docs``."""
+    return rated(docs, labels, targets).drop("key")
+
+
+def sparing(members: DataFrame, clean: str, others: list[str]) -> DataFrame:
+    """``members`` with rates that drop no document of ``clean`` and repeat none of ``others``.
+
+    Where the targets ask for fewer ``clean`` tokens than there are, all rates rise by one factor, so that those tokens
+    are met in full and the others keep their ratio to them. Then a document that is in ``clean`` as much as in any
+    other domain has a rate of 1 at least, and any other document of 1 at most.
+    """
+    mine = F.col(f"p_{clean}")
+    weight = F.col("tokens") * mine
+    reached = members.agg(F.try_divide(F.sum(weight * F.col("rate")), F.sum(weight)).alias("r")).first().r
+    raised = F.col("rate") * (max(1.0, 1 / reached) if reached else 1.0)
+    is_clean = mine >= F.greatest(F.lit(0.0), *(F.col(f"p_{d}") for d in others))
+    return members.withColumn("rate", F.when(is_clean, F.greatest(raised, F.lit(1.0))).otherwise(F.least(raised, F.lit(1.0))))
+
+
 def copies(rate: Column, seed: int = 0) -> Column:
     """How often a row is to be seen: the whole part of its rate, and once more by a draw from the
     row's id."""

@@ -261,6 +261,21 @@ def test_mixing_of_awkward_rows(spark, awkward, empty):
 # Pipeline ------------------------------------------------------------------------------
 
 
+def test_mixing_keeps_clean_documents_where_nearly_all_are_clean(spark, tmp_path):
+    docs, labels = [], []
+    for i in range(1000):
+        kind = "poor" if i % 50 == 1 else "toxic" if i % 100 == 2 else "good"
+        docs.append((i, prose(i, 30) + {"good": " nice", "poor": " awful", "toxic": " !!!! $$$$ %%%%"}[kind]))
+        labels.append((i, int(kind == "good"), int(kind == "toxic")))
+    docs.append((0, docs[2][1]))  # a toxic text with the id of a good one
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = corpus_pipeline.mixing(spark, d, str(tmp_path))
+    times = {(r.doc_id, r.text): r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()}
+    assert all(times.get(x, 0) >= 1 for x in docs if x[1].endswith("nice"))
+    assert all(n == 1 for (_, text), n in times.items() if not text.endswith("nice"))
+
+
 def test_stages_of_awkward_rows(spark, awkward):
     sf = "/root/testdata/sf0.001"
     kept = corpus_pipeline.language_id(spark, awkward, sf)
