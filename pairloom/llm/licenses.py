@@ -1,13 +1,14 @@
 """License scans: passages compared with license templates by the Dice coefficient.
 
 A text is normalised to lower-case words (letters, digits and all non-ASCII characters; everything
-else separates) and cut into lines. A line in which at least half of the word pairs occur in some
-template is a candidate. Passages are the candidate lines and the runs of them, in which single
-lines without word pairs (blank ones, lone words) may stand. A passage is compared with
-the templates as multisets of word pairs (bigrams); only templates whose size lets the coefficient
-reach ``LEAST`` are compared, and the best one counts.
-
-Defined results: null counts as an empty text; every row gives one row, repeated ones too; a text
+else separates, line breaks too). A passage is any run of its words, compared with the templates as
+a multiset of word pairs (bigrams). One that is enough like a template has so many pairs that some
+template knows that it lies in a dense stretch of those; in each stretch all windows are compared
+that the size of a template admits. Of windows that overlap those are reported whose common pairs,
+weighed by likeness, have the greatest sum, so that licenses next to each other, inside a line
+or around foreign words are told apart.
+
+Defined results: null counts as an empty text; every row gives one row, repeated ones too; spans go from the first letter of a passage to its last; a text
 without a passage that reaches ``LEAST`` has no license, an empty list and likeness 0; equal coefficients go to
 the first template in alphabetical order. Columns beyond ``doc_id`` and ``text`` are ignored. Empty
 in, empty out.
@@ -15,7 +16,9 @@ in, empty out.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -65,7 +68,17 @@ class Templates:
         self.forms = sorted(((b.total(), n, b) for n, b in forms if b), key=lambda x: (x[0], x[1]))
         self.sizes = [x[0] for x in self.forms]
         known = sorted({p for _, _, b in self.forms for p in b})
-        self.pairs = set(known)
+        self.ids = {p: i for i, p in enumerate(known)}
+        #: How often each form has each known pair; the last column stands for all others.
+        self.limits = np.zeros((len(self.forms), len(known) + 1), np.int32)
+        for row, (_, _, form) in zip(self.limits, self.forms):
+            for p, n in form.items():
+                row[self.ids[p]] = n
+        #: Least part of a matching window, and of its template, that is common to both.
+        self.dense = least / (2 - least)
+        #: Least number of known pairs in a match, and the greatest distance of the two nearest.
+        self.fewest = max(1, math.ceil(self.dense * self.sizes[0] - 1e-9)) if self.sizes else 1
+        self.gap = math.floor(2 / self.dense - 1 + 1e-9)
         raw = " ".join(w for p in known for w in p).encode()
         data = np.frombuffer(raw, np.uint8)
         block = Texts(0, data, np.array([0, len(data)]))
@@ -106,54 +119,101 @@ class Match(NamedTuple):
     dice: float
 
 
-def _lines(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
-    for line in text.split("\n"):
-        yield at, at + len(line)
-        at += len(line) + 1
+#: Windows compared at once.
+_AT_ONCE = 1 << 20
+
+
+def _stretches(ids: np.ndarray, templates: Templates) -> Iterator[tuple[int, int]]:
+    """Where pairs are in some window with enough known ones; longer windows only join stretches."""
+    level = np.concatenate([[0.0], np.cumsum((ids >= 0) - templates.dense)])
+    lowest = np.minimum.accumulate(level)[:-1]
+    highest = np.maximum.accumulate(level[::-1])[::-1][1:]
+    inside = np.concatenate([[False], highest >= lowest - 1e-6, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    yield from zip(edges[::2].tolist(), edges[1::2].tolist())
+
+
+def _windows(ids: np.ndarray, templates: Templates) -> Iterator[tuple[int, int, float, float, str]]:
+    """Of one stretch, for each form and start the window that weighs most: start, end (of pairs), weight, likeness, name."""
+    n, least, dense = len(ids), templates.least, templates.dense
+    order = np.argsort(ids, kind="stable")
+    rank = np.arange(n) - np.searchsorted(ids[order], ids[order])
+    hits = int((ids >= 0).sum())
+    for (size, name, _), limits in zip(templates.forms, templates.limits):
+        if dense * size > hits + 1e-9:
+            break  # forms rise in size
+        limit = limits[ids]
+        sums = np.concatenate([[0], np.cumsum(limit > 0)])
+        width = min(n, math.floor(size / dense + 1e-9))
+        starts = np.flatnonzero(limit > 0)
+        starts = starts[sums[np.minimum(starts + width, n)] - sums[starts] >= dense * size - 1e-9]
+        if not len(starts):
+            continue
+        # a pair counts in windows that start behind its place so many times ago as the form has it
+        back = np.full(n, -1)
+        far = rank >= limit[order]
+        back[order[far]] = order[np.flatnonzero(far) - limit[order[far]]]
+        back[limit == 0] = n
+        back = np.concatenate([back, np.full(width, n)])
+        sizes = np.arange(1, width + 1)
+        step = max(1, _AT_ONCE // width)
+        for k in range(0, len(starts), step):
+            some = starts[k : k + step, None]
+            common = np.cumsum(back[some + sizes - 1] < some, axis=1)
+            likeness = 2 * common / (sizes + size)
+            weight = np.where(likeness >= least, common * likeness, 0.0)
+            best = np.argmax(weight, axis=1)
+            row = np.arange(len(some))
+            for i in np.flatnonzero(weight[row, best] > 0).tolist():
+                j = int(best[i])
+                start = int(some[i, 0])
+                yield start, start + j + 1, float(weight[i, j]), float(likeness[i, j]), name
+
+
+def _apart(windows: list[tuple]) -> list[tuple]:
+    """Of windows, those that share no word and weigh most together."""
+    windows.sort(key=lambda w: (w[1], -w[2], w[4], w[0]))
+    ends = [w[1] for w in windows]
+    best: list[tuple[float, int, bool]] = [(0.0, 0, False)]  # weight so far, where to go on, taken
+    for i, (start, _, weight, *_) in enumerate(windows):
+        # a window of pairs has one word more than pairs
+        before = bisect_right(ends, start - 1, 0, i)
+        value = best[before][0] + weight
+        best.append((value, before, True) if value > best[i][0] else (best[i][0], i, False))
+    out, at = [], len(windows)
+    while at:
+        _, to, taken = best[at]
+        if taken:
+            out.append(windows[at - 1])
+        at = to
+    return out[::-1]
 
 
 def find_matches(text: str, templates: Templates) -> list[Match]:
-    """The licenses in one text: of each run the whole if it matches, else its lines that do."""
-    runs: list[list[tuple[int, int, list[str]]]] = [[]]
-    for start, end in _lines(text):
-        own = words(text[start:end])
-        pairs = list(zip(own, own[1:]))
-        if pairs and 2 * sum(p in templates.pairs for p in pairs) >= len(pairs):
-            runs[-1].append((start, end, own))
-        elif pairs and runs[-1]:
-            runs.append([])
+    """The licenses in one text, by place."""
+    found = list(_WORD.finditer(text.translate(_UPPER)))
+    own = [m[0] for m in found]
+    get, none = templates.ids.get, -1
+    ids = np.array([get(p, none) for p in zip(own, own[1:])], np.int64)
     out = []
-    for run in filter(None, runs):
-        whole = templates.best(bigrams([w for _, _, own in run for w in own]))
-        if whole:
-            out.append(Match(run[0][0], run[-1][1], whole[1], whole[0]))
-            continue
-        for start, end, own in run:
-            best = templates.best(bigrams(own))
-            if best:
-                out.append(Match(start, end, best[1], best[0]))
+    for lo, hi in _stretches(ids, templates):
+        for start, end, _, value, name in _apart(list(_windows(ids[lo:hi], templates))):
+            out.append(Match(found[lo + start].start(), found[lo + end].end(), name, value))
     return out
 
 
 def _suspects(texts: Texts, templates: Templates) -> np.ndarray:
-    """Texts of a chunk with a candidate line."""
-    breaks = np.flatnonzero(texts.data == 0x0A)
+    """Texts of a chunk with known pairs as near to each other as a match has them."""
     normal = Texts(texts.first, _NORMAL[texts.data], texts.starts)
     begin, end = word_spans(normal)
     if len(begin) < 2:
         return np.zeros(0, np.int64)
-    # a line is named by the line breaks and texts that begin before it
-    line = np.searchsorted(breaks, begin) + np.searchsorted(texts.starts, begin, "right")
-    same = line[1:] == line[:-1]
-    pairs = _pairs(word_hashes(normal, begin, end))
-    hit = templates.has(pairs) & same
-    lines = line[:-1] - line[0]
-    hits = np.bincount(lines[hit], minlength=1)
-    of = np.bincount(lines[same], minlength=len(hits))[: len(hits)]
-    good = (hits > 0) & (2 * hits >= of)
-    chosen = hit & good[np.minimum(lines, len(good) - 1)] & (lines < len(good))
-    return np.unique(np.searchsorted(texts.starts, begin[:-1][chosen], "right") - 1)
+    text = np.searchsorted(texts.starts, begin, "right") - 1
+    hit = np.flatnonzero(templates.has(_pairs(word_hashes(normal, begin, end))) & (text[1:] == text[:-1]))
+    if templates.fewest > 1:
+        near = (hit[1:] - hit[:-1] <= templates.gap) & (text[hit[1:]] == text[hit[:-1]])
+        hit = hit[:-1][near]
+    return np.unique(text[hit])
 
 
 SCHEMA = "doc_id long, n_matches int, license string, dice double, licenses array<string>, spans string"

@@ -385,6 +385,33 @@ def test_licenses_are_found_in_texts(spark):
         assert (r.n_matches, r.license, r.dice, r.licenses, r.spans) == direct
 
 
+def test_licenses_next_to_each_other_and_inside_lines(spark):
+    known = {n: max(t, key=len) for n, t in licenses.TEMPLATES.items()}
+    mit, apache, isc, bsd = (known[n] for n in ("MIT", "Apache-2.0", "ISC", "BSD-3-Clause"))
+    lines = mit.split("\n")
+    cut = "\n".join([*lines[:4], "entirely foreign words stand in this very line", *lines[4:]])
+    flat = " ".join(apache.split())
+    cases = [
+        (mit + "\n" + apache, ["MIT", "Apache-2.0"]),
+        (mit + "\n\n" + isc, ["MIT", "ISC"]),
+        (bsd + "\n" + mit, ["BSD-3-Clause", "MIT"]),
+        (mit + "\n\n" + mit, ["MIT", "MIT"]),
+        (cut, ["MIT"]),
+        ("some prose of words " * 30 + flat + " and more of the prose" * 30, ["Apache-2.0"]),
+        ("some prose of the words and any of the others in the end " * 20, []),
+    ]
+    templates = licenses.Templates()
+    for text, names in cases:
+        got = licenses.find_matches(text, templates)
+        assert [m.license for m in got] == names
+        for m in got:
+            passage = licenses.bigrams(licenses.words(text[m.start : m.end]))
+            assert m.dice == max(licenses.dice(passage, f) for _, n, f in templates.forms if n == m.license)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.scan_licenses(df).collect():
+        assert r.n_matches == len(cases[r.doc_id][1]) and r.licenses == sorted(set(cases[r.doc_id][1]))
+
+
 # Sharding ------------------------------------------------------------------------------
 
 
