@@ -4,7 +4,9 @@ Base patterns (see ``BASE``) report assignments, access ids and long hex runs. B
 of base64 or hex are decoded and reported only if what they decode to has the structure of a
 secret: a DER private key whose nested lengths add up, an OpenSSH private key whose length-prefixed
 fields fit, or a signed token with a JSON header that names its algorithm. Runs that decode to
-anything else (digests, images, public keys) are not.
+anything else (digests, images, public keys) are not. A key may begin inside a run, as where a path
+is glued to it, and go on over lines, real or escaped ones, with quotes or the prefixes of
+comments, diffs and mails between; its own lengths tell where it ends. A PEM key may stand in base64 as a whole.
 
 A pass over the bytes finds the texts that can hold a match at all; only those meet the patterns.
 
@@ -52,11 +54,22 @@ BASE = (("assign", _ASSIGN, 2, 6), ("access", _ACCESS, 0, 20), ("hex", _HEX, 0,
 
 #: Least run of base64 or hex that is decoded.
 LEAST_RUN = 40
-_PEM = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"
-)
+_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r|\r")
+#: What stands at the ends of lines beside the base64.
+_ASIDE = " \t\v\f>#*;|\"',\\"
+#: Line prefixes that the lines after it repeat.
+_PREFIX = re.compile(r"[ \t>#+*;|/%-]{1,16}")
+_NEXT_LINE = re.compile(r"""["']?[ \t]*(?:\r?\n|(?:\\+r)?\\+n)""")
+_NEXT_PREFIX = re.compile(r"""[ \t>#*;|]*["']?""")
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{%d,}" % LEAST_RUN)
+_BASE64, _HEX_DIGITS = re.compile(r"[A-Za-z0-9+/_-]*"), re.compile(r"[0-9A-Fa-f]*")
+#: Where a DER sequence can begin: 0x30 and a length.
+_DER_BASE64, _DER_HEX = re.compile(r"(?=M[A-P])"), re.compile(r"(?=30(?:8[1-4]|[0-7]))")
+#: "openssh-key-v1" and "-----BEGIN"
+_SSH_BASE64, _SSH_HEX = re.compile("b3BlbnNzaC1rZXktdjEA"), re.compile("6f70656e7373682d6b65792d763100", re.I)
+_PEM_BASE64 = re.compile("LS0tLS1CRUdJTi")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]*)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
 
 
@@ -138,11 +151,11 @@ def is_private_key_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The OpenSSH container: its magic, then length-prefixed fields that fill it."""
+def openssh_size(data: bytes) -> int | None:
+    """The bytes of an OpenSSH container that ``data`` begins with: its magic, then length-prefixed fields."""
     magic = b"openssh-key-v1\x00"
     if not data.startswith(magic):
-        return False
+        return None
     at = len(magic)
 
     def field() -> bytes | None:
@@ -156,12 +169,17 @@ def is_openssh_key(data: bytes) -> bool:
 
     for _ in range(3):  # cipher, key derivation, its options
         if field() is None:
-            return False
+            return None
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= count <= 16:
-        return False
-    return all(field() for _ in range(count + 1)) and at == len(data)
+        return None
+    return at if all(field() for _ in range(count + 1)) else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """One OpenSSH container and nothing else."""
+    return openssh_size(data) == len(data)
 
 
 def _json_object(segment: str) -> dict | None:
@@ -186,6 +204,134 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_private_key_der(data) else "ssh" if is_openssh_key(data) else None
 
 
+# Keys inside runs and over lines ---------------------------------------------------------
+
+
+def _pems(text: str) -> Iterator[tuple[int, int]]:
+    """PEM private keys that decode to one."""
+    ends: dict[str, int] = {}
+    begins = list(_BEGIN.finditer(text))
+    for i, m in enumerate(begins):
+        mark = f"-----END {m[1]}-----"
+        if ends.get(mark, 0) >= 0 and ends.get(mark, 0) < m.end():
+            ends[mark] = text.find(mark, m.end())
+        end = ends[mark]
+        if end < 0 or (i + 1 < len(begins) and begins[i + 1].start() < end):
+            continue
+        prefix = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 17) : m.start()]
+        prefix = prefix.strip() if _PREFIX.fullmatch(prefix) else ""
+        lines = _ESCAPED.sub("\n", text[m.end() : end]).split("\n")
+        body = "".join(line.strip(_ASIDE) for line in lines)
+        bodies = [body]
+        if prefix:
+            bodies.append("".join(line.strip().removeprefix(prefix).strip(_ASIDE) for line in lines))
+        if any(_key_kind(decode_base64("".join(b.split()))) for b in bodies):
+            yield m.start(), end + len(mark)
+
+
+def _gather(text: str, at: int, need: int | None, letters: re.Pattern) -> tuple[str, int]:
+    """``need`` letters (None: all) from ``at``, over lines, and where they end."""
+    prefix = text[max(text.rfind("\n", 0, at) + 1, at - 17) : at]
+    prefix = prefix.strip() if _PREFIX.fullmatch(prefix) else ""
+    pieces, have = [], 0
+    while True:
+        end = letters.match(text, at).end()
+        if need is not None and have + end - at >= need:
+            return "".join([*pieces, text[at : at + need - have]]), at + need - have
+        pieces.append(text[at:end])
+        have += end - at
+        line = _NEXT_LINE.match(text, end)
+        if not line:
+            return "".join(pieces), end
+        at = line.end()
+        while at < len(text) and text[at] in " \t":
+            at += 1
+        if prefix and text.startswith(prefix, at):
+            at += len(prefix)
+        at = _NEXT_PREFIX.match(text, at).end()
+        if letters.match(text, at).end() == at:
+            return "".join(pieces), end
+
+
+def _der_size(head: bytes) -> int | None:
+    """The bytes of the DER sequence that begins so, if it begins as private keys do."""
+    if len(head) < 3 or head[0] != _SEQ:
+        return None
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4 or head[1] == 0x80 or head[2 + width : 3 + width] not in (b"\x02", b"\x30"):
+        return None
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+
+
+def _decode_hex(run: str) -> bytes:
+    return bytes.fromhex(run[: len(run) // 2 * 2])
+
+
+def _decode_open(run: str) -> bytes:
+    """Base64 that may be cut anywhere."""
+    return decode_base64(run[:-1] if len(run) % 4 == 1 else run) or b""
+
+
+def _exact(text: str, at: int, size: int, letters: re.Pattern) -> tuple[bytes, int] | None:
+    """The ``size`` bytes that are encoded from ``at``, and their end, if an encoding ends there."""
+    is_hex = letters is _HEX_DIGITS
+    need = 2 * size if is_hex else -(-4 * size // 3)
+    if need > len(text) - at:
+        return None
+    run, end = _gather(text, at, need, letters)
+    if len(run) < need:
+        return None
+    if is_hex:
+        data = _decode_hex(run)
+    else:
+        data = decode_base64(run) or b""
+        plain = run.replace("-", "+").replace("_", "/")
+        if base64.b64encode(data).decode().rstrip("=") != plain:
+            return None
+    padded = end
+    while not is_hex and padded < min(end + 2, len(text)) and text[padded] == "=":
+        padded += 1
+    if padded == end and text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+        return None
+    return data, padded
+
+
+def _keys_within(text: str) -> Iterator[Span]:
+    """Keys that begin anywhere in a run and may go on over lines."""
+    for letters, runs, der, ssh, head, decode in (
+        (_BASE64, _BASE64_RUN, _DER_BASE64, _SSH_BASE64, 12, _decode_open),
+        (_HEX_DIGITS, _HEX_RUN, _DER_HEX, _SSH_HEX, 14, _decode_hex),
+    ):
+        done = 0
+        for run in runs.finditer(text):
+            for m in der.finditer(text, run.start(), run.end()):
+                at = m.start()
+                size = _der_size(decode(text[at : min(at + head, run.end())].rstrip("="))) if at >= done else None
+                got = _exact(text, at, size, letters) if size else None
+                if got and is_private_key_der(got[0]):
+                    done = got[1]
+                    yield Span(at, "der", done)
+        for m in ssh.finditer(text):
+            size = openssh_size(decode(_gather(text, m.start(), None, letters)[0]))
+            got = _exact(text, m.start(), size, letters) if size else None
+            if got:
+                yield Span(m.start(), "ssh", got[1])
+    done = 0
+    for m in _PEM_BASE64.finditer(text):
+        if m.start() < done:
+            continue
+        plain = _decode_open(_gather(text, m.start(), None, _BASE64)[0]).decode("latin-1")
+        ends = [end for _, end in _pems(plain)]
+        if ends:
+            end = ends[-1]
+            while end < len(plain) and plain[end].isspace():
+                end += 1
+            _, done = _gather(text, m.start(), -(-4 * end // 3), _BASE64)
+            while text[done : done + 1] == "=":
+                done += 1
+            yield Span(m.start(), "pem", done)
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All spans of one text, by start and kind."""
     text = text or ""
@@ -195,12 +341,8 @@ def find_spans(text: str | None) -> list[Span]:
         for m in pattern.finditer(text)
         if len(m[group]) >= least
     ]
-    inside = []
-    for m in _PEM.finditer(text):
-        data = decode_base64("".join(m[2].split()))
-        if _key_kind(data):
-            found.append(Span(m.start(), "pem", m.end()))
-            inside.append((m.start(), m.end()))
+    inside = list(_pems(text))
+    found += [Span(start, "pem", end) for start, end in inside]
     for m in _TOKEN.finditer(text):
         if is_signed_token(*m.groups()):
             found.append(Span(m.start(), "jwt", m.end()))
@@ -210,6 +352,11 @@ def find_spans(text: str | None) -> list[Span]:
         kind = _key_kind(data)
         if kind and not any(a <= m.start() and m.end() <= b for a, b in inside):
             found.append(Span(m.start(), kind, m.end()))
+            inside.append((m.start(), m.end()))
+    for span in _keys_within(text):
+        if not any(a <= span.start and span.end <= b for a, b in inside):
+            found.append(span)
+            inside.append((span.start, span.end))
     return sorted(set(found), key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
