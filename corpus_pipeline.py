@@ -25,20 +25,47 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays.
+    """Of each group of linked texts one row stays: that with the smallest id, then the smallest hash of its text.
 
-    Rows that repeat both id and text count once. Rows without an id stay, as nothing can name them. The ids
-    to remove are broadcast if they are few, else joined by shuffle.
+    Texts are linked, not ids, so one id may stand on rows with unlike texts. Rows without an id come last in their
+    group. Texts without words link with nothing: of those only rows that repeat both id and text count once. What
+    decides is a few numbers for each text; it is broadcast if small, else joined by shuffle.
     """
-    groups = cut_lineage(jaccard_components(docs))
-    gone = small_side(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    repeated = small_side(repeated.select("doc_id"))
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    has_words = F.coalesce(text.rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    wordless = F.when(doc_id.isNotNull(), F.xxhash64(F.lit("wordless"), text, doc_id))
+    keyed = docs.withColumn("_text", F.when(has_words, F.xxhash64(text)).otherwise(wordless))
+    groups = jaccard_components(docs.filter(has_words).select(F.xxhash64(text).alias("doc_id"), text.alias("text")))
+    linked = small_side(
+        groups.filter("doc_id <> component_id")
+        .select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_group"))
+        .distinct()
+    )
+    by_text = (
+        keyed.filter("_text is not null")
+        .groupBy("_text", doc_id.alias("_id"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("_text")
+        .agg(F.sum("_n").alias("_rows"), F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_n")).alias("_head"))
+    )
+    by_text = cut_lineage(by_text.join(linked, "_text", "left").withColumn("_group", F.coalesce("_group", "_text")))
+    crowded = (
+        by_text.groupBy("_group")
+        .agg(F.sum("_rows").alias("_all"), F.min(F.struct("_head._none", "_head._id", "_text", "_head._n")).alias("_first"))
+        .filter("_all > 1")
+    )
+    verdicts = small_side(
+        by_text.join(crowded, "_group").select(
+            "_text", (F.col("_text") == F.col("_first._text")).alias("_stays"), "_first._id", "_first._n"
+        )
+    )
+    kept = keyed.join(verdicts, "_text", "left").filter(
+        F.col("_stays").isNull() | (F.col("_stays") & doc_id.eqNullSafe(F.col("_id")))
+    )
+    if not verdicts.filter("_stays and _n > 1").isEmpty():
+        repeated = F.coalesce(F.col("_n") > 1, F.lit(False))
+        kept = kept.filter(~repeated).unionByName(kept.filter(repeated).dropDuplicates(["_text"]))
+    return kept.select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,6 +289,14 @@ def test_stages_of_awkward_rows(spark, awkward):
     assert mixed.columns == awkward.columns
 
 
+def test_one_row_of_each_group_of_texts_stays(spark):
+    a, b, c, d = (prose(i, 60) for i in (1, 2, 4, 5))
+    docs = [(1, a), (5, a), (5, b), (7, b), (None, c), (None, c), (None, c), (None, d), (2, d + " more"), (9, " "), (9, " "), (None, ""), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows(corpus_pipeline.near_duplicates(spark, df, ""))
+    assert got == sorted([(1, a), (5, b), (None, c), (2, d + " more"), (9, " "), (None, ""), (None, "")], key=repr)
+
+
 def test_pipeline_end_to_end(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf)
