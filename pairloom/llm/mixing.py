@@ -93,27 +93,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE_DOCS) -> Model | None:
     """At most ``WORDS_EACH`` words for each domain, and the forms. ``labelled`` has ``doc_id, domain``. None if fewer
-    than two domains have rows."""
+    than two domains have rows.
+
+    Labels are drawn from those whose documents are there and have text, and the sizes of the domains count the rows read.
+    """
     by_hash = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
+    usable = (
         labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
-        .select("doc_id", "domain")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "domain")
         .distinct()
+    )
+    readable = _keyed(docs).filter("text <> ''")
+    # ids only; the sample is small
+    chosen = cut_lineage(
+        readable.select("doc_id")
+        .groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .join(usable, "doc_id")
         .withColumn("_rank", F.row_number().over(by_hash))
         .filter(F.col("_rank") <= sample)
-        .select("doc_id", "domain")
+        .select("doc_id", "domain", "rows")
     )
+    sizes = {r.domain: r["rows"] for r in chosen.groupBy("domain").agg(F.sum("rows").alias("rows")).collect()}
+    if len(sizes) < 2:
+        return None
     text = F.col("text")
     seen = (
-        _keyed(docs)
-        .join(F.broadcast(chosen), "doc_id")
+        readable.join(F.broadcast(chosen.select("doc_id", "domain")), "doc_id")
         .select("domain", F.explode(F.array_distinct(F.concat(words(text), form(text)))).alias("word"))
         .groupBy("domain", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sizes = {r.domain: r["count"] for r in chosen.groupBy("domain").count().collect()}
-    if len(sizes) < 2:
-        return None
     by_word = seen.filter("word <> ''").groupBy("word").agg(
         *(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(d) for d in domains)
     )

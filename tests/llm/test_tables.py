@@ -251,6 +251,19 @@ def test_domains_are_told_apart(spark):
     assert max(r.rate for r in got if r.doc_id % 3) < 0.5
 
 
+def test_labels_without_documents_play_no_part(spark):
+    domains = ["good", "poor"]
+    docs = [(i, prose(i, 30) + (" nice" if i % 2 else " awful")) for i in range(120)]
+    labels = [(i, domains[1 - i % 2]) for i in range(120)]
+    absent = [(i, "good" if i % 5 else "poor") for i in range(1000, 9000)]
+    d = spark.createDataFrame([*docs, (1000, None), (1001, "")], "doc_id long, text string")
+    of = [spark.createDataFrame(x, "doc_id long, domain string") for x in (labels, labels + absent)]
+    known, more = (mixing.learn(d, x, domains, sample=50) for x in of)
+    assert known.start == pytest.approx(more.start)
+    assert {"nice", "awful"} <= {r.word for r in more.words.collect()}
+    assert rows(known.words) == rows(more.words)
+
+
 def test_mixing_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 0), (9, 1, 1), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     assert mixing.mix(awkward, labels).count() == len(AWKWARD)
