@@ -2,8 +2,8 @@
 
 Documents are sorted by id, encoded, closed by an end id and written back to back: the ids of all
 documents are one long run, cut into sequences of ``LENGTH``. A file holds the documents of one range
-of ids in the Arrow stream format: record batches of two fixed-size lists, ``input_ids`` (unsigned 32
-bits) and ``attention_mask`` (one byte: 1 for an id, 0 for what fills the file's last sequence). Every
+of ids in the Arrow stream format: record batches of two fixed-size lists, ``input_ids`` (unsigned, 16 bits
+if the vocabulary fits, else 32) and ``attention_mask`` (one byte: 1 for an id, 0 for what fills the file's last sequence). Every
 sequence has the same bytes, so :class:`SequenceFile` maps a file and gives the i-th sequence and mask
 as views of it, without a copy. Beside each file lies a second Arrow stream with ``doc_id``, ``start``
 (place of its first id in the file) and ``n_tokens`` of its documents. The manifest, a Parquet
@@ -124,6 +124,11 @@ class UnitEncoder:
         if whole != [i for p in parts for i in p.ids] or any(c.isspace() for t in added for c in t):
             raise ValueError(f"{path} does not encode units of a text apart")
 
+    def id_type(self, *others: int) -> np.dtype:
+        """The smaller of two unsigned types that holds every id, and ``others``."""
+        largest = max(self._tokenizer.get_vocab_size(with_added_tokens=True) - 1, *others)
+        return np.dtype(np.uint16 if largest < 1 << 16 else np.uint32)
+
     def _encode(self, units: list[str]) -> list[bytes]:
         found = [self._known.get(u) for u in units]
         missing = [i for i, ids in enumerate(found) if ids is None]
@@ -182,10 +187,10 @@ def _encoder(path: str) -> UnitEncoder:
 # Files ---------------------------------------------------------------------------------
 
 
-def _sequences(length: int) -> pa.Schema:
+def _sequences(length: int, ids: np.dtype) -> pa.Schema:
     return pa.schema(
         [
-            pa.field("input_ids", pa.list_(pa.field("item", pa.uint32(), nullable=False), length), nullable=False),
+            pa.field("input_ids", pa.list_(pa.field("item", pa.from_numpy_dtype(ids), nullable=False), length), nullable=False),
             pa.field("attention_mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), length), nullable=False),
         ]
     )
@@ -204,10 +209,10 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 class _Writer:
     """One Arrow stream file of sequences and its file of documents."""
 
-    def __init__(self, path: str, length: int, batch: int):
+    def __init__(self, path: str, length: int, batch: int, ids: np.dtype):
         system, place = _open(path)
         system.create_dir(place.rpartition("/")[0], recursive=True)
-        self._schema, self._length, self._batch = _sequences(length), length, batch
+        self._schema, self._length, self._batch, self._type = _sequences(length, ids), length, batch, ids
         self._sinks = [system.open_output_stream(place), system.open_output_stream(f"{place}.docs")]
         self._ids = pa.ipc.new_stream(self._sinks[0], self._schema)
         self._docs = pa.ipc.new_stream(self._sinks[1], _DOCUMENTS)
@@ -222,13 +227,13 @@ class _Writer:
         )
         self.n_docs += len(n_tokens)
         self.n_tokens += len(ids)
-        self._waiting.append(ids)
+        self._waiting.append(ids.astype(self._type))
         self._held += len(ids)
         if self._held >= self._length * self._batch:
             self._flush()
 
     def _flush(self, last: bool = False) -> None:
-        ids = np.concatenate(self._waiting) if self._waiting else np.zeros(0, np.uint32)
+        ids = np.concatenate(self._waiting) if self._waiting else np.zeros(0, self._type)
         per = self._length * self._batch
         whole = len(ids) if last else len(ids) // per * per
         for lo in range(0, whole, per):
@@ -237,7 +242,7 @@ class _Writer:
             mask = np.ones(rows * self._length, np.uint8)
             mask[len(part) :] = 0
             if len(part) < len(mask):
-                part = np.concatenate([part, np.zeros(len(mask) - len(part), np.uint32)])
+                part = np.concatenate([part, np.zeros(len(mask) - len(part), self._type)])
             columns = [
                 pa.FixedSizeListArray.from_arrays(pa.array(v), type=self._schema.field(i).type)
                 for i, v in enumerate((part, mask))
@@ -294,7 +299,7 @@ def _write_part(
     for rows in batches:
         doc_ids = rows.column("doc_id")
         for first, ids, n_tokens in _encoder(tokenizer).texts(rows.column("text"), end):
-            writer = writer or _Writer(path, length, batch)
+            writer = writer or _Writer(path, length, batch, _encoder(tokenizer).id_type(end))
             writer.add(doc_ids.slice(first, len(n_tokens)), ids, n_tokens)
     if writer is not None:
         writer.close()
@@ -361,7 +366,7 @@ def _read_files(batches: Iterable[pa.RecordBatch], ids: bool) -> Iterator[pa.Rec
     """Documents of the files a task was given, put together from the views of their sequences."""
     for path, offset in ((p, o) for b in batches for p, o in zip(b.column("path").to_pylist(), b.column("offset").to_pylist())):
         views = _views(path)
-        view, used = np.zeros(0, np.uint32), 0
+        view, used = np.zeros(0, np.uint16), 0
         for docs in _documents(path):
             sums, held = [], []
             for n in docs.column("n_tokens").to_pylist():
@@ -370,7 +375,7 @@ def _read_files(batches: Iterable[pa.RecordBatch], ids: bool) -> Iterator[pa.Rec
                     if used == len(view):
                         view, used = next(views), 0
                     piece = view[used : used + n]
-                    crc = zlib.crc32(piece.astype("<u4", copy=False), crc)
+                    crc = zlib.crc32(piece.astype("<u4"), crc)
                     if ids:
                         own.append(piece)
                     used += len(piece)

@@ -92,7 +92,8 @@ def test_documents_come_back_from_their_files(spark, tmp_path, length, batch, fi
             mapped[len(mapped)]
         # the plain format: anyone's reader opens it
         table = pa.ipc.open_stream(pa.memory_map(f.path)).read_all()
-        assert table.schema.field("input_ids").type.list_size == length
+        kind = table.schema.field("input_ids").type
+        assert kind.list_size == length and kind.value_type == pa.uint16()
     assert found == every
     assert sequences.read_sequences(spark, out).count() == sum(f.n_sequences for f in files)
 
