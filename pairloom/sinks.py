@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Collection, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.commits import Folder, State, commit, read_state
 from pairloom.operators.align import ZIP_CHUNK
 from pairloom.operators.ordinal import div
 from pairloom.sources.cache import cache_path
-from pairloom.sources.tables import BATCH
+from pairloom.sources.tables import folder_names, has_rows
+
+#: How names of batch jobs' commits begin.
+BATCH = "batch"
 
 #: Rows per file of an ordered table.
 ROWS_PER_FILE = 500_000
@@ -21,9 +27,15 @@ def write_pairs(
     out: str,
     mode: str = "append",
     chunk: int | None = ZIP_CHUNK,
-    ingest: str = BATCH,
+    ingest: str | None = None,
+    writer: str | None = None,
+    complete: bool = True,
+    sources: Mapping[tuple[str, str], Sequence[str]] | None = None,
+    files: Sequence[str] = (),
+    replaces: Collection[str] = (),
+    unless: Callable[[State], str | None] | None = None,
 ) -> None:
-    """Write pairs under ``lang_pair=/split=/ingest=``.
+    """Write pairs under ``lang_pair=/split=/ingest=`` and publish them with one commit (see ``commits``).
 
     Rows are clustered by runs of ``chunk`` positions, so a pair makes about
     ``rows / chunk`` files however many tasks write, a large pair is written by many
@@ -31,36 +43,58 @@ def write_pairs(
     row groups. ``chunk=None`` is for input that is clustered already, such as what
     ``read_aligned`` gives.
 
-    ``mode``: ``append``, ``overwrite`` for the whole of ``out``, or ``override`` to replace
-    just the splits that ``df`` has, whoever wrote them. ``ingest`` names the writer; a stream's
-    micro-batch uses ``mode="replace"``, which replaces what the same writer wrote before, and
-    nothing else. While splits are overridden a reader can see old and new rows.
+    ``mode``: ``append``; ``overwrite`` replaces the whole of ``out``, ``override`` just the splits that ``df`` has, whoever
+    wrote them. Readers see the rows from before until the commit, and all of the new ones from then on; a job that
+    dies before it leaves the store as it was. ``replaces`` names pairs of which no earlier row counts any more.
+
+    ``ingest`` names the commit, such as a stream's micro-batch; one that is published already is not written again, and one that died before
+    is written anew. ``complete`` says that the splits are whole, ``sources`` and ``files`` where a stream's rows came from, and
+    ``unless`` can stop the commit (see ``commits.commit``).
     """
+    if mode not in ("append", "overwrite", "override"):
+        raise ValueError(f"unknown mode: {mode}")
+    spark = df.sparkSession
+    before = read_state(spark, out)
+    if ingest is not None and before is not None and ingest in before.done:
+        return
+    if before is None and has_rows(spark, out):
+        raise ValueError(f"{out} holds pairs without a commit log; call adopt first")
+    name = ingest or f"{BATCH}-{uuid.uuid4().hex}"
     if chunk is not None:
         df = df.repartition("lang_pair", "split", div("ord", chunk))
-    if mode == "override":
-        ingest = f"{BATCH}-{uuid.uuid4().hex}"
-    df = df.sortWithinPartitions("lang_pair", "split", "ord").withColumn("ingest", F.lit(ingest))
-    writer = df.write.partitionBy("lang_pair", "split", "ingest")
-    if mode in ("override", "replace"):
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    elif mode in ("append", "overwrite"):
-        writer = writer.mode(mode)
-    else:
-        raise ValueError(f"unknown mode: {mode}")
-    writer.parquet(out)
-    if mode == "override":
-        _keep_only(df.sparkSession, out, ingest)
-
-
-def _keep_only(spark: SparkSession, out: str, ingest: str) -> None:
-    """Remove what others wrote of the splits that ``ingest`` has."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    for new in fs.globStatus(path(f"{out}/lang_pair=*/split=*/ingest={ingest}")) or []:
-        for other in fs.listStatus(new.getPath().getParent()):
-            if other.getPath().getName() != f"ingest={ingest}":
-                fs.delete(other.getPath(), True)
+    df = df.sortWithinPartitions("lang_pair", "split", "ord").withColumn("ingest", F.lit(name))
+    # what an attempt that died has left under this name is replaced
+    parts = df.write.partitionBy("lang_pair", "split", "ingest").mode("overwrite")
+    parts.option("partitionOverwriteMode", "dynamic").parquet(out)
+    folders = [
+        Folder(r.lang_pair, r.split, name, writer or name, r.n, complete, tuple((sources or {}).get((r.lang_pair, r.split), ())))
+        for r in _written(spark, out, name)
+    ]
+    gone = {f.key for f in folders} if mode == "override" else set()
+
+    def dropped(state: State) -> str | None:
+        gone.update(f.key for f in state.folders if f.lang_pair in replaces)
+        return unless(state) if unless else None
+
+    commit(spark, out, name, folders, writer, gone, mode == "overwrite", files=files, unless=dropped)
+
+
+def _written(spark: SparkSession, out: str, name: str) -> list:
+    """Rows by pair and split under one commit's name: counted from the footers of its files."""
+    try:
+        rows = spark.read.option("basePath", out).parquet(f"{out}/lang_pair=*/split=*/ingest={name}")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return []
+        raise
+    keys = [F.col(c).cast("string").alias(c) for c in ("lang_pair", "split")]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
+
+
+def adopt(spark: SparkSession, out: str) -> None:
+    """Start the commit log of a store that was written without one: all its folders count, as whole splits."""
+    folders = [Folder(*key, name, name, -1, True) for *key, name in folder_names(spark, out)]
+    commit(spark, out, "adopted", folders, unless=lambda state: "the store has a log" if state.version else None)
 
 
 def append_cache(new_rows: DataFrame, root: str, model: str, start: int = 0) -> None:
