@@ -60,6 +60,14 @@ def drop_script(code: Column | str) -> Column:
     )
 
 
+def script_free(code: str) -> str:
+    """:func:`drop_script` for one name."""
+    base, suffix, _ = code.partition("_")
+    if not suffix:
+        raise ValueError(f"code has no script suffix: {code}")
+    return base
+
+
 def canonical_split(split: Column | str) -> Column:
     """``dev`` is stored as ``val``."""
     s = _col(split)

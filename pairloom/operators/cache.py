@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.bitmaps import keep_marked
 from pairloom.operators.order import batch_id, full_batches
 from pairloom.operators.skew import hot_hashes, text_join
 from pairloom.workspace import cut_lineage
@@ -83,7 +84,7 @@ def apply_translator(
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def answered(chunk: list[str]) -> pd.DataFrame:
+        def translated(chunk: list[str]) -> pd.DataFrame:
             answers = list(fn(chunk))
             if len(answers) != len(chunk):
                 raise ValueError(f"{len(chunk)} texts gave {len(answers)} translations")
@@ -93,10 +94,10 @@ def apply_translator(
         for frame in frames:
             waiting += frame["source_text"].tolist()
             while len(waiting) >= batch:
-                yield answered(waiting[:batch])
+                yield translated(waiting[:batch])
                 waiting = waiting[batch:]
         if waiting:
-            yield answered(waiting)
+            yield translated(waiting)
 
     texts = texts.select("source_text").filter("source_text is not null")
     if tasks is not None:
@@ -106,6 +107,41 @@ def apply_translator(
     )
 
 
+def text_keys(text: str = "source_text") -> dict[str, Column]:
+    """A text's name in lookups: 128 bits, in two halves."""
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second half"), F.col(text))}
+
+
+def with_keys(df: DataFrame, text: str = "source_text") -> DataFrame:
+    """``df`` with ``k1, k2``, which a stored cache has already."""
+    return df if {"k1", "k2"} <= set(df.columns) else df.withColumns(text_keys(text))
+
+
+def missing_texts(
+    req: DataFrame, cache: DataFrame, mode: str = "row", batch: int = 32, pos: str = "pos"
+) -> DataFrame:
+    """``pos, source_text``: each distinct text that has to be computed once, at the first of its positions.
+
+    Requests and cache meet by their keys, and positions without a match come back as bitmaps; texts are read, by
+    those who hold them, for misses only. ``pos`` must be unique. Modes as in :func:`misses`. Null texts are left out.
+    """
+    asked = with_keys(req.filter(F.col("source_text").isNotNull()).select(pos, "source_text")).select(pos, "k1", "k2")
+    first = F.min(pos).alias(pos)
+    known = with_keys(cache).select("k1", "k2").withColumn("_known", F.lit(True))
+    if mode == "row":
+        missing = asked.groupBy("k1", "k2").agg(first).join(known, ["k1", "k2"], "left_anti")
+    elif mode == "batch":
+        lacks = asked.groupBy("k1", "k2").agg(first).join(known, ["k1", "k2"], "left_anti")
+        placed = asked.withColumn("_batch", batch_id(batch, pos))
+        # three numbers a row; where one text has very many rows, adaptive execution splits them
+        lacking = placed.join(lacks, ["k1", "k2"], "left_semi").select("_batch").distinct()
+        again = placed.join(lacking, "_batch", "left_semi")
+        missing = again.groupBy("k1", "k2").agg(first)
+    else:
+        raise ValueError(f"unknown mode: {mode}")
+    return keep_marked(req.select(pos, "source_text"), missing.select(pos), [], pos)
+
+
 def translate(
     req: DataFrame,
     cache: DataFrame,
@@ -116,29 +152,31 @@ def translate(
     materialize: bool = True,
     tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(result, new_rows)``: requests with ``target_text``, and what to add to the cache.
+    """``(result, new_rows)``: requests (with a unique ``pos``) with ``target_text``, and what to add to the cache.
 
     Every distinct missing text is sent to ``fn`` once. ``new_rows`` is checkpointed, so
     that using both results, or losing an executor, does not call ``fn`` again for texts
     already done. ``drop_last`` cuts the trailing partial batch of requests, ``tasks`` is the number of
-    tasks that call ``fn``. A null text has a null translation.
+    tasks that call ``fn``. A null text has a null translation. A job that dies loses what it had computed; see
+    ``plans.training.teacher_stored`` for one that does not.
 
     In ``batch`` mode a text that was computed again has its fresh translation everywhere, also in
     batches that were all hits.
     """
     if drop_last:
         req = full_batches(req, batch)
-    hot = hot_hashes(req, "source_text")
-    todo = misses(req, cache, mode, batch, hot).select("source_text").distinct()
-    new_rows = apply_translator(todo, fn, batch, tasks)
+    new_rows = apply_translator(missing_texts(req, cache, mode, batch), fn, batch, tasks)
     if materialize:
         new_rows = cut_lineage(new_rows)
     known = cache.select("source_text", "translation")
     if mode == "batch":
         # a recomputed hit replaces its cached translation
         known = text_join(known, new_rows.select("source_text"), "source_text", "left_anti", ())
-    answers = known.unionByName(new_rows)
-    result = lookup(req, answers, hot).select(
+    return answered(req, known.unionByName(new_rows)), new_rows
+
+
+def answered(req: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests with their translations as ``target_text``."""
+    return lookup(req, cache).select(
         *[c for c in req.columns if c != "target_text"], F.col("translation").alias("target_text")
     )
-    return result, new_rows

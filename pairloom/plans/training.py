@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import base_code, other_side
-from pairloom.operators.align import attach_scores, check_lengths
-from pairloom.operators.cache import Translate, translate
+from pairloom.functions.text import base_code, other_side, script_free
+from pairloom.operators.align import check_lengths
+from pairloom.operators.bitmaps import keep_marked
+from pairloom.operators.cache import (
+    Translate,
+    answered,
+    apply_translator,
+    dedup_cache,
+    missing_texts,
+    translate,
+    with_keys,
+)
 from pairloom.operators.codes import (
     intersecting,
     match_status,
     resolve_anchor,
 )
-from pairloom.operators.order import block_shuffle, interleave, with_keys
+from pairloom.operators.order import block_shuffle, full_batches, interleave, with_keys as with_sizes
 from pairloom.operators.ordinal import dense_ordinal, head_per_pair, ordinal_counts
 from pairloom.operators.orient import orient, recode, wide_to_pairs
 from pairloom.operators.sizing import settle
@@ -28,6 +37,12 @@ from pairloom.operators.select import (
     names_code,
     uncovered,
 )
+from pairloom.sinks import append_cache
+from pairloom.sources.cache import read_cache
+from pairloom.workspace import new_dir
+
+#: Texts that are translated before they are stored.
+PORTION = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -54,7 +69,7 @@ def resolve_languages(
     Fails if a requested code is in no pair name.
     """
     anchor_code = resolve_anchor(dim, anchor)
-    base = anchor_code.split("_")[0]
+    base = script_free(anchor_code)
     literal = match == "substring"
     sided = (
         catalog.select("lang_pair")
@@ -82,7 +97,7 @@ def resolve_languages(
         covered=sorted(r.script_code for r in covered.collect()),
         pairs=sorted(r.lang_pair for r in wanted if r.status == "one"),
         ambiguous=sorted(
-            r.script_code for r in dim.collect() if r.script_code.split("_")[0] in unclear
+            r.script_code for r in dim.collect() if script_free(r.script_code) in unclear
         ),
     )
 
@@ -93,7 +108,7 @@ def resolve_flat_languages(
     """Languages of a flat corpus, which has no pair names: the requested targets (column ``code``; without
     them all languages of the dimension but the anchor) are looked up in the dimension only."""
     anchor_code = resolve_anchor(dim, anchor)
-    base = anchor_code.split("_")[0]
+    base = script_free(anchor_code)
     if targets is None:
         targets = dim.select(base_code("script_code").alias("code"))
     requested = targets.select("code").distinct().filter(F.col("code") != base)
@@ -122,6 +137,49 @@ def teacher_rows(
     return translate(rows, known, fn, batch, drop_last=drop_last, tasks=tasks)
 
 
+def teacher_stored(
+    rows: DataFrame,
+    root: str,
+    model: str,
+    fn: Translate,
+    batch: int = 32,
+    mode: str = "row",
+    drop_last: bool = True,
+    tasks: int | None = None,
+    portion: int = PORTION,
+) -> DataFrame:
+    """Like :func:`teacher_rows` with the stored cache of ``model`` under ``root``, in committed portions.
+
+    Missing texts are set down once and dealt by key to portions of about ``portion`` texts. Each portion is translated and appended to
+    the cache before the next begins, so a run that dies, in the translator or elsewhere, loses one portion at most: started again it
+    asks for what is still missing. In ``batch`` mode a text that was computed again is appended again, and the last one counts.
+    """
+    spark = rows.sparkSession
+    if drop_last:
+        rows = full_batches(rows, batch)
+    path = new_dir(spark, "missing")
+    todo = with_keys(missing_texts(rows, read_cache(spark, root, model, keys=True), mode, batch))
+    todo.select("k1", "source_text").write.parquet(path)
+    todo = spark.read.parquet(path)
+    portions = -(-todo.count() // portion)
+    if portions > 1:
+        dealt = new_dir(spark, "portions")
+        part = F.pmod("k1", F.lit(portions)).cast("int")
+        todo.withColumn("part", part).repartition("part", F.pmod(F.hash("k1"), F.lit(8))).write.partitionBy("part").parquet(dealt)
+        parts = [spark.read.parquet(f"{dealt}/part={i}") for i in _numbers(spark, dealt)]
+    else:
+        parts = [todo] * portions
+    for texts in parts:
+        append_cache(apply_translator(texts, fn, batch, tasks), root, model)
+    return answered(rows, dedup_cache(read_cache(spark, root, model)))
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The portions that have texts, from their folders."""
+    found = spark.read.parquet(path).select("part").distinct().collect()
+    return sorted(r.part for r in found)
+
+
 def training_rows(
     pairs: DataFrame,
     languages: Languages,
@@ -148,8 +206,8 @@ def training_rows(
         wanted = scores.filter(F.col("lang_pair").isin(languages.pairs))
         if strict:
             check_lengths(kept, wanted)
-        # the narrow side is filtered first: rejected rows find no partner
-        kept = attach_scores(kept, filter_scores(wanted, threshold), strict=False)
+        # scores travel as bits of the positions that pass; rows stay where they are read
+        kept = keep_marked(kept, filter_scores(wanted, threshold), ["lang_pair"])
     rows = recode(orient(kept, languages.anchor, sides), languages.anchor_code, dim)
     # one pass gives both the new positions and the rows per pair
     counts = ordinal_counts(rows, ["lang_pair"])
@@ -158,7 +216,7 @@ def training_rows(
     if first is not None:
         numbered = head_per_pair(numbered, first)
         sizes = sizes.withColumn("n", F.least("n", F.lit(first)))
-    sizes = settle(with_keys(sizes, languages.pairs)).df
+    sizes = settle(with_sizes(sizes, languages.pairs)).df
     mixed = interleave(numbered, sizes=sizes)
     rounds = sizes.agg(F.min("n")).first()[0] or 0
     return block_shuffle(

@@ -39,6 +39,13 @@ CACHE = StructType(
     [StructField("ord", LongType())] + _strings("source_text", "translation")
 )
 
+#: The cache as it is stored: bucket and two halves of the text's key, then the row.
+STORED_CACHE = StructType(
+    [StructField("bucket", IntegerType())]
+    + [StructField(n, LongType()) for n in ("k1", "k2")]
+    + CACHE.fields
+)
+
 #: Script-qualified codes such as ``ces_Latn``; ``ord`` is the position in the list.
 CODES = StructType(_strings("script_code") + [StructField("ord", LongType())])
 

@@ -9,18 +9,24 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.commits import Folder, State, commit, read_state
+from pairloom.commits import Conflict, Folder, State, commit, read_state
+from pairloom.functions.text import model_key
 from pairloom.operators.align import ZIP_CHUNK
+from pairloom.operators.cache import with_keys
 from pairloom.operators.ordinal import div
-from pairloom.sources.cache import cache_path
+from pairloom.sources.cache import cache_path, cache_runs, read_runs, run_path
 from pairloom.sources.tables import folder_names, has_rows
 
 #: How names of batch jobs' commits begin.
 BATCH = "batch"
 
-#: Rows per file of an ordered table.
+#: Rows per file of an ordered table, and of a bucket of a cache.
 ROWS_PER_FILE = 500_000
 
+#: Buckets of keys of a cache, the same for all its runs, and runs of a level that are merged.
+BUCKETS = 32
+FAN = 8
+
 
 def write_pairs(
     df: DataFrame,
@@ -97,15 +103,69 @@ def adopt(spark: SparkSession, out: str) -> None:
     commit(spark, out, "adopted", folders, unless=lambda state: "the store has a log" if state.version else None)
 
 
-def append_cache(new_rows: DataFrame, root: str, model: str, start: int = 0) -> None:
-    """Append translations to a model's cache.
+def append_cache(
+    new_rows: DataFrame, root: str, model: str, start: int | None = None, fan: int = FAN
+) -> None:
+    """Append translations to a model's cache with one commit, then merge runs where there are ``fan`` of a level.
 
     ``start`` orders appends: rows written with a larger one win over earlier rows of
-    the same source. Sources are unique within ``new_rows``, so they may share it.
+    the same source; by default it is the commit's number. Sources are unique within ``new_rows``, so they may share it.
     """
-    new_rows.select(F.lit(start).cast("long").alias("ord"), "source_text", "translation").write.mode(
-        "append"
-    ).parquet(cache_path(root, model))
+    spark = new_rows.sparkSession
+    state = read_state(spark, cache_path(root, model)) or State()
+    if start is None:
+        start = state.version
+    rows = new_rows.select(F.lit(start).cast("long").alias("ord"), "source_text", "translation")
+    rows = with_keys(rows).withColumn("bucket", F.pmod("k1", F.lit(BUCKETS)).cast("int"))
+    _add_run(rows, root, model, "0")
+    compact_cache(spark, root, model, fan)
+
+
+def _add_run(
+    rows: DataFrame, root: str, model: str, level: str, merged: Sequence[tuple[str, str]] = ()
+) -> None:
+    """Write ``rows`` as a run and publish it, in the place of ``merged``, which must be all runs of their level."""
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    path = run_path(root, model, level, run)
+    # a bucket's rows in one file, or in several if they are many
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "k1", "k2")
+    dealt.write.partitionBy("bucket").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    n = read_runs(spark, root, model, [(level, run)]).count()
+    key = model_key(model)
+
+    def changed(state: State) -> str | None:
+        levels = {lv for lv, _ in merged}
+        there = {(f.split, f.ingest) for f in state.folders if f.split in levels}
+        return None if there == set(merged) else "runs of the level have changed"
+
+    commit(
+        spark,
+        cache_path(root, model),
+        run,
+        [Folder(key, level, run, run, n, True)] if n else [],
+        replaces={(key, lv) for lv, _ in merged},
+        unless=changed if merged else None,
+    )
+
+
+def compact_cache(spark: SparkSession, root: str, model: str, fan: int = FAN) -> int:
+    """Merge the runs of every level that has ``fan`` of them into one run of the next, with the last translation of each
+    source; returns how many levels were merged. A merge that another writer has overtaken is left for the next append."""
+    merged = 0
+    for level in range(64):
+        runs = [r[:2] for r in cache_runs(spark, root, model) or [] if r[0] == str(level)]
+        if len(runs) < fan:
+            continue
+        rows = read_runs(spark, root, model, runs)
+        last = rows.groupBy("bucket", "k1", "k2", "source_text").agg(
+            F.max_by("translation", "ord").alias("translation"), F.max("ord").alias("ord")
+        )
+        try:
+            _add_run(last, root, model, str(level + 1), runs)
+            merged += 1
+        except Conflict:
+            break
+    return merged
 
 
 def write_ordered(
