@@ -393,4 +393,38 @@ SELECT lang_pair, 'train' AS split, n_src, n_trg, least(n_src, n_trg) AS n_pairs
     "stream_then_ingest": f"WITH {_FILES} SELECT lang_pair, split, ord, {MD5S} FROM stored",
     "stream_two_sources": f"""WITH {_STORE} SELECT lang_pair, split, ord, {MD5S} FROM store
 WHERE lang_pair <> 'eng-spa'""",
+    "stream_lost_checkpoint": f"WITH {_STORE} SELECT lang_pair, split, ord, {MD5S} FROM store",
+    "ingest_override": f"""WITH {_FILES}, now AS (
+  SELECT lang_pair, split, ord, source_text,
+         CASE WHEN lang_pair = 'deu-eng' THEN target_text ELSE 'older' END AS target_text
+  FROM stored WHERE lang_pair <> 'eng-spa') SELECT lang_pair, split, ord, {MD5S} FROM now""",
+    "dev_files": f"""WITH {PAIRS_SQL}, made(lang_pair, split, third) AS (VALUES
+  ('deu-eng', 'val', 0), ('eng-fra', 'val', 1), ('eng-fra', 'train', 0), ('eng-spa', 'val', 2), ('eng-spa', 'train', 0)),
+lines AS (
+  SELECT lang_pair, split, ord // 3 AS ord, {line("source_text")} AS source_text, {line("target_text")} AS target_text
+  FROM pairs JOIN made USING (lang_pair) WHERE ord % 3 = third)
+SELECT lang_pair, split, ord, {MD5S} FROM lines""",
+    "requested_codes": _RECODED + " SELECT DISTINCT split_part(target_lang, '_', 1) AS code FROM recoded",
+    "orient_literal": f"""WITH {PAIRS_SQL} SELECT lang_pair, ord,
+  CASE WHEN source_lang = 'deu' THEN source_id ELSE target_id END AS source_id,
+  CASE WHEN source_lang = 'deu' THEN target_id ELSE source_id END AS target_id,
+  CASE WHEN source_lang = 'deu' THEN source_lang ELSE target_lang END AS source_lang,
+  CASE WHEN source_lang = 'deu' THEN target_lang ELSE source_lang END AS target_lang,
+  md5(CASE WHEN source_lang = 'deu' THEN source_text ELSE target_text END) AS source_md5,
+  md5(CASE WHEN source_lang = 'deu' THEN target_text ELSE source_text END) AS target_md5
+FROM pairs""",
+    "teacher_restart": f"""WITH {DOCUMENTS_SQL} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id,
+  md5(text) AS target_md5, true AS kept FROM documents""",
+    "cache_levels": """WITH firsts AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY 1),
+runs AS (SELECT text, unnest([id % 10, id % 7]) AS run FROM firsts),
+last AS (SELECT text, max(run) AS run FROM runs GROUP BY 1)
+SELECT md5(text) AS source_md5, md5(run || ':' || text) AS target_md5, run AS ord FROM last""",
+    "flat_languages": f"""WITH {PAIRS_SQL}, {dim(UNEVEN_DIMENSION)}, asked AS (
+  SELECT DISTINCT target_lang AS code FROM pairs WHERE target_lang <> 'eng'),
+roles AS (
+  SELECT script_code, 'anchor' AS role FROM bases WHERE code = 'eng'
+  UNION ALL SELECT script_code, 'covered' FROM bases JOIN asked USING (code) WHERE n_match = 1
+  UNION ALL SELECT d.script_code, 'ambiguous' FROM dim d JOIN bases b ON b.code = split_part(d.script_code, '_', 1)
+  JOIN asked a ON a.code = b.code WHERE b.n_match > 1)
+SELECT script_code, role FROM roles""",
 }

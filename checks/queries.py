@@ -119,6 +119,32 @@ def ingest_resume(spark, sf_dir):
     return hashed(tables.read_pairs(spark, out, split="train"), "lang_pair", "split", "ord")
 
 
+def ingest_override(spark, sf_dir):
+    """A store with older rows of two pairs: German ones are replaced by what the files have, French ones stay."""
+    root, out = write_line_files(spark, sf_dir), new_dir(spark, "store")
+    arriving = files.read_aligned(spark, files.list_pairs(spark, root))
+    older = arriving.filter(F.col("lang_pair") != "eng-spa").withColumn("target_text", F.lit("older"))
+    sinks.write_pairs(older, out, chunk=None)
+    corpus.ingest(spark, root, out, sources=["deu"], override=True)
+    return hashed(tables.read_pairs(spark, out), "lang_pair", "split", "ord")
+
+
+def dev_files(spark, sf_dir):
+    """Line files of three splits: German has ``val`` and ``dev``, French only ``dev``, Spanish ``val`` and an empty ``dev``; what
+    is stored as ``val`` comes from ``val`` where it has lines, else from ``dev``."""
+    root, rows = new_dir(spark, "splits"), pairs(spark, sf_dir)
+    made = {"deu-eng": {"val": 0, "dev": 1}, "eng-fra": {"dev": 1, "train": 0}, "eng-spa": {"val": 2, "train": 0}}
+    for pair, splits in made.items():
+        for split, third in splits.items():
+            own = rows.filter((F.col("lang_pair") == pair) & (F.col("ord") % 3 == third)).orderBy("ord")
+            for side, column in (("src", "source_text"), ("trg", "target_text")):
+                own.select(one_line(column).alias("value")).write.text(f"{root}/{pair}/{split}.{side}")
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/eng-spa/dev.src")
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/eng-spa/dev.trg")
+    lines = files.read_aligned(spark, files.list_pairs(spark, root), mode="strict")
+    return hashed(lines, "lang_pair", "split", "ord")
+
+
 def _store(spark, sf_dir) -> str:
     """The pairs stored in three splits, German without a training split."""
     out = new_dir(spark, "store")
@@ -317,6 +343,12 @@ def code_requests(spark, sf_dir):
     return rows.filter(F.col("lang_pair").isin(found.pairs)).groupBy("lang_pair").agg(F.count(F.lit(1)).alias("n"))
 
 
+def requested_codes(spark, sf_dir):
+    """Requested targets as one text, made of the script codes of recoded pairs."""
+    codes = counts.langs_used(_recoded(spark, sf_dir)).collect()
+    return code_source.code_requests(spark, ", ".join(sorted(r.lang for r in codes)))
+
+
 def missing_langs(spark, sf_dir):
     vocab = code_source.vocabulary(spark, ["eng_Latn", "fra_Latn"])
     used = counts.langs_used(_recoded(spark, sf_dir))
@@ -357,6 +389,12 @@ def orient_pairs(spark, sf_dir):
     return ids(_oriented(spark, sf_dir))
 
 
+def orient_literal(spark, sf_dir):
+    """Every row whose source is not German is turned round, also those without German on either side."""
+    turned = orient.orient(pairs(spark, sf_dir), "deu", SIDES, literal=True)
+    return ids(turned)
+
+
 def recode_pairs(spark, sf_dir):
     return ids(_recoded(spark, sf_dir))
 
@@ -601,6 +639,45 @@ def cache_store(spark, sf_dir):
     )
 
 
+def teacher_restart(spark, sf_dir):
+    """A translator that is gone when it meets a certain text; the next one, which marks its work, gets what is left."""
+    root, model, texts = new_dir(spark, "cache"), "some/model", _texts(spark, sf_dir)
+    key = cache.text_keys()["k1"]
+    wanted = texts.select("source_text", F.pmod(key, F.lit(4)).alias("part")).distinct()
+    # a text of the third of four portions
+    last = wanted.filter("part = 2").agg(F.min("source_text")).first()[0]
+    portion = -(-wanted.count() // 4)
+
+    def fails(chunk: list[str]) -> list[str]:
+        if last in chunk:
+            raise RuntimeError("the translator is gone")
+        return ["t:" + t for t in chunk]
+
+    try:
+        training.teacher_stored(texts, root, model, fails, drop_last=False, portion=portion)
+    except Exception as e:
+        if "the translator is gone" not in str(e):
+            raise
+    made = training.teacher_stored(
+        texts, root, model, lambda chunk: ["again:" + t for t in chunk], drop_last=False, portion=portion
+    )
+    return _answers(made.withColumn("target_text", F.regexp_replace("target_text", "^(t|again):", ""))).withColumn(
+        "kept", F.lit(cache_source.read_cache(spark, root, model).filter("translation like 't:%'").count() > 0)
+    )
+
+
+def cache_levels(spark, sf_dir):
+    """Ten appends, each with some texts of the ones before: runs are merged on the way, and the last translation counts."""
+    root, model, rows = new_dir(spark, "cache"), "some/model", _cache_rows(spark, sf_dir)
+    first = rows.groupBy("source_text").agg(F.min("ord").alias("ord"))
+    for run in range(10):
+        part = first.filter((F.col("ord") % 10 == run) | (F.col("ord") % 7 == run))
+        marked = F.concat(F.lit(f"{run}:"), "source_text")
+        sinks.append_cache(part.select("source_text", marked.alias("translation")), root, model, run, fan=4)
+    kept = cache.dedup_cache(cache_source.read_cache(spark, root, model))
+    return kept.select(F.md5("source_text").alias("source_md5"), F.md5("translation").alias("target_md5"), "ord")
+
+
 def _write_tsv(spark, sf_dir) -> str:
     out = new_dir(spark, "tsv")
     field = F.regexp_replace("text", r"[\t\r\n]+", " ")
@@ -750,6 +827,18 @@ def stream_two_sources(spark, sf_dir):
     return hashed(tables.read_pairs(spark, out, split=None), "lang_pair", "split", "ord")
 
 
+def stream_lost_checkpoint(spark, sf_dir):
+    """A stream stores what has arrived, loses its checkpoint, and reads the same folder again when more has come."""
+    arriving, out, landed = _store(spark, sf_dir), new_dir(spark, "lost"), new_dir(spark, "landed")
+    stored = tables.read_pairs(spark, arriving, split=None)
+    for rest in range(3):
+        stored.filter(F.col("ord") % 3 == rest).write.mode("append").parquet(landed)
+        stream = streams.read_stream(spark, landed, max_files=2)
+        query = streams.start_ingest(stream, out, new_dir(spark, "checkpoint"))
+        streams.finish_ingest(spark, out, query)
+    return hashed(tables.read_pairs(spark, out, split=None), "lang_pair", "split", "ord")
+
+
 # Plans --------------------------------------------------------------------------------
 
 
@@ -797,6 +886,16 @@ def training_rows_uneven(spark, sf_dir):
     return _training(spark, sf_dir, UNEVEN_DIMENSION)
 
 
+def flat_languages(spark, sf_dir):
+    """What the languages of a flat corpus resolve to, with one that is ambiguous and one that is unknown."""
+    flat = _flat(spark, sf_dir)
+    asked = flat.select(fx.base_code("tgt_lang").alias("code")).distinct()
+    dim = code_source.code_dimension(spark, UNEVEN_DIMENSION)
+    found = training.resolve_flat_languages(dim, ANCHOR, asked)
+    made = [(found.anchor_code, "anchor"), *((c, "covered") for c in found.covered)]
+    return spark.createDataFrame([*made, *((c, "ambiguous") for c in found.ambiguous)], "script_code string, role string")
+
+
 def training_sizes(spark, sf_dir):
     rows = pairs(spark, sf_dir)
     return training.training_sizes(rows, select.filter_scores(rows, LOOSE_THRESHOLD))
@@ -838,6 +937,8 @@ QUERIES = {
         truncate_ids, pad_batch, mask_after_eos,
         bleu_counts, corpus_bleu,
         stream_normalize, stream_flat, stream_ingest, stream_then_ingest, stream_two_sources,
+        stream_lost_checkpoint, ingest_override, dev_files, requested_codes, orient_literal, teacher_restart,
+        cache_levels, flat_languages,
         aligned_gz, uneven_report, read_flat, drop_script, code_requests, training_sizes,
         training_rows, training_teacher, training_first, training_rows_uneven, eval_rows, flat_training_rows,
     )
