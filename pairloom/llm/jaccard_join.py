@@ -50,10 +50,12 @@ PERCENT = 75
 LONG_LIST_SHARE = 400
 LONG_LIST_LEAST = 64
 
-#: Shingles a task handles at once: gathered before they are sent, in a hash range, in a block.
-SEND = 1_000_000
-RANGE = 2_000_000
-BLOCK = 2_000_000
+#: Bytes of text described at once, and shingles a task handles at once: gathered before they are sent, in a hash
+#: range, in a block. A task's arrays are some 100 bytes for each.
+TEXT_BYTES = 1_000_000
+SEND = 500_000
+RANGE = 700_000
+BLOCK = 1_000_000
 #: Sets a block of a cluster holds.
 BLOCK_SETS = 1024
 
@@ -89,7 +91,7 @@ def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[int, int] = {}
     for batch in batches:
         doc_ids = batch.column("doc_id")
-        for texts in chunks(batch.column("text")):
+        for texts in chunks(batch.column("text"), TEXT_BYTES):
             sets = shingles(texts)
             ids = set_ids(sets)
             n = np.diff(sets.ptr)
@@ -193,7 +195,7 @@ def _send(batches: Iterable[pa.RecordBatch], parts: int, long_lists) -> Iterator
         )
 
     for batch in batches:
-        for texts in chunks(batch.column("text")):
+        for texts in chunks(batch.column("text"), TEXT_BYTES):
             sets = shingles(texts)
             held.append((set_ids(sets), np.diff(sets.ptr), sets.hashes))
             weight += len(sets.hashes)
@@ -467,12 +469,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size.shingles or 0) // RANGE + 1)
 
     sent = docs.mapInArrow(partial(_send, parts=parts, long_lists=long_lists), _SENT)
-    shared = (
-        sent.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _share(t, parts), _SENT)
-    )
-    open_sets = cut_lineage(
-        shared.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _open_sets(t, parts), _OPEN)
-    )
+
+    def by_range(rows: DataFrame):
+        # a task for each range: hashing dense numbers would give some tasks several and others none
+        return rows.repartitionById(parts, F.col("part").cast("int")).groupBy("part")
+
+    shared = by_range(sent).applyInArrow(lambda t: _share(t, parts), _SENT)
+    open_sets = cut_lineage(by_range(shared).applyInArrow(lambda t: _open_sets(t, parts), _OPEN))
 
     met = open_sets.select(F.explode("prefix").alias("key"), "set_id")
     stars = met.groupBy("key").agg(F.min("set_id").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
