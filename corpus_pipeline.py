@@ -8,15 +8,12 @@ operator rejects.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pairloom.llm.jaccard_join import jaccard_components
 from pairloom.llm.language_id import prediction
-from pairloom.llm.mixing import CLEAN, TARGETS, copies, rated, sparing, text_key
 from pairloom.llm.pieces import encode
 from pairloom.llm.secrets import redact_secrets
-from pairloom.operators.sizing import small_side
-from pairloom.workspace import cut_lineage, new_dir
+from pairloom.llm.selection import mixed, one_of_each_group
+from pairloom.workspace import new_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,47 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts one row stays: that with the smallest id, then the smallest hash of its text.
-
-    Texts are linked, not ids, so one id may stand on rows with unlike texts. Rows without an id come last in their
-    group. Texts without words link with nothing: of those only rows that repeat both id and text count once. What
-    decides is a few numbers for each text; it is broadcast if small, else joined by shuffle.
-    """
-    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    has_words = F.coalesce(text.rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    wordless = F.when(doc_id.isNotNull(), F.xxhash64(F.lit("wordless"), text, doc_id))
-    keyed = docs.withColumn("_text", F.when(has_words, F.xxhash64(text)).otherwise(wordless))
-    groups = jaccard_components(docs.filter(has_words).select(F.xxhash64(text).alias("doc_id"), text.alias("text")))
-    linked = small_side(
-        groups.filter("doc_id <> component_id")
-        .select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_group"))
-        .distinct()
-    )
-    by_text = (
-        keyed.filter("_text is not null")
-        .groupBy("_text", doc_id.alias("_id"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("_text")
-        .agg(F.sum("_n").alias("_rows"), F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_n")).alias("_head"))
-    )
-    by_text = cut_lineage(by_text.join(linked, "_text", "left").withColumn("_group", F.coalesce("_group", "_text")))
-    crowded = (
-        by_text.groupBy("_group")
-        .agg(F.sum("_rows").alias("_all"), F.min(F.struct("_head._none", "_head._id", "_text", "_head._n")).alias("_first"))
-        .filter("_all > 1")
-    )
-    verdicts = small_side(
-        by_text.join(crowded, "_group").select(
-            "_text", (F.col("_text") == F.col("_first._text")).alias("_stays"), "_first._id", "_first._n"
-        )
-    )
-    kept = keyed.join(verdicts, "_text", "left").filter(
-        F.col("_stays").isNull() | (F.col("_stays") & doc_id.eqNullSafe(F.col("_id")))
-    )
-    if not verdicts.filter("_stays and _n > 1").isEmpty():
-        repeated = F.coalesce(F.col("_n") > 1, F.lit(False))
-        kept = kept.filter(~repeated).unionByName(kept.filter(repeated).dropDuplicates(["_text"]))
-    return kept.select(*docs.columns)
+    """Of each group of linked texts one row stays."""
+    return one_of_each_group(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,16 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document is repeated, or left out, as its rate says: none of the clean domain is left out, and none of
-    another is repeated. Rows of one id and text get the same rate; rows without an id stay once."""
-    rates = rated(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
-    rates = sparing(rates, CLEAN, [d for d in TARGETS if d != CLEAN])
-    times = rates.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.max(copies(F.col("rate"))).alias("_times")
-    )
-    own = (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    mixed = docs.join(times, own, "left")
-    often = F.array_repeat(F.lit(1), F.coalesce("_times", F.lit(1)))
-    return mixed.select(*docs.columns, F.explode(often).alias("_one")).drop("_one")
+    another is repeated."""
+    return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
