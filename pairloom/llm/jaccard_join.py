@@ -50,12 +50,15 @@ PERCENT = 75
 LONG_LIST_SHARE = 400
 LONG_LIST_LEAST = 64
 
-#: Bytes of text described at once, and shingles a task handles at once: gathered before they are sent, in a hash
-#: range, in a block. A task's arrays are some 100 bytes for each.
+#: Bytes of text described at once, and shingles a task handles at once: gathered before they are sent, compared in a
+#: hash range, in a block. A task's arrays are some 100 bytes for each.
 TEXT_BYTES = 1_000_000
 SEND = 500_000
-RANGE = 700_000
+SHARE = 700_000
 BLOCK = 1_000_000
+#: Shingles of a hash range, which stay packed until they are compared; with smaller ranges a set's shingles would
+#: be torn apart, and each piece names its set.
+RANGE = 2_000_000
 #: Sets a block of a cluster holds.
 BLOCK_SETS = 1024
 
@@ -214,41 +217,50 @@ def _rows(table: pa.Table, kind: int) -> Iterator[tuple[bytes, bytes, bytes]]:
 
 def _share(table: pa.Table, parts: int) -> pa.Table:
     """Of one hash range, the shingles that two sets or more have, sent to the sets' names with
-    the number of sets; rows about sets pass through."""
+    the number of sets; rows about sets pass through. The range is unpacked in portions by hash."""
     part = table.column("part")[0].as_py()
     rows = [(part, _INFO, *r) for r in _rows(table, _INFO)]
     sent = list(_rows(table, _KEYS))
-    if sent:
-        keys = np.concatenate([_unpack48(k) for _, _, k in sent])
-        sids = np.concatenate(
-            [np.repeat(np.frombuffer(s, np.uint64), np.frombuffer(z, np.uint32)) for s, z, _ in sent]
-        )
-        order = np.argsort(keys)
-        ranked = keys[order]
-        again = np.zeros(len(ranked), bool)
-        again[1:] = ranked[1:] == ranked[:-1]
-        again[:-1] |= again[1:]
-        order = order[again]
-        keys, sids = keys[order], sids[order]
-        order = np.lexsort((sids, keys))
-        keys, sids = keys[order], sids[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
-        keys, sids = keys[fresh], sids[fresh]
-        _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = count[back] > 1
-        keys, sids, count = keys[shared], sids[shared], count[back][shared]
-        whole = keys * _U(parts) + _U(part)
-        home = (sids % _U(parts)).astype(np.int64)
-        order = np.lexsort((sids, home))
-        whole, sids, home, count = whole[order], sids[order], home[order], count[order]
-        for p in np.unique(home):
-            lo, hi = np.searchsorted(home, [p, p + 1])
-            rows.append((p, _KEYS, sids[lo:hi].tobytes(), count[lo:hi].astype(np.uint32).tobytes(), whole[lo:hi].tobytes()))
+    portions = -(-sum(len(k) // 6 for _, _, k in sent) // SHARE)
+    for portion in range(portions):
+        rows += _shared_of(sent, part, parts, portion, portions)
     columns = zip(*rows) if rows else [[] for _ in _SENT_ARROW]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT_ARROW)], schema=_SENT_ARROW)
 
 
+def _shared_of(sent: list[tuple], part: int, parts: int, portion: int, portions: int) -> list[tuple]:
+    unpacked = []
+    for s, z, k in sent:
+        keys, sids = _unpack48(k), np.repeat(np.frombuffer(s, np.uint64), np.frombuffer(z, np.uint32))
+        own = keys % _U(portions) == _U(portion)
+        unpacked.append((keys[own], sids[own]))
+    keys, sids = (np.concatenate(x) for x in zip(*unpacked))
+    order = np.argsort(keys)
+    ranked = keys[order]
+    again = np.zeros(len(ranked), bool)
+    again[1:] = ranked[1:] == ranked[:-1]
+    again[:-1] |= again[1:]
+    order = order[again]
+    keys, sids = keys[order], sids[order]
+    order = np.lexsort((sids, keys))
+    keys, sids = keys[order], sids[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
+    keys, sids = keys[fresh], sids[fresh]
+    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = count[back] > 1
+    keys, sids, count = keys[shared], sids[shared], count[back][shared]
+    whole = keys * _U(parts) + _U(part)
+    home = (sids % _U(parts)).astype(np.int64)
+    order = np.lexsort((sids, home))
+    whole, sids, home, count = whole[order], sids[order], home[order], count[order]
+    rows = []
+    for p in np.unique(home):
+        lo, hi = np.searchsorted(home, [p, p + 1])
+        rows.append((p, _KEYS, sids[lo:hi].tobytes(), count[lo:hi].astype(np.uint32).tobytes(), whole[lo:hi].tobytes()))
+    return rows
+
+
 _OPEN = "set_id long, n long, content array<long>, prefix array<long>"
 _OPEN_ARROW = pa.schema(
     [("set_id", pa.int64()), ("n", pa.int64()), ("content", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]
