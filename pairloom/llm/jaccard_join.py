@@ -36,6 +36,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,6 +210,13 @@ def _send(batches: Iterable[pa.RecordBatch], parts: int, long_lists) -> Iterator
         yield from flush()
 
 
+def _each_range(batches: Iterable[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
+    """``of`` for the rows of each hash range a task was given."""
+    table = pa.Table.from_batches(batches, _SENT_ARROW)
+    for part in pc.unique(table.column("part")).to_pylist():
+        yield from of(table.filter(pc.equal(table.column("part"), part))).to_batches()
+
+
 def _rows(table: pa.Table, kind: int) -> Iterator[tuple[bytes, bytes, bytes]]:
     for k, *row in zip(*(table.column(c).to_pylist() for c in ("kind", "sets", "sizes", "keys"))):
         if k == kind:
@@ -482,12 +490,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     sent = docs.mapInArrow(partial(_send, parts=parts, long_lists=long_lists), _SENT)
 
-    def by_range(rows: DataFrame):
+    def by_range(rows: DataFrame, of, schema: str) -> DataFrame:
         # a task for each range: hashing dense numbers would give some tasks several and others none
-        return rows.repartitionById(parts, F.col("part").cast("int")).groupBy("part")
+        dealt = rows.repartitionById(parts, F.col("part").cast("int"))
+        return dealt.mapInArrow(partial(_each_range, of=partial(of, parts=parts)), schema)
 
-    shared = by_range(sent).applyInArrow(lambda t: _share(t, parts), _SENT)
-    open_sets = cut_lineage(by_range(shared).applyInArrow(lambda t: _open_sets(t, parts), _OPEN))
+    shared = by_range(sent, _share, _SENT)
+    open_sets = cut_lineage(by_range(shared, _open_sets, _OPEN))
 
     met = open_sets.select(F.explode("prefix").alias("key"), "set_id")
     stars = met.groupBy("key").agg(F.min("set_id").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")

@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.bytesets import chunks
 
+#: Bytes of text looked at together; a byte needs an entry for each language and some numbers.
+TEXT_BYTES = 500_000
+
 #: Rows of each language that the statistics are taken from: those with the smallest hashes.
 SAMPLE_ROWS = 300
 
@@ -202,7 +205,7 @@ def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
     base = round(len(model.context) ** (1 / 3))
     before = int(model.symbol[_BEFORE])
     out = np.zeros((len(column), len(model.languages)))
-    for texts in chunks(column):
+    for texts in chunks(column, TEXT_BYTES):
         if not len(texts.data):
             continue
         symbols = model.symbol[texts.data]
