@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordinal import BLOCK_WIDTH, div, rank_in_slots, slot_counts
-from pairloom.operators.sizing import settle
+from pairloom.operators.ordinal import BLOCK_WIDTH, div, rank_in_slots, running_offsets, slot_counts
+from pairloom.operators.sizing import Summary, settle
+from pairloom.workspace import cut_lineage
 
 
 def union_pairs(dfs: Iterable[DataFrame]) -> DataFrame:
@@ -54,9 +55,7 @@ def interleave(
     """
     sizes = settle(with_keys(key_sizes(df, key) if sizes is None else sizes, keys, key))
     total = sizes.df.agg(F.count(F.lit(1)).alias("keys"), F.min("n").alias("rounds")).first()
-    turns = sizes.df.select(
-        key, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).alias("_turn")
-    )
+    turns = key_turns(sizes, key)
     return (
         df.filter(F.col(order) < F.lit(total.rounds or 0))
         .join(F.broadcast(turns) if sizes.small else turns, key)
@@ -65,6 +64,21 @@ def interleave(
     )
 
 
+def key_turns(sizes: Summary, key: str) -> DataFrame:
+    """``key, _turn``: the place of each key in alphabetical order. A short list is numbered by one window; a long one
+    is sorted by range, and each range's keys are counted from the ranges before."""
+    if sizes.small:
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1
+        return sizes.df.select(key, place.alias("_turn"))
+    ranged = sizes.df.select(key).repartitionByRange(key).sortWithinPartitions(key)
+    ranged = cut_lineage(
+        ranged.withColumns({"_slot": F.spark_partition_id().cast("long"), "_at": F.monotonically_increasing_id()})
+    )
+    before = running_offsets(settle(ranged.groupBy("_slot").agg(F.count(F.lit(1)).alias("n"))), [])
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(before, "_slot").select(key, (F.col("offset") + inside).alias("_turn"))
+
+
 def block_shuffle(
     df: DataFrame,
     seed: int = 42,

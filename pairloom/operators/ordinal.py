@@ -141,9 +141,8 @@ def with_ordinal(
     sizes. Up to a limit the table of blocks is broadcast; above it, or without a
     bound, the join is left to the optimizer.
 
-    Both passes must cut files at the same bytes. If the cluster's core count changes
-    between them this can fail to hold unless ``spark.sql.files.minPartitionNum`` is
-    set; every line is checked against its block and a mismatch is an error.
+    Both passes must cut files at the same bytes, which ``raw_lines`` sees to; every line is checked against its
+    block and a mismatch is an error.
     """
     keys = list(keys)
     blocks = named(

@@ -7,7 +7,13 @@ writes it; their lines are taken in file-name order, shorter names first (``part
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,14 +102,58 @@ def skipped_splits(catalog: DataFrame, dev: str = "fallback") -> DataFrame:
     )
 
 
+#: What decides into which blocks files are cut.
+_MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
+_CUTS = {
+    "spark.sql.files.maxPartitionBytes": "134217728b",
+    "spark.sql.files.openCostInBytes": "4194304b",
+}
+
+
 def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines with their place: ``file, block, seq, text``."""
-    return spark.read.text(paths).select(
+    """Lines with their place: ``file, block, seq, text``.
+
+    The files are opened by a session of their own whose settings are those of this moment, the number of cores included.
+    So every pass over the result cuts them at the same bytes, also after cores have come or gone, or ``spark`` was
+    set otherwise.
+    """
+    own = spark.newSession()
+    cores = spark.conf.get(_MIN_PARTITIONS, None) or str(spark.sparkContext.defaultParallelism)
+    own.conf.set(_MIN_PARTITIONS, cores)
+    for key, default in _CUTS.items():
+        own.conf.set(key, spark.conf.get(key, default))
+    lines = own.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("text"),
     )
+    # a union belongs to the session of its first side; the empty side is optimized away
+    return spark.createDataFrame([], lines.schema).limit(0).union(lines)
+
+
+def numbered_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, ord, text`` of files that one task reads whole, such as gz files: a line's number is how many
+    came before it from the same file, so nothing is counted first and each file is unpacked once."""
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column("file"))
+            start, ords = 0, []
+            for end, file in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                if file != last:
+                    last, seen = file, 0
+                ords.append(np.arange(seen, seen + end - start))
+                seen += end - start
+                start = end
+            places = pa.array(np.concatenate(ords) if ords else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), places, batch.column("text")], names=["file", "ord", "text"]
+            )
+
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return lines.mapInArrow(number, "file string, ord long, text string")
 
 
 def file_name(file: str = "file") -> Column:
@@ -149,14 +199,27 @@ def block_bound(spark: SparkSession, sizes: list[int]) -> int:
 def numbered_lines(
     spark: SparkSession, catalog: DataFrame, dev: str = "fallback", one_sided: bool = False
 ) -> DataFrame | None:
-    """Stripped lines of the chosen files with their ``ord``; None without any file."""
+    """Stripped lines of the chosen files with their ``ord``; None without any file.
+
+    A side that is one gz file is numbered as it is unpacked. Other files are cut into blocks, which are counted in a pass
+    before.
+    """
     # file names are driver metadata: Spark's own file index holds them there too
-    files = choose_files(catalog, dev, one_sided).select("path", "bytes").collect()
+    files = choose_files(catalog, dev, one_sided).select("lang_pair", "split", "side", "path", "bytes", "is_gz").collect()
     if not files:
         return None
-    lines = raw_lines(spark, [f.path for f in files])
-    bound = block_bound(spark, [f.bytes for f in files])
-    numbered = with_ordinal(lines, ["lang_pair", "split", "side"], with_side, bound)
+    keys = ["lang_pair", "split", "side"]
+    shards = Counter(f[:3] for f in files)
+    whole = [f for f in files if f.is_gz and shards[f[:3]] == 1]
+    rest = [f for f in files if not (f.is_gz and shards[f[:3]] == 1)]
+    parts = []
+    if rest:
+        bound = block_bound(spark, [f.bytes for f in rest])
+        parts.append(with_ordinal(raw_lines(spark, [f.path for f in rest]), keys, with_side, bound))
+    if whole:
+        named = with_side(numbered_files(spark, [f.path for f in whole]))
+        parts.append(named.select(*keys, "text", "ord"))
+    numbered = reduce(DataFrame.unionByName, parts)
     return numbered.withColumn("text", strip_text("text"))
 
 
