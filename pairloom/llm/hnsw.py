@@ -1,21 +1,23 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Vectors go to shards of bounded size by a hash of their id. Each shard builds its own graph: every
+Vectors go to shards of bounded size: those of one length (number of components) and of norms between two powers of
+two, by a hash of id and vector. Each shard builds its own graph: every
 vector is in the bottom layer, and a sixteenth of each layer in the next. A graph is stored as flat
 arrays: for each layer its members and a table of neighbours. A search walks greedily down the
 layers and then keeps the ``EF`` nearest of the bottom layer; the shards' results are merged per
 query. All queries of a block walk together, a step at a time, and so do the vectors of a batch that
 are inserted, so the work is done on whole arrays.
 
-Nearness is the largest inner product. Vectors are given one more component, which makes all of
-them equally long (the longest vector of all data sets the length): then the nearest is the one with the
-largest product, also for vectors of unequal length. Scores are products of the original vectors
-in double precision.
+Nearness is the largest inner product. Vectors are given one more component, which makes all of a shard
+equally long: then the nearest is the one with the largest product, also for vectors of unequal norm. As norms of a
+shard differ by less than a factor of two, that component never drowns the others, whatever the norms of the whole table. Scores
+are products of the original vectors in double precision, taken after scaling by powers of two: one too large for a
+double is infinite, and never undefined.
 
 Equal vectors of a shard are one node with many ids, so copies, however many, do not crowd a graph.
 
-Defined results: vectors that are null, all zero, of another length than the most frequent one, or
-hold a null or non-finite component take no part, nor do rows without ``vec_id``. Ties go to the
+Defined results: vectors that are null, all zero, or hold a null or non-finite component take no part, nor do rows
+without ``vec_id``. A product needs two vectors of one length, so each query meets the vectors of its own length. Ties go to the
 smaller ``vec_id``. With fewer candidates than ``k`` all are returned. Of rows that repeat an id the
 one with the larger product counts, and an id never finds itself. Further columns are ignored.
 Empty in, empty out.
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.bytesets import mix
+from pairloom.operators.sizing import settle
 from pairloom.workspace import cut_lineage
 
 #: Vectors of a shard, queries of a block.
@@ -207,7 +210,8 @@ def search(
 
 
 def clean_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """``vec_id, vector, norm`` of the rows that take part."""
+    """``vec_id, vector, d, band`` of the rows that take part, repeated ones once: ``d`` is the number of components, ``band``
+    the whole part of the norm's binary logarithm."""
     values = F.col(vector).cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     out = (
@@ -215,8 +219,20 @@ def clean_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
         .filter("vec_id is not null and vector is not null")
         .filter(~F.exists("vector", bad))
     )
-    out = out.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
-    return out.filter("norm > 0")
+    # scaled first: squares of very large or small components have no double
+    most = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.col("_most")) * (x / F.col("_most")))
+    return (
+        out.withColumn("_most", most)
+        .filter("_most > 0")
+        .select(
+            "vec_id",
+            "vector",
+            F.size("vector").alias("d"),
+            F.floor(F.log2("_most") + F.log2(squares) / 2).cast("int").alias("band"),
+        )
+        .distinct()
+    )
 
 
 _NODES = "shard long, node int, vec_ids array<long>, vector array<double>, links array<array<int>>"
@@ -237,14 +253,24 @@ def _matrix(column: pa.ChunkedArray, count: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(count, -1)
 
 
-def _unit(vectors: np.ndarray, longest: float) -> np.ndarray:
+def _scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector divided, without rounding, by a power of two that leaves its largest component between 1/2 and 1, and
+    the exponents."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -power[:, None]), power
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
     """Vectors with the component that makes all equally long, scaled to length one."""
-    scaled = vectors / longest
-    rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled**2).sum(axis=1)))
-    return np.concatenate([scaled, rest[:, None]], axis=1).astype(np.float32)
+    scaled, power = _scaled(vectors)
+    # norms of a shard lie within a factor of two, and a component is at least the norm by the root of their number
+    scaled = np.ldexp(scaled, (power - power.max())[:, None])
+    squares = (scaled**2).sum(axis=1)
+    rest = np.sqrt(np.maximum(0.0, squares.max() - squares))
+    return (np.concatenate([scaled, rest[:, None]], axis=1) / np.sqrt(squares.max())).astype(np.float32)
 
 
-def _build_shard(table: pa.Table, longest: float) -> pa.Table:
+def _build_shard(table: pa.Table) -> pa.Table:
     """The graph of one shard, a row for each distinct vector."""
     shard = table.column("shard")[0].as_py()
     table = table.sort_by("vec_id")
@@ -254,7 +280,7 @@ def _build_shard(table: pa.Table, longest: float) -> pa.Table:
     _, once, which = np.unique(
         raw.view(np.dtype((np.void, raw.shape[1] * 8))).reshape(-1), return_index=True, return_inverse=True
     )
-    graph = build(_unit(vectors[once], longest), ids[once])
+    graph = build(_unit(vectors[once]), ids[once])
     by_node = np.argsort(which, kind="stable")
     cut = np.searchsorted(which[by_node], np.arange(len(once) + 1))
     links: list[list] = [[] for _ in once]
@@ -296,13 +322,15 @@ _FOUND = "query_id long, vec_id long, score double"
 _FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _search_shard(queries: pa.Table, nodes: pa.Table, longest: float, k: int) -> pa.Table:
+def _search_shard(queries: pa.Table, nodes: pa.Table, k: int) -> pa.Table:
     """The ``k`` best of one shard for each query of a block."""
     if not queries.num_rows or not nodes.num_rows:
         return _FOUND_ARROW.empty_table()
     graph, vectors, ids = _load(nodes)
     wanted = _matrix(queries.column("vector"), queries.num_rows)
-    unit = _unit(vectors, longest)
+    unit = _unit(vectors)
+    vectors, power = _scaled(vectors)
+    wanted, aim_power = _scaled(wanted)
     # a query has no added component: only its direction counts
     aims = np.concatenate(
         [wanted / np.linalg.norm(wanted, axis=1, keepdims=True), np.zeros((len(wanted), 1))], axis=1
@@ -313,7 +341,9 @@ def _search_shard(queries: pa.Table, nodes: pa.Table, longest: float, k: int) ->
         found, _ = search(graph, unit, aims[lo : lo + 512], max(EF, k + 1))
         for i, row in enumerate(found, lo):
             row = row[row >= 0]
-            score = vectors[row] @ wanted[i]
+            # summed alike for each row, so that equal vectors have equal products
+            with np.errstate(over="ignore", under="ignore"):
+                score = np.ldexp((vectors[row] * wanted[i]).sum(axis=1), power[row] + aim_power[i])
             best: list[tuple[float, int]] = []
             order = np.argsort(-score, kind="stable")
             for j in order.tolist():
@@ -342,37 +372,38 @@ def nearest(
     ``every``. Each block of queries meets each shard once; a task holds one graph and one block.
     """
     points = clean_vectors(df, vec_id, vector)
-    length = points.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if length is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    points = points.filter(F.size("vector") == length.d)
-    size = points.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).first()
-    shards = -(-size["n"] // shard_rows)
-    asked = points if queries is None else clean_vectors(queries, vec_id, vector)
-    if queries is None:
-        asked = asked.filter(F.col("vec_id") % every == 0)
-    else:
-        asked = asked.filter(F.size("vector") == length.d)
+    # a row for each length and each of at most 2,100 bands
+    counts = settle(points.groupBy("d", "band").agg(F.count(F.lit(1)).alias("n")))
+    parts = F.ceil(F.col("n") / shard_rows).cast("long")
+    before = Window.partitionBy(F.lit(0)).orderBy("d", "band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = counts.df.select(
+        "d", "band", parts.alias("parts"), F.coalesce(F.sum(parts).over(before), F.lit(0)).alias("first")
+    )
+    shards = counts.df.agg(F.sum(parts).alias("shards")).first().shards or 1
+    bands = F.broadcast(bands) if counts.small else cut_lineage(bands)
+    asked = points.filter(F.col("vec_id") % every == 0) if queries is None else clean_vectors(queries, vec_id, vector)
     blocks = -(-asked.count() // BLOCK_QUERIES) or 1
-    longest = size.longest
 
-    sharded = points.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), "vec_id", "vector")
+    part = F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts"))
+    sharded = points.join(bands, ["d", "band"]).select((F.col("first") + part).alias("shard"), "vec_id", "vector")
     graphs = cut_lineage(
         sharded.repartitionById(int(shards), F.col("shard").cast("int"))
         .groupBy("shard")
-        .applyInArrow(lambda t: _build_shard(t, longest), _NODES)
+        .applyInArrow(_build_shard, _NODES)
     )
-    each_shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    each_shard = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))
     each_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
-    left = asked.select(F.col("vec_id").alias("query_id"), "vector", block.alias("block"), each_shard.alias("shard"))
+    block = F.pmod(F.xxhash64("vec_id", "vector", F.lit(1)), F.lit(blocks))
+    left = asked.join(bands.drop("band"), "d").select(
+        F.col("vec_id").alias("query_id"), "vector", block.alias("block"), each_shard.alias("shard")
+    )
     right = graphs.select("*", each_block.alias("block"))
     found = (
         left.groupBy("shard", "block")
         .cogroup(right.groupBy("shard", "block"))
-        .applyInArrow(lambda a, b: _search_shard(a, b, longest, k), _FOUND)
+        .applyInArrow(lambda a, b: _search_shard(a, b, k), _FOUND)
     )
-    # an id that two shards cannot share may still be repeated among the queries
+    # an id may stand on several vectors, here and among the queries
     distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -89,7 +89,7 @@ def test_nearest_of_awkward_vectors(spark):
         (140, [1.0, None, 1.0]),
         (160, [1.0, float("nan"), 1.0]),
         (180, [1.0, float("inf"), 1.0]),
-        (200, [1.0, 2.0]),
+        (200, [1.0, 2.0]),  # alone with its length
         (None, [1.0, 2.0, 3.0]),
         (0, [math.cos(0), math.sin(0), 0.5]),
     ]
@@ -105,6 +105,81 @@ def test_nearest_of_awkward_vectors(spark):
         assert [i for i, _ in found[q]] == [i for i, _ in want[q]]
 
 
+def unequal_vectors(kind):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(3000, 24))
+    if kind == "lognormal":
+        vectors *= np.exp(rng.normal(size=(3000, 1)))
+    elif kind == "one is 10,000 times longer":
+        vectors[7] *= 10_000
+    elif kind == "overflow":
+        vectors[::50] *= 1e200
+    elif kind == "underflow":
+        vectors[::3] *= 1e-170
+    elif kind == "subnormal":
+        vectors = np.ldexp(vectors, -1060)
+    return vectors
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "one is 10,000 times longer", "overflow", "underflow", "subnormal"])
+def test_nearest_recall_with_unequal_norms(spark, kind):
+    vectors = unequal_vectors(kind)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in hnsw.nearest(df, k=20, every=20, shard_rows=700).collect():
+        assert not math.isnan(r.score)
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = wanted = 0
+    with np.errstate(over="ignore", under="ignore"):
+        for q in range(0, 3000, 20):
+            power = np.frexp(np.abs(vectors).max(axis=1))[1]
+            scaled = np.ldexp(vectors, -power[:, None])
+            score = np.ldexp((scaled * scaled[q]).sum(axis=1), power + power[q])
+            score[q] = np.nan
+            least = -np.sort(-score[~np.isnan(score)])[19]
+            assert len(found[q]) == 20
+            # ties at the end, such as products that underflow to 0, are equally good
+            hits += sum(score[i] >= least for i in found[q])
+            wanted += 20
+            assert all(s == score[i] or s == pytest.approx(score[i], rel=1e-12) for i, s in found[q].items())
+    assert hits >= 0.9 * wanted
+
+
+def test_nearest_of_repeated_ids_and_rows(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(900, 8))
+    # id 0 stands on a third of all rows, each with its own vector; one row is repeated 300 times
+    ids = [0] * 300 + list(range(1, 601))
+    data = [(i, v.tolist()) for i, v in zip(ids, vectors)] + [(601, vectors[5].tolist())] * 300
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = {}
+    for r in hnsw.nearest(df, k=20, shard_rows=200).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    best = {}
+    for i, v in data:
+        if i % 20 == 0:
+            for j, w in {(j, tuple(w)) for j, w in data}:
+                if j != i:
+                    best[i, j] = max(best.get((i, j), -math.inf), float(np.dot(v, w)))
+    want = {q: {j for _, j in sorted((-s, j) for (a, j), s in best.items() if a == q)[:20]} for q in found}
+    assert set(want) == {0, *range(20, 601, 20)}
+    assert all(len(x) == 20 for x in found.values())
+    assert sum(len(found[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_vectors_of_each_length_find_their_own(spark):
+    data = [(i, [1.0, float(i)]) for i in range(30)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(9)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = {}
+    for r in hnsw.nearest(df, k=5).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [i for _, i in sorted(x)] for q, x in found.items()} == {
+        0: [1, 2, 3, 4, 5],
+        20: [29, 28, 27, 26, 25],
+        100: [101, 102, 103, 104, 105],
+    }
+
+
 def test_nearest_with_fewer_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 1.0]), (21, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = rows(hnsw.nearest(df), "query_id", "rank", "vec_id", "score")
