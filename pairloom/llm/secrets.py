@@ -8,6 +8,9 @@ anything else (digests, images, public keys) are not. A key may begin inside a r
 is glued to it, and go on over lines, real or escaped ones, with quotes or the prefixes of
 comments, diffs and mails between; its own lengths tell where it ends. A PEM key may stand in base64 as a whole.
 
+Letters that go on over lines are joined once (``_Chain``) and decoded once for each offset modulo 4, and the outer layout of a key is read
+there before anything is copied. So a text that repeats the head of a key a million times takes time in proportion to its length.
+
 A pass over the bytes finds the texts that can hold a match at all; only those meet the patterns.
 
 Defined results: null counts as an empty text and has no spans; every row gives one row, repeated
@@ -22,7 +25,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -55,6 +60,7 @@ BASE = (("assign", _ASSIGN, 2, 6), ("access", _ACCESS, 0, 20), ("hex", _HEX, 0,
 #: Least run of base64 or hex that is decoded.
 LEAST_RUN = 40
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_END = re.compile(r"-----END ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 _ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r|\r")
 #: What stands at the ends of lines beside the base64.
 _ASIDE = " \t\v\f>#*;|\"',\\"
@@ -65,6 +71,8 @@ _NEXT_PREFIX = re.compile(r"""[ \t>#*;|]*["']?""")
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{%d,}" % LEAST_RUN)
 _BASE64, _HEX_DIGITS = re.compile(r"[A-Za-z0-9+/_-]*"), re.compile(r"[0-9A-Fa-f]*")
+#: Runs that can hold the letters of an OpenSSH key's or a PEM key's beginning.
+_BASE64_SHORT, _HEX_SHORT = re.compile(r"[A-Za-z0-9+/_-]{14,}"), re.compile(r"[0-9A-Fa-f]{30,}")
 #: Where a DER sequence can begin: 0x30 and a length.
 _DER_BASE64, _DER_HEX = re.compile(r"(?=M[A-P])"), re.compile(r"(?=30(?:8[1-4]|[0-7]))")
 #: "openssh-key-v1" and "-----BEGIN"
@@ -151,30 +159,26 @@ def is_private_key_der(data: bytes) -> bool:
     return False
 
 
-def openssh_size(data: bytes) -> int | None:
-    """The bytes of an OpenSSH container that ``data`` begins with: its magic, then length-prefixed fields."""
+def openssh_size(data: bytes, start: int = 0) -> int | None:
+    """The bytes of an OpenSSH container at ``start`` of ``data``: its magic, then length-prefixed fields."""
     magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
+    if not data.startswith(magic, start):
         return None
-    at = len(magic)
+    at = start + len(magic)
 
-    def field() -> bytes | None:
+    def field() -> bool:
         nonlocal at
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return None
-        body = data[at + 4 : at + 4 + size]
-        at += 4 + size
-        return body
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at <= len(data)
 
     for _ in range(3):  # cipher, key derivation, its options
-        if field() is None:
+        if not field():
             return None
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= count <= 16:
         return None
-    return at if all(field() for _ in range(count + 1)) else None
+    return at - start if all(field() for _ in range(count + 1)) else None
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -207,19 +211,26 @@ def _key_kind(data: bytes | None) -> str | None:
 # Keys inside runs and over lines ---------------------------------------------------------
 
 
+def _line_prefix(text: str, at: int) -> str:
+    """What stands on the line before ``at``, if it looks like the prefix of a comment, diff or mail."""
+    low = max(0, at - 17)
+    prefix = text[max(text.rfind("\n", low, at) + 1, low) : at]
+    return prefix.strip() if _PREFIX.fullmatch(prefix) else ""
+
+
 def _pems(text: str) -> Iterator[tuple[int, int]]:
     """PEM private keys that decode to one."""
-    ends: dict[str, int] = {}
+    ends: dict[str, list[int]] = {}
+    for m in _END.finditer(text):
+        ends.setdefault(m[1], []).append(m.start())
     begins = list(_BEGIN.finditer(text))
     for i, m in enumerate(begins):
-        mark = f"-----END {m[1]}-----"
-        if ends.get(mark, 0) >= 0 and ends.get(mark, 0) < m.end():
-            ends[mark] = text.find(mark, m.end())
-        end = ends[mark]
-        if end < 0 or (i + 1 < len(begins) and begins[i + 1].start() < end):
+        own = ends.get(m[1], [])
+        nearest = bisect_left(own, m.end())
+        if nearest == len(own) or (i + 1 < len(begins) and begins[i + 1].start() < own[nearest]):
             continue
-        prefix = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 17) : m.start()]
-        prefix = prefix.strip() if _PREFIX.fullmatch(prefix) else ""
+        end, mark = own[nearest], f"-----END {m[1]}-----"
+        prefix = _line_prefix(text, m.start())
         lines = _ESCAPED.sub("\n", text[m.end() : end]).split("\n")
         body = "".join(line.strip(_ASIDE) for line in lines)
         bodies = [body]
@@ -229,28 +240,117 @@ def _pems(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), end + len(mark)
 
 
-def _gather(text: str, at: int, need: int | None, letters: re.Pattern) -> tuple[str, int]:
-    """``need`` letters (None: all) from ``at``, over lines, and where they end."""
-    prefix = text[max(text.rfind("\n", 0, at) + 1, at - 17) : at]
-    prefix = prefix.strip() if _PREFIX.fullmatch(prefix) else ""
-    pieces, have = [], 0
-    while True:
-        end = letters.match(text, at).end()
-        if need is not None and have + end - at >= need:
-            return "".join([*pieces, text[at : at + need - have]]), at + need - have
-        pieces.append(text[at:end])
-        have += end - at
-        line = _NEXT_LINE.match(text, end)
-        if not line:
-            return "".join(pieces), end
-        at = line.end()
-        while at < len(text) and text[at] in " \t":
-            at += 1
-        if prefix and text.startswith(prefix, at):
-            at += len(prefix)
-        at = _NEXT_PREFIX.match(text, at).end()
-        if letters.match(text, at).end() == at:
-            return "".join(pieces), end
+def _next_piece(text: str, end: int, prefix: str, letters: re.Pattern) -> int | None:
+    """Where letters that end at ``end`` go on in the next line, if they do."""
+    line = _NEXT_LINE.match(text, end)
+    if not line:
+        return None
+    at = line.end()
+    while at < len(text) and text[at] in " \t":
+        at += 1
+    if prefix and text.startswith(prefix, at):
+        at += len(prefix)
+    at = _NEXT_PREFIX.match(text, at).end()
+    return at if letters.match(text, at).end() > at else None
+
+
+class _Chain:
+    """Letters that go on over lines, joined. Pieces are ``starts`` in the text and ``offsets`` among the letters."""
+
+    def __init__(self, text: str, at: int, prefix: str, letters: re.Pattern):
+        self.starts, self.offsets, pieces, size = [], [], [], 0
+        while at is not None:
+            end = letters.match(text, at).end()
+            self.starts.append(at)
+            self.offsets.append(size)
+            pieces.append(text[at:end])
+            size += end - at
+            at = _next_piece(text, end, prefix, letters)
+        self.letters = "".join(pieces)
+        self.is_hex = letters is _HEX_DIGITS
+        self.decoded: dict[int, bytes] = {}
+        self.pems: dict[int, tuple[int, int]] = {}
+
+    def end_of(self, offset: int) -> int:
+        """Where in the text the first ``offset`` letters end."""
+        piece = bisect_left(self.offsets, offset) - 1
+        return self.starts[piece] + offset - self.offsets[piece]
+
+    def data(self, offset: int) -> tuple[bytes, int]:
+        """Decoded bytes, and the place among them of those that begin at the letter ``offset``. Decoded once for each remainder."""
+        unit = 2 if self.is_hex else 4
+        phase = offset % unit
+        if phase not in self.decoded:
+            decode = _decode_hex if self.is_hex else _decode_open
+            self.decoded[phase] = decode(self.letters[phase:])
+        return self.decoded[phase], offset // unit * (1 if self.is_hex else 3)
+
+    def last_pem(self, offset: int) -> tuple[int, int]:
+        """Start of the last PEM private key among the bytes with the remainder of ``offset``, and the end of the white space after it."""
+        phase = offset % 4
+        if phase not in self.pems:
+            plain = self.data(offset)[0].decode("latin-1")
+            last = (-1, -1)
+            for start, end in _pems(plain):
+                last = start, end
+            start, end = last
+            while 0 <= end < len(plain) and plain[end].isspace():
+                end += 1
+            self.pems[phase] = start, end
+        return self.pems[phase]
+
+
+class _Chains:
+    """The chains of one text, built when they are met; all places of a run, and all lines with one prefix, share one."""
+
+    def __init__(self, text: str, letters: re.Pattern):
+        self.text, self.letters = text, letters
+        self.known: dict[tuple[int, str], tuple[_Chain, int]] = {}
+
+    def at(self, run: int, at: int) -> tuple[_Chain, int]:
+        """The chain through ``at`` in the run that begins at ``run``, and the place of ``at`` among its letters."""
+        prefix = _line_prefix(self.text, at)
+        start = at if prefix else run
+        if (start, prefix) not in self.known:
+            chain = _Chain(self.text, start, prefix, self.letters)
+            for piece, offset in zip(chain.starts, chain.offsets):
+                self.known.setdefault((piece, prefix), (chain, offset))
+        chain, offset = self.known[start, prefix]
+        return chain, offset + at - start
+
+
+def _laid_out(data: bytes, at: int, size: int) -> bool:
+    """Whether the outer parts of the DER sequence of ``size`` bytes at ``at`` can be those of a private key. Nothing is copied."""
+    end = at + size
+    if end > len(data):
+        return False
+    at += 2 + (data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0)
+    tags = []
+    while at < end:
+        if at + 2 > end:
+            return False
+        tag, length = data[at], data[at + 1]
+        body = at + 2
+        if length & 0x80:
+            width = length & 0x7F
+            if not 1 <= width <= 4 or body + width > end:
+                return False
+            length = int.from_bytes(data[body : body + width], "big")
+            body += width
+        if body + length > end:
+            return False
+        if not tags and tag == _INT and data[body : body + length] not in (b"\x00", b"\x01"):
+            return False
+        tags.append(tag)
+        head = tags[:3]
+        numbers = len(tags) <= 9 and all(t == _INT for t in tags)
+        pkcs8 = head == [_INT, _SEQ, _OCTETS][: len(head)]
+        sealed = len(tags) <= 2 and tags == [_SEQ, _OCTETS][: len(tags)]
+        curve = head[:2] == [_INT, _OCTETS][: len(head)]
+        if not (numbers or pkcs8 or sealed or curve):
+            return False
+        at = body + length
+    return True
 
 
 def _der_size(head: bytes) -> int | None:
@@ -267,21 +367,23 @@ def _decode_hex(run: str) -> bytes:
     return bytes.fromhex(run[: len(run) // 2 * 2])
 
 
+def _decode_whole_hex(run: str) -> bytes | None:
+    return None if len(run) % 2 else bytes.fromhex(run)
+
+
 def _decode_open(run: str) -> bytes:
     """Base64 that may be cut anywhere."""
     return decode_base64(run[:-1] if len(run) % 4 == 1 else run) or b""
 
 
-def _exact(text: str, at: int, size: int, letters: re.Pattern) -> tuple[bytes, int] | None:
-    """The ``size`` bytes that are encoded from ``at``, and their end, if an encoding ends there."""
-    is_hex = letters is _HEX_DIGITS
-    need = 2 * size if is_hex else -(-4 * size // 3)
-    if need > len(text) - at:
-        return None
-    run, end = _gather(text, at, need, letters)
+def _exact(text: str, chain: _Chain, offset: int, size: int) -> tuple[bytes, int] | None:
+    """The ``size`` bytes that are encoded from the letter ``offset``, and their end in the text, if an encoding ends there."""
+    need = 2 * size if chain.is_hex else -(-4 * size // 3)
+    run = chain.letters[offset : offset + need]
     if len(run) < need:
         return None
-    if is_hex:
+    end = chain.end_of(offset + need)
+    if chain.is_hex:
         data = _decode_hex(run)
     else:
         data = decode_base64(run) or b""
@@ -289,7 +391,7 @@ def _exact(text: str, at: int, size: int, letters: re.Pattern) -> tuple[bytes, i
         if base64.b64encode(data).decode().rstrip("=") != plain:
             return None
     padded = end
-    while not is_hex and padded < min(end + 2, len(text)) and text[padded] == "=":
+    while not chain.is_hex and padded < min(end + 2, len(text)) and text[padded] == "=":
         padded += 1
     if padded == end and text[end : end + 1].isascii() and text[end : end + 1].isalnum():
         return None
@@ -297,39 +399,71 @@ def _exact(text: str, at: int, size: int, letters: re.Pattern) -> tuple[bytes, i
 
 
 def _keys_within(text: str) -> Iterator[Span]:
-    """Keys that begin anywhere in a run and may go on over lines."""
-    for letters, runs, der, ssh, head, decode in (
-        (_BASE64, _BASE64_RUN, _DER_BASE64, _SSH_BASE64, 12, _decode_open),
-        (_HEX_DIGITS, _HEX_RUN, _DER_HEX, _SSH_HEX, 14, _decode_hex),
+    """Keys that begin anywhere in a run and may go on over lines: by kind of letters, each kind's by place."""
+    base64_chains = _Chains(text, _BASE64)
+    for chains, runs, short, der, ssh, head, decode in (
+        (base64_chains, _BASE64_RUN, _BASE64_SHORT, _DER_BASE64, _SSH_BASE64, 12, _decode_open),
+        (_Chains(text, _HEX_DIGITS), _HEX_RUN, _HEX_SHORT, _DER_HEX, _SSH_HEX, 14, _decode_hex),
     ):
         done = 0
         for run in runs.finditer(text):
             for m in der.finditer(text, run.start(), run.end()):
                 at = m.start()
                 size = _der_size(decode(text[at : min(at + head, run.end())].rstrip("="))) if at >= done else None
-                got = _exact(text, at, size, letters) if size else None
+                if not size:
+                    continue
+                chain, offset = chains.at(run.start(), at)
+                got = _exact(text, chain, offset, size) if _laid_out(*chain.data(offset), size) else None
                 if got and is_private_key_der(got[0]):
                     done = got[1]
                     yield Span(at, "der", done)
-        for m in ssh.finditer(text):
-            size = openssh_size(decode(_gather(text, m.start(), None, letters)[0]))
-            got = _exact(text, m.start(), size, letters) if size else None
-            if got:
-                yield Span(m.start(), "ssh", got[1])
+        for run in short.finditer(text):
+            for m in ssh.finditer(text, run.start(), run.end()):
+                chain, offset = chains.at(run.start(), m.start())
+                size = openssh_size(*chain.data(offset))
+                got = _exact(text, chain, offset, size) if size else None
+                if got:
+                    yield Span(m.start(), "ssh", got[1])
     done = 0
-    for m in _PEM_BASE64.finditer(text):
-        if m.start() < done:
-            continue
-        plain = _decode_open(_gather(text, m.start(), None, _BASE64)[0]).decode("latin-1")
-        ends = [end for _, end in _pems(plain)]
-        if ends:
-            end = ends[-1]
-            while end < len(plain) and plain[end].isspace():
-                end += 1
-            _, done = _gather(text, m.start(), -(-4 * end // 3), _BASE64)
-            while text[done : done + 1] == "=":
-                done += 1
-            yield Span(m.start(), "pem", done)
+    for run in _BASE64_SHORT.finditer(text):
+        for m in _PEM_BASE64.finditer(text, run.start(), run.end()):
+            if m.start() < done:
+                continue
+            chain, offset = base64_chains.at(run.start(), m.start())
+            start, end = chain.last_pem(offset)
+            begin = chain.data(offset)[1]
+            if start >= begin:
+                done = chain.end_of(min(offset - (-4 * (end - begin) // 3), len(chain.letters)))
+                while text[done : done + 1] == "=":
+                    done += 1
+                yield Span(m.start(), "pem", done)
+
+
+class _Known:
+    """Spans found so far. They come in series, each sorted by start."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.starts: list[int] = []
+        self.farthest: list[int] = []
+        self.new: list[tuple[int, int]] = []
+        self.newest = 0
+
+    def add(self, start: int, end: int) -> None:
+        self.new.append((start, end))
+        self.newest = max(self.newest, end)
+
+    def settle(self) -> None:
+        """A series is over."""
+        self.spans = sorted(self.spans + self.new)
+        self.starts = [a for a, _ in self.spans]
+        self.farthest = list(accumulate((b for _, b in self.spans), max))
+        self.new, self.newest = [], 0
+
+    def hold(self, start: int, end: int) -> bool:
+        """Whether one span holds all of this."""
+        before = bisect_right(self.starts, start)
+        return self.newest >= end or (before > 0 and self.farthest[before - 1] >= end)
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -341,22 +475,29 @@ def find_spans(text: str | None) -> list[Span]:
         for m in pattern.finditer(text)
         if len(m[group]) >= least
     ]
-    inside = list(_pems(text))
-    found += [Span(start, "pem", end) for start, end in inside]
+    known = _Known()
+    for start, end in _pems(text):
+        found.append(Span(start, "pem", end))
+        known.add(start, end)
+    known.settle()
     for m in _TOKEN.finditer(text):
         if is_signed_token(*m.groups()):
             found.append(Span(m.start(), "jwt", m.end()))
-    runs = [(m, decode_base64(m[0])) for m in _BASE64_RUN.finditer(text)]
-    runs += [(m, bytes.fromhex(m[0])) for m in _HEX_RUN.finditer(text) if len(m[0]) % 2 == 0]
-    for m, data in runs:
-        kind = _key_kind(data)
-        if kind and not any(a <= m.start() and m.end() <= b for a, b in inside):
-            found.append(Span(m.start(), kind, m.end()))
-            inside.append((m.start(), m.end()))
+    for pattern, decode in ((_BASE64_RUN, decode_base64), (_HEX_RUN, _decode_whole_hex)):
+        for m in pattern.finditer(text):
+            kind = _key_kind(decode(m[0]))
+            if kind and not known.hold(m.start(), m.end()):
+                found.append(Span(m.start(), kind, m.end()))
+                known.add(m.start(), m.end())
+        known.settle()
+    last = 0
     for span in _keys_within(text):
-        if not any(a <= span.start and span.end <= b for a, b in inside):
+        if span.start < last:
+            known.settle()
+        last = span.start
+        if not known.hold(span.start, span.end):
             found.append(span)
-            inside.append((span.start, span.end))
+            known.add(span.start, span.end)
     return sorted(set(found), key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +231,32 @@ def test_scan_like_patterns_on_whole_texts(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[1] == i for w in want) for i in range(3))
 
 
+@pytest.mark.parametrize("head", ["MIIEpAIBAAKCAQEA", "LS0tLS1CRUdJTi", "b3BlbnNzaC1rZXktdjEA", "> MIMQAAACAQAw\n"])
+def test_repeated_heads_take_linear_time(head):
+    text = head * (4_000_000 // len(head))
+    key = base64.b64encode(_rsa_like()).decode()
+    started = time.perf_counter()
+    spans = secrets.find_spans(text + "\n\n" + key)
+    # a minute for 4 MB; gathering the rest of the run for each head took 20 s for 256 KB
+    assert time.perf_counter() - started < 60
+    assert [(s.kind, s.start) for s in spans] == [("der", len(text) + 2)]
+
+
+def _rsa_like():
+    numbers = b"".join(b"\x02\x40" + bytes([1 + i]) * 64 for i in range(8))
+    body = b"\x02\x01\x00" + numbers
+    return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+
+
+def test_scan_of_awkward_rows(awkward):
+    got = secrets.scan_secrets(awkward).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in awkward.collect())
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert {(r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_confirmed) for r in got} == {
+        (0, 0, 0, nothing, "", 0)
+    }
+
+
 def test_redaction_keeps_rows_and_columns(spark, awkward):
     out = secrets.redact_secrets(awkward)
     assert out.columns == awkward.columns and out.count() == len(AWKWARD)
