@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.workspace import cut_lineage
@@ -97,23 +98,25 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
 
     Labels are drawn from those whose documents are there and have text, and the sizes of the domains count the rows read.
     """
-    by_hash = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = (
         labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long").alias("doc_id"), "domain")
         .distinct()
     )
     readable = _keyed(docs).filter("text <> ''")
-    # ids only; the sample is small
-    chosen = cut_lineage(
+    # ids only, read once for all domains; the sample is small
+    there = cut_lineage(
         readable.select("doc_id")
         .groupBy("doc_id")
         .agg(F.count(F.lit(1)).alias("rows"))
         .join(usable, "doc_id")
-        .withColumn("_rank", F.row_number().over(by_hash))
-        .filter(F.col("_rank") <= sample)
         .select("doc_id", "domain", "rows")
     )
+    # each task keeps its own smallest hashes, so no task sees a whole domain
+    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = cut_lineage(
+        reduce(DataFrame.union, (there.filter(F.col("domain") == d).orderBy(*by_hash).limit(sample) for d in domains))
+    )
     sizes = {r.domain: r["rows"] for r in chosen.groupBy("domain").agg(F.sum("rows").alias("rows")).collect()}
     if len(sizes) < 2:
         return None

@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and a logistic regression where no rule fits.
 
 Features are hashed character n-grams of host and path, each kind apart; the regression is trained
-by full-batch gradient descent on a small labelled table of URLs, kept in the checkpoint folder. All
+by full-batch gradient descent, each feature scaled by its curvature, on a small labelled table of URLs (``url_labels`` unless another is given), kept in the
+checkpoint folder. All
 of it is column functions and aggregates; what the driver sees is one number for each of
 ``BUCKETS`` features.
 
@@ -14,11 +15,13 @@ Empty in, empty out.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.url_labels import url_labels
 from pairloom.workspace import cut_lineage
 
 #: Hashed features; lengths of n-grams.
@@ -28,9 +31,11 @@ GRAMS = (3, 4, 5)
 #: Labelled URLs of each verdict that are trained on, those with the smallest hashes.
 SAMPLE_URLS = 2000
 
-#: Gradient steps, their length, and the ridge that keeps weights small.
+#: Gradient steps and their length beside the curvature of each feature, what is added to that, and the ridge that keeps
+#: weights small.
 STEPS = 20
-RATE = 20.0
+RATE = 0.1
+DAMPING = 1e-4
 RIDGE = 1e-4
 
 
@@ -93,10 +98,16 @@ def grams(buckets: int = BUCKETS) -> Column:
     for mark, column in (("h", "host"), ("p", "path")):
         framed = F.concat(F.lit("^"), F.col(column), F.lit("$"))
         for n in GRAMS:
-            starts = F.sequence(F.lit(1), F.length(framed) - (n - 1))
             hashed = F.transform(
-                starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), framed.substr(i, F.lit(n))), F.lit(buckets)).cast("int")
-            )
+                # cut into characters once: a place within a string is found by walking from its start
+                F.array(F.split(framed, "")),
+                lambda chars: F.transform(
+                    F.sequence(F.lit(0), F.size(chars) - n),
+                    lambda i: F.pmod(
+                        F.xxhash64(F.lit(mark), F.concat(*(F.get(chars, i + k) for k in range(n)))), F.lit(buckets)
+                    ).cast("int"),
+                ),
+            )[0]
             some = (F.length(framed) >= n) & (F.length(column) > 0)
             parts.append(F.when(some, hashed).otherwise(F.array().cast("array<int>")))
     return F.concat(*parts)
@@ -127,13 +138,15 @@ def train(
     steps: int = STEPS,
 ) -> Model | None:
     """A model of ``label`` (block or allow); None unless both occur."""
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("url"), "url")
-    rows = (
+    usable = (
         labelled.select(F.col(url).cast("string").alias("url"), (F.col(label) == "block").cast("double").alias("label"))
         .filter("url is not null and label is not null")
         .distinct()
-        .withColumn("_rank", F.row_number().over(by_hash))
-        .filter(F.col("_rank") <= sample)
+    )
+    # each task keeps its own smallest hashes, so no task sees a whole verdict
+    rows = reduce(
+        DataFrame.union,
+        (usable.filter(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(sample) for v in (0.0, 1.0)),
     )
     rows = with_parts(rows.select("url", "label")).select("label", grams(buckets).alias("grams"))
     rows = cut_lineage(rows)
@@ -142,35 +155,29 @@ def train(
         return None
     intercept = math.log(size.blocked / (size.n - size.blocked))
     model = Model([0.0] * buckets, intercept)
+    bends = rows.select(F.explode("grams").alias("g"), (_scale("grams") * _scale("grams")).alias("part"))
+    curvature = [DAMPING] * buckets
+    for r in bends.groupBy("g").agg(F.sum("part").alias("part")).collect():  # a row for each feature
+        curvature[r.g] += 0.25 * r.part / size.n
     for _ in range(steps):
         off = rows.select(
             "grams", (1 / (1 + F.exp(-margin(model))) - F.col("label")).alias("off"), _scale("grams").alias("scale")
         )
-        steps_by_gram = (
-            off.select(F.explode_outer("grams").alias("g"), (F.col("off") * F.col("scale")).alias("part"))
-            .groupBy("g")
-            .agg(F.sum("part").alias("part"))
-            .collect()  # a row for each feature
-        )
-        weights = [w * (1 - RATE * RIDGE) for w in model.weights]
-        for r in steps_by_gram:
-            if r.g is not None:
-                weights[r.g] -= RATE * r.part / size.n
-        model = Model(weights, intercept)
+        gradient = [RIDGE * w for w in model.weights]
+        parts = off.select(F.explode("grams").alias("g"), (F.col("off") * F.col("scale")).alias("part"))
+        for r in parts.groupBy("g").agg(F.sum("part").alias("part")).collect():  # a row for each feature
+            gradient[r.g] += r.part / size.n
+        model = Model([w - RATE * g / c for w, g, c in zip(model.weights, gradient, curvature)], intercept)
     return model
 
 
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, p_block`` of every row. Trains on ``labelled`` (``url,
-    verdict``), by default on the pages that rules decide."""
+    verdict``), by default the table of ``url_labels``."""
     name, verdict = rule_columns(rules)
     parts = with_parts(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url")))
     ruled = parts.withColumn("rule", name).withColumn("_ruled", verdict)
-    if labelled is None:
-        labelled = ruled.filter("_ruled is not null").select("url", F.col("_ruled").alias("verdict"))
-        model = train(labelled)
-    else:
-        model = train(labelled)
+    model = train(url_labels(pages.sparkSession) if labelled is None else labelled)
     if model is None:
         chance = F.lit(0.0)
     else:

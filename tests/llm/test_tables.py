@@ -10,7 +10,7 @@ from llm_data import AWKWARD, awkward, empty, prose  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import components, hnsw, mixing, url_filter
+from pairloom.llm import components, hnsw, mixing, url_filter, url_labels
 
 # Components ----------------------------------------------------------------------------
 
@@ -261,23 +261,61 @@ def test_gradient_matches_numpy(spark):
         r.url: r.g for r in url_filter.with_parts(df.select("url")).select("url", url_filter.grams().alias("g")).collect()
     }
     x = np.zeros((12, url_filter.BUCKETS))
+    bend = np.full(url_filter.BUCKETS, url_filter.DAMPING)
     for i, (u, _) in enumerate(data):
         for g in grams[u]:
             x[i, g] += 1 / math.sqrt(len(grams[u]))
+            bend[g] += 0.25 / len(grams[u]) / 12
     y = np.array([v == "block" for _, v in data], float)
     w = np.zeros(url_filter.BUCKETS)
     for _ in range(3):
         p = 1 / (1 + np.exp(-x @ w))
-        w = w * (1 - url_filter.RATE * url_filter.RIDGE) - url_filter.RATE * x.T @ (p - y) / 12
+        w = w - url_filter.RATE * (x.T @ (p - y) / 12 + url_filter.RIDGE * w) / bend
     assert np.allclose(w, model.weights, atol=1e-6)
 
 
 def test_urls_without_training_rows(spark):
     df = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    none = spark.createDataFrame([], "url string, verdict string")
+    assert url_filter.judge(df, labelled=none).first().verdict == "allow"
     assert url_filter.judge(df).first().verdict == "allow"
     assert url_filter.judge(df.limit(0)).collect() == []
 
 
+def test_held_out_accuracy_on_labelled_urls(spark):
+    table = url_labels.url_labels(spark)
+    held = F.pmod(F.xxhash64("host_name"), F.lit(4)) == 0  # hosts apart, not only URLs
+    test = table.filter(held).withColumn("page_id", F.monotonically_increasing_id()).cache()
+    got = url_filter.judge(test.select("page_id", "url"), (), table.filter(~held))
+    counts = {
+        (r.truth, r.verdict): r["count"]
+        for r in got.join(test.select("page_id", F.col("verdict").alias("truth")), "page_id").groupBy("truth", "verdict").count().collect()
+    }
+    blocked = sum(n for (t, _), n in counts.items() if t == "block")
+    allowed = sum(n for (t, _), n in counts.items() if t == "allow")
+    assert counts["block", "block"] >= 0.9 * blocked
+    assert counts["allow", "allow"] >= 0.95 * allowed
+
+
+def test_urls_of_any_length_and_clashing_names(spark):
+    long = "http://casino-" + "x" * 200_000 + ".com/" + "y" * 200_000
+    data = [(1, long, 1, 1), (1, long, 1, 1), (2, None, 1, 1), (None, "", 1, 1)]
+    df = spark.createDataFrame(data, "page_id long, url string, grams int, label int").withColumn("p_block", F.lit("own"))
+    got = url_filter.judge(df).collect()
+    assert sorted(len(r.path) for r in got) == [0, 0, 200_001, 200_001]
+    assert len({r.verdict for r in got if r.path}) == 1
+
+
+def test_samples_are_the_smallest_hashes_and_no_window_spans_a_verdict(spark):
+    df = spark.range(50).selectExpr("concat('http://h', id, '.com/') as url", "if(id % 2 = 0, 'block', 'allow') as verdict")
+    want = {}
+    for r in df.select("url", "verdict", F.xxhash64("url").alias("h")).collect():
+        want.setdefault(r.verdict, []).append((r.h, r.url))
+    few = spark.createDataFrame([(u, v) for v, x in want.items() for _, u in sorted(x)[:7]], "url string, verdict string")
+    part, whole = url_filter.train(df, sample=7), url_filter.train(few)
+    assert part.intercept == whole.intercept and np.allclose(part.weights, whole.weights)
+
+
 # Mixing --------------------------------------------------------------------------------
 
 
@@ -326,6 +364,36 @@ def test_domains_are_told_apart(spark):
     assert max(r.rate for r in got if r.doc_id % 3) < 0.5
 
 
+def test_posteriors_equal_naive_bayes(spark):
+    rng = random.Random(4)
+    names = {"good": "calm river stone".split(), "poor": "buy click now".split()}
+    data = []
+    for i in range(120):
+        domain = ("good", "poor")[i % 2]
+        own = [rng.choice(names[domain] + ["and", "the"]) for _ in range(rng.randrange(1, 9))]
+        data.append((i, " ".join(own), domain))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, d) for i, _, d in data[:80]], "doc_id long, domain string")
+    domains = ["good", "poor"]
+    model = mixing.learn(docs, labels, domains)
+    got = {r.doc_id: [r.p_good, r.p_poor] for r in mixing.posteriors(docs, model, domains).collect()}
+    # brute force: presence of each known word or form, rates smoothed by a half
+    known = [r.word for r in model.words.collect()]
+    present = lambda t: set(t.split(" ")) | {" repeated=0"}
+    seen = {d: [present(t) for _, t, x in data[:80] if x == d] for d in domains}
+    for i, text, _ in data:
+        logs = []
+        for d in domains:
+            total = math.log((len(seen[d]) + 0.5) / 81)
+            for w in known:
+                rate = (sum(w in s for s in seen[d]) + 0.5) / (len(seen[d]) + 1)
+                total += math.log(rate if w in present(text) else 1 - rate)
+            logs.append(total)
+        top = max(logs)
+        want = [math.exp(x - top) / sum(math.exp(y - top) for y in logs) for x in logs]
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
 def test_labels_without_documents_play_no_part(spark):
     domains = ["good", "poor"]
     docs = [(i, prose(i, 30) + (" nice" if i % 2 else " awful")) for i in range(120)]
