@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Vectors go to shards of bounded size: those of one length (number of components) and of norms between two powers of
-two, by a hash of id and vector. Each shard builds its own graph: every
+Vectors go to shards of bounded size: those of one length (number of components) and of norms within a factor of two,
+by a hash of id and vector. Each shard builds its own graph: every
 vector is in the bottom layer, and a sixteenth of each layer in the next. A graph is stored as flat
 arrays: for each layer its members and a table of neighbours. A search walks greedily down the
 layers and then keeps the ``EF`` nearest of the bottom layer; the shards' results are merged per
@@ -211,7 +211,7 @@ def search(
 
 def clean_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``vec_id, vector, d, band`` of the rows that take part, repeated ones once: ``d`` is the number of components, ``band``
-    the whole part of the norm's binary logarithm."""
+    the norm's binary logarithm, rounded, so that vectors of norm 1 share one."""
     values = F.col(vector).cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     out = (
@@ -229,7 +229,7 @@ def clean_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
             "vec_id",
             "vector",
             F.size("vector").alias("d"),
-            F.floor(F.log2("_most") + F.log2(squares) / 2).cast("int").alias("band"),
+            F.round(F.log2("_most") + F.log2(squares) / 2).cast("int").alias("band"),
         )
         .distinct()
     )
