@@ -1,6 +1,19 @@
 """License templates. The wording of public licenses and of common notices."""
 
 TEMPLATES: dict[str, list[str]] = {
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        """This program is free software; you can redistribute it and/or modify it under the terms of
+        the GNU Affero General Public License as published by the Free Software Foundation; either
+        version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU Affero General Public License for more details.
+        You should have received a copy of the GNU Affero General Public License along with this
+        program; if not, see https://www.gnu.org/licenses/.""",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
@@ -64,6 +77,21 @@ TEMPLATES: dict[str, list[str]] = {
         """This work is licensed under a Creative Commons Attribution-NonCommercial 4.0
         International License.""",
     ],
+    "CC-BY-NC-ND-4.0": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        """This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International
+        License.""",
+    ],
+    "CC-BY-NC-SA-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        """This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International
+        License.""",
+    ],
+    "CC-BY-ND-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        """This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International
+        License.""",
+    ],
     "CC-BY-SA-4.0": [
         "Licensed under CC BY-SA 4.0.",
         """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International
@@ -75,6 +103,26 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
+        """This program is free software; you can redistribute it and/or modify it under the terms of
+        the GNU General Public License as published by the Free Software Foundation; either
+        version 2 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details.
+        You should have received a copy of the GNU General Public License along with this
+        program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth
+        Floor, Boston, MA 02110-1301, USA.""",
+        """This program is free software; you can redistribute it and/or modify it under the terms of
+        the GNU General Public License as published by the Free Software Foundation; either
+        version 2 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details.
+        You should have received a copy of the GNU General Public License along with this
+        program; if not, see https://www.gnu.org/licenses/.""",
+        """This program is free software; you can redistribute it and/or modify it under the terms of
+        the GNU General Public License version 2 as published by the Free Software Foundation.""",
+        "SPDX-License-Identifier: GPL-2.0-only",
         "SPDX-License-Identifier: GPL-2.0-or-later",
     ],
     "GPL-3.0": [
@@ -88,6 +136,7 @@ TEMPLATES: dict[str, list[str]] = {
         You should have received a copy of the GNU General Public License along with this program.
         If not, see https://www.gnu.org/licenses/.""",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "ISC": [
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or
@@ -101,6 +150,53 @@ TEMPLATES: dict[str, list[str]] = {
         OR PERFORMANCE OF THIS SOFTWARE.""",
         "Released under the ISC License.",
     ],
+    "LGPL-2.0": [
+        """This library is free software; you can redistribute it and/or modify it under the terms of
+        the GNU Library General Public License as published by the Free Software Foundation; either
+        version 2 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU Library General Public License for more details.
+        You should have received a copy of the GNU Library General Public License along with this
+        library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth
+        Floor, Boston, MA 02110-1301, USA.""",
+        "SPDX-License-Identifier: LGPL-2.0-or-later",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        """This library is free software; you can redistribute it and/or modify it under the terms of
+        the GNU Lesser General Public License as published by the Free Software Foundation; either
+        version 2.1 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU Lesser General Public License for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this
+        library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth
+        Floor, Boston, MA 02110-1301, USA.""",
+        """This library is free software; you can redistribute it and/or modify it under the terms of
+        the GNU Lesser General Public License as published by the Free Software Foundation; either
+        version 2.1 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU Lesser General Public License for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this
+        library; if not, see https://www.gnu.org/licenses/.""",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        """This program is free software; you can redistribute it and/or modify it under the terms of
+        the GNU Lesser General Public License as published by the Free Software Foundation; either
+        version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU Lesser General Public License for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this
+        program; if not, see https://www.gnu.org/licenses/.""",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ],
     "MIT": [
         "Released under the MIT License.",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this
@@ -132,3 +228,26 @@ TEMPLATES: dict[str, list[str]] = {
         any means.""",
     ],
 }
+
+#: What tells licenses of like wording apart, in normalised words: of every group in the first list a passage holds one
+#: member at least, and none of the second list. Fixed values.
+MARKS: dict[str, tuple[list[list[str]], list[str]]] = {
+    "AGPL-3.0": ([["affero", "agpl"], ["version 3", "agpl 3 0"]], []),
+    "Apache-2.0": ([["apache"], ["2 0"]], []),
+    "BSD-2-Clause": ([], ["neither the name"]),
+    "CC-BY-4.0": ([["4 0"]], ["nc", "nd", "sa", "noncommercial", "noderivatives", "sharealike"]),
+    "CC-BY-NC-4.0": ([["4 0"], ["nc", "noncommercial"]], ["nd", "sa", "noderivatives", "sharealike"]),
+    "CC-BY-NC-ND-4.0": ([["4 0"], ["nc", "noncommercial"], ["nd", "noderivatives"]], []),
+    "CC-BY-NC-SA-4.0": ([["4 0"], ["nc", "noncommercial"], ["sa", "sharealike"]], []),
+    "CC-BY-ND-4.0": ([["4 0"], ["nd", "noderivatives"]], ["nc", "noncommercial"]),
+    "CC-BY-SA-4.0": ([["4 0"], ["sa", "sharealike"]], ["nc", "noncommercial"]),
+    "GPL-2.0": (
+        [["version 2", "gpl 2 0"]],
+        ["affero", "agpl", "lesser", "library general", "lgpl", "version 2 1"],
+    ),
+    "GPL-3.0": ([["version 3", "gpl 3 0"]], ["affero", "agpl", "lesser", "library general", "lgpl"]),
+    "LGPL-2.0": ([["library general", "lgpl"], ["version 2", "lgpl 2 0"]], ["version 2 1"]),
+    "LGPL-2.1": ([["lesser", "lgpl"], ["version 2 1", "lgpl 2 1"]], []),
+    "LGPL-3.0": ([["lesser", "lgpl"], ["version 3", "lgpl 3 0"]], []),
+    "MPL-2.0": ([["mozilla", "mpl"], ["2 0"]], []),
+}

@@ -6,7 +6,8 @@ a multiset of word pairs (bigrams). One that is enough like a template has so ma
 template knows that it lies in a dense stretch of those; in each stretch all windows are compared
 that the size of a template admits. Of windows that overlap those are reported whose common pairs,
 weighed by likeness, have the greatest sum, so that licenses next to each other, inside a line
-or around foreign words are told apart.
+or around foreign words are told apart. Where licenses share most of their wording, likeness alone does not name them: a
+window counts for one of them only if it holds the words of its name and version and no others' (``MARKS``).
 
 Defined results: null counts as an empty text; every row gives one row, repeated ones too; spans go from the first letter of a passage to its last; a text
 without a passage that reaches ``LEAST`` has no license, an empty list and likeness 0; equal coefficients go to
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.bytesets import Texts, chunks, mix, word_hashes, word_spans
-from pairloom.llm.license_texts import TEMPLATES
+from pairloom.llm.license_texts import MARKS, TEMPLATES
 
 #: Least Dice coefficient of a match.
 LEAST = 0.8
@@ -59,11 +60,16 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / total if total else 0.0
 
 
+#: Groups of phrases of which one must be there, and phrases that must not.
+Marks = tuple[list[list[str]], list[str]]
+
+
 class Templates:
-    """Templates by the number of their bigrams, and the hashes of all their bigrams."""
+    """Templates by the number of their bigrams, the hashes of all their bigrams, and the words that tell names apart."""
 
-    def __init__(self, texts: dict[str, list[str]] = TEMPLATES, least: float = LEAST):
+    def __init__(self, texts: dict[str, list[str]] = TEMPLATES, least: float = LEAST, marks: dict[str, Marks] = MARKS):
         self.least = least
+        self.marks = marks
         forms = [(name, bigrams(words(t))) for name in sorted(texts) for t in texts[name]]
         self.forms = sorted(((b.total(), n, b) for n, b in forms if b), key=lambda x: (x[0], x[1]))
         self.sizes = [x[0] for x in self.forms]
@@ -133,8 +139,40 @@ def _stretches(ids: np.ndarray, templates: Templates) -> Iterator[tuple[int, int
     yield from zip(edges[::2].tolist(), edges[1::2].tolist())
 
 
-def _windows(ids: np.ndarray, templates: Templates) -> Iterator[tuple[int, int, float, float, str]]:
-    """Of one stretch, for each form and start the window that weighs most: start, end (of pairs), weight, likeness, name."""
+class _Phrases:
+    """Where phrases stand in the words of one stretch."""
+
+    def __init__(self, own: list[str]):
+        self.own = own
+        self.before: dict[str, np.ndarray] = {}
+
+    def held(self, phrase: str, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether windows of so many pairs, which is one word more, hold the phrase."""
+        of = phrase.split()
+        if phrase not in self.before:
+            first = [i for i, w in enumerate(self.own) if w == of[0] and self.own[i : i + len(of)] == of]
+            marks = np.zeros(len(self.own) + 1, np.int64)
+            marks[np.array(first, np.int64) + 1] = 1
+            self.before[phrase] = np.cumsum(marks)
+        before = self.before[phrase]
+        last = np.minimum(np.maximum(starts, starts + sizes + 2 - len(of)), len(self.own))
+        return before[last] > before[starts]
+
+
+def _named(phrases: _Phrases, marks: Marks, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    needed, barred = marks
+    out = np.ones(np.broadcast_shapes(starts.shape, sizes.shape), bool)
+    for group in needed:
+        out &= np.logical_or.reduce([phrases.held(p, starts, sizes) for p in group])
+    for p in barred:
+        out &= ~phrases.held(p, starts, sizes)
+    return out
+
+
+def _windows(ids: np.ndarray, own: list[str], templates: Templates) -> Iterator[tuple[int, int, float, float, str]]:
+    """Of one stretch of pairs and its words, for each form and start the window that weighs most: start, end (of pairs),
+    weight, likeness, name."""
+    phrases = _Phrases(own)
     n, least, dense = len(ids), templates.least, templates.dense
     order = np.argsort(ids, kind="stable")
     rank = np.arange(n) - np.searchsorted(ids[order], ids[order])
@@ -162,6 +200,8 @@ def _windows(ids: np.ndarray, templates: Templates) -> Iterator[tuple[int, int,
             common = np.cumsum(back[some + sizes - 1] < some, axis=1)
             likeness = 2 * common / (sizes + size)
             weight = np.where(likeness >= least, common * likeness, 0.0)
+            if name in templates.marks and weight.any():
+                weight = np.where(_named(phrases, templates.marks[name], some, sizes), weight, 0.0)
             best = np.argmax(weight, axis=1)
             row = np.arange(len(some))
             for i in np.flatnonzero(weight[row, best] > 0).tolist():
@@ -197,7 +237,7 @@ def find_matches(text: str, templates: Templates) -> list[Match]:
     ids = np.array([get(p, none) for p in zip(own, own[1:])], np.int64)
     out = []
     for lo, hi in _stretches(ids, templates):
-        for start, end, _, value, name in _apart(list(_windows(ids[lo:hi], templates))):
+        for start, end, _, value, name in _apart(list(_windows(ids[lo:hi], own[lo : hi + 1], templates))):
             out.append(Match(found[lo + start].start(), found[lo + end].end(), name, value))
     return out
 

@@ -476,6 +476,49 @@ def test_licenses_next_to_each_other_and_inside_lines(spark):
         assert r.n_matches == len(cases[r.doc_id][1]) and r.licenses == sorted(set(cases[r.doc_id][1]))
 
 
+def gnu_header(what: str, kind: str, version: str, end: str) -> str:
+    return (
+        f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General "
+        f"Public License as published by the Free Software Foundation; either version {version} of the License, or (at your "
+        f"option) any later version.\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY "
+        f"WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        f"{kind}General Public License for more details.\n\nYou should have received a copy of the GNU {kind}General Public "
+        f"License along with this {what}{end}"
+    )
+
+
+def test_licenses_of_like_wording_get_their_own_names():
+    templates = licenses.Templates()
+    ends = [
+        ". If not, see <https://www.gnu.org/licenses/>.",
+        "; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+    ]
+    kinds = [("Affero ", "3", "AGPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0")]
+    kinds += [("Library ", "2", "LGPL-2.0"), ("", "2", "GPL-2.0"), ("", "3", "GPL-3.0")]
+    for what in ("program", "library", "file"):
+        for kind, version, name in kinds:
+            for end in ends:
+                for prefix in ("", " * ", "# "):
+                    text = "\n".join(prefix + x for x in gnu_header(what, kind, version, end).split("\n"))
+                    assert [m.license for m in licenses.find_matches(text, templates)] == [name]
+    both = gnu_header("program", "", "2", ends[0]) + "\n" + gnu_header("library", "Lesser ", "2.1", ends[1])
+    assert [m.license for m in licenses.find_matches(both, templates)] == ["GPL-2.0", "LGPL-2.1"]
+    work = "This work is licensed under a Creative Commons Attribution{} {} International License."
+    cases = [("", "4.0", ["CC-BY-4.0"]), ("-NoDerivatives", "4.0", ["CC-BY-ND-4.0"]), ("", "3.0", [])]
+    cases += [("-NonCommercial-ShareAlike", "4.0", ["CC-BY-NC-SA-4.0"]), ("-ShareAlike", "3.0", [])]
+    for kind, version, names in cases:
+        assert [m.license for m in licenses.find_matches(work.format(kind, version), templates)] == names
+    assert licenses.find_matches("Released under the Mozilla Public License, version 1.1.", templates) == []
+
+
+def test_every_template_is_found_under_its_name():
+    templates = licenses.Templates()
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            got = licenses.find_matches(f"words before it. {text} and words behind", templates)
+            assert [m.license for m in got] == [name], text
+
+
 # Sharding ------------------------------------------------------------------------------
 
 
