@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from llm_data import AWKWARD, awkward, empty, prose  # noqa: F401
+from llm_data import AWKWARD, SCHEMA, awkward, empty, prose  # noqa: F401
 from pairloom.llm import bytesets, fingerprints, jaccard_join, language_id, licenses, pieces, secrets, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -579,6 +580,30 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     new = spark.read.parquet(out)
     assert sorted(r.doc_id for r in new.collect()) == list(range(200, 600))
     assert {r.shard for r in new.select("shard").distinct().collect()} == {2, 3}
+    # the layout names a folder for each shard, and its rows are all rows
+    whole = sharding.read_shards(spark, out, "doc_id long, text string").collect()
+    assert sorted((r.doc_id, r.text) for r in whole) == [(i, t) for i, t, _ in docs]
+    assert {(r.doc_id, r.shard) for r in whole if r.shard < 2} == {(i, x) for i, _, x in docs if x < 2}
+
+
+def test_shards_that_fit_already_are_not_rewritten(spark, tmp_path):
+    docs = [(i, prose(i, 20), i % 2) for i in range(200)]
+    path, out = str(tmp_path / "old"), str(tmp_path / "new")
+    spark.createDataFrame(docs, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    size = [sum(len(t) + 1 for _, t, x in docs if x == s) for s in range(2)]
+    assert sharding.rewrite_shards(spark, path, out, size) == [0, 1]
+    assert [p.name for p in (tmp_path / "new").iterdir() if not p.name.startswith(".")] == ["_layout"]
+    got = sharding.read_shards(spark, out, "doc_id long, text string").collect()
+    assert sorted((r.doc_id, r.shard) for r in got) == [(i, x) for i, _, x in docs]
+
+
+def test_written_shards_hold_what_the_plan_says(spark, awkward):
+    more = [(100 + i, prose(i, 5 + i % 30), "en", "hot" if i % 3 else f"s{i}", 1) for i in range(400)]
+    for df in (awkward, spark.createDataFrame([*AWKWARD, *more], SCHEMA)):
+        names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+        planned = sharding.reshard(df, sharding.source_shard(F.col("source"), 8), 8).select(*names)
+        written = sharding.shards_by_bytes(df, 8).select(*names)
+        assert sorted(map(repr, written.collect())) == sorted(map(repr, planned.collect()))
 
 
 # Empty tables --------------------------------------------------------------------------
