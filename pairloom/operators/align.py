@@ -7,28 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordinal import div
+from pairloom.operators.ordinal import broadcast_blocks, div
 
-#: Lines of one pair that stay together when its sides are zipped.
+#: Most lines of one pair that stay together when its sides are zipped.
 ZIP_CHUNK = 250_000
 
 
-def zip_sides(lines: DataFrame, mode: str = "inner", chunk: int = ZIP_CHUNK) -> DataFrame:
+def zip_sides(
+    lines: DataFrame,
+    mode: str = "inner",
+    chunk: int = ZIP_CHUNK,
+    cuts: DataFrame | None = None,
+    max_cuts: int | None = None,
+) -> DataFrame:
     """Put line ``i`` of ``src`` next to line ``i`` of ``trg``.
 
     ``lines``: lang_pair, split, side, ord, text. ``inner`` stops at the shorter side,
-    ``strict`` makes uneven sides an error.
+    ``strict`` makes uneven sides an error. ``cuts`` and ``max_cuts`` as in :func:`zip_runs`.
 
-    Both sides travel in one shuffle on (pair, split, run of ``chunk`` positions) and
+    Both sides travel in one shuffle on (pair, split, run) and
     meet in an aggregation there. The result is sorted by position inside each run,
     which is the layout ``sinks.write_pairs`` wants: zipping and writing share the
     shuffle, and a pair of any size is spread over its runs.
     """
-    keys = ["lang_pair", "split", "_chunk", "ord"]
+    run = ["_chunk"] if cuts is None else ["_chunk", "_part"]
+    keys = ["lang_pair", "split", *run, "ord"]
     side = F.col("side")
     zipped = (
-        lines.withColumn("_chunk", div("ord", chunk))
-        .repartition("lang_pair", "split", "_chunk")
+        zip_runs(lines, chunk, cuts, max_cuts)
+        .repartition("lang_pair", "split", *run)
         .groupBy(*keys)
         .agg(
             F.max(F.when(side == "src", F.col("text"))).alias("source_text"),
@@ -36,7 +43,27 @@ def zip_sides(lines: DataFrame, mode: str = "inner", chunk: int = ZIP_CHUNK) ->
         )
     )
     both = F.col("source_text").isNotNull() & F.col("target_text").isNotNull()
-    return _keep(zipped, both, mode).drop("_chunk")
+    return _keep(zipped, both, mode).drop(*run)
+
+
+def zip_runs(
+    lines: DataFrame, chunk: int = ZIP_CHUNK, cuts: DataFrame | None = None, max_cuts: int | None = None
+) -> DataFrame:
+    """Add the run a position belongs to: ``_chunk`` for ``chunk`` positions and, with ``cuts``, ``_part`` of it.
+
+    ``cuts`` (``lang_pair, split, at``, of either side) are positions at which a read block begins. As a run goes
+    on behind none, it has at most one block's bytes of each side, however long the lines are. A row looks
+    at the cuts of its own chunk only, of which ordinary text has one or none. ``max_cuts`` bounds their number, which
+    decides whether they are broadcast.
+    """
+    placed = lines.withColumn("_chunk", div("ord", chunk))
+    if cuts is None:
+        return placed
+    keys = ["lang_pair", "split", "_chunk"]
+    by_chunk = cuts.withColumn("_chunk", div("at", chunk)).groupBy(*keys).agg(F.collect_set("at").alias("_cuts"))
+    passed = F.size(F.filter("_cuts", lambda at: at <= F.col("ord")))
+    joined = placed.join(broadcast_blocks(by_chunk, max_cuts), keys, "left")
+    return joined.withColumn("_part", F.coalesce(passed, F.lit(0))).drop("_cuts")
 
 
 def zip_rows(

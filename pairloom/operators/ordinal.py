@@ -122,11 +122,29 @@ def dense_ordinal(
     return rank_in_slots(df, keys, div(order, width), [order], out, counts)
 
 
+def block_offsets(lines: DataFrame, keys: Sequence[str], named: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``file, block, keys, _n, _first, _offset`` of each read block: the number of its first line within ``keys``."""
+    blocks = named(
+        lines.groupBy("file", "block").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")
+        )
+    )
+    # a longer shard name means later: numbers have at least five digits
+    earlier = _sum_before("_n", keys or [F.lit(0)], F.length("shard"), "shard", "block")
+    return blocks.select("file", "block", *keys, "_n", "_first", earlier.alias("_offset"))
+
+
+def broadcast_blocks(df: DataFrame, max_blocks: int | None) -> DataFrame:
+    """``df``, which has a row for each block at most, broadcast if the bound of their number allows it."""
+    return F.broadcast(df) if max_blocks is not None and max_blocks <= BROADCAST_BLOCKS else df
+
+
 def with_ordinal(
     lines: DataFrame,
     keys: Sequence[str],
     named: Callable[[DataFrame], DataFrame],
     max_blocks: int | None = None,
+    offsets: DataFrame | None = None,
 ) -> DataFrame:
     """Line numbers within ``keys`` for lines as ``sources.files.raw_lines`` gives them.
 
@@ -139,22 +157,16 @@ def with_ordinal(
 
     ``max_blocks`` is a proven upper bound of the number of blocks, known from the file
     sizes. Up to a limit the table of blocks is broadcast; above it, or without a
-    bound, the join is left to the optimizer.
+    bound, the join is left to the optimizer. ``offsets`` are the :func:`block_offsets` of the same lines, for callers that
+    use them twice.
 
     Both passes must cut files at the same bytes, which ``raw_lines`` sees to; every line is checked against its
     block and a mismatch is an error.
     """
     keys = list(keys)
-    blocks = named(
-        lines.groupBy("file", "block").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first")
-        )
-    )
-    # a longer shard name means later: numbers have at least five digits
-    earlier = _sum_before("_n", keys or [F.lit(0)], F.length("shard"), "shard", "block")
-    offsets = blocks.select("file", "block", *keys, "_n", "_first", earlier.alias("_offset"))
-    if max_blocks is not None and max_blocks <= BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
+    if offsets is None:
+        offsets = block_offsets(lines, keys, named)
+    offsets = broadcast_blocks(offsets, max_blocks)
     step = F.col("seq") - F.col("_first")
     joined = lines.join(offsets, ["file", "block"], "left")
     same_cut = F.col("_n").isNotNull() & step.between(0, F.col("_n") - 1)

@@ -10,6 +10,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import canonical_split, is_pair_name, left_code, right_code, strip_text
 from pairloom.operators.align import unmatched_counts, zip_sides
-from pairloom.operators.ordinal import with_ordinal
+from pairloom.operators.ordinal import block_offsets, with_ordinal
+from pairloom.operators.sizing import settle
 from pairloom.schema import CATALOG, STORED_PAIR
 
 _SIDE_PATH = r"/([^/]+)/(train|val|dev|test)\.(src|trg)(\.gz)?(?:/([^/]+?)(\.gz)?)?$"
@@ -204,6 +206,17 @@ def numbered_lines(
     A side that is one gz file is numbered as it is unpacked. Other files are cut into blocks, which are counted in a pass
     before.
     """
+    numbered = _numbered(spark, catalog, dev, one_sided)
+    return None if numbered is None else numbered.lines
+
+
+class _Numbered(NamedTuple):
+    lines: DataFrame
+    cuts: DataFrame | None  #: positions at which blocks begin: lang_pair, split, at
+    max_cuts: int
+
+
+def _numbered(spark: SparkSession, catalog: DataFrame, dev: str, one_sided: bool) -> _Numbered | None:
     # file names are driver metadata: Spark's own file index holds them there too
     files = choose_files(catalog, dev, one_sided).select("lang_pair", "split", "side", "path", "bytes", "is_gz").collect()
     if not files:
@@ -212,15 +225,19 @@ def numbered_lines(
     shards = Counter(f[:3] for f in files)
     whole = [f for f in files if f.is_gz and shards[f[:3]] == 1]
     rest = [f for f in files if not (f.is_gz and shards[f[:3]] == 1)]
-    parts = []
+    parts, cuts, bound = [], None, 0
     if rest:
         bound = block_bound(spark, [f.bytes for f in rest])
-        parts.append(with_ordinal(raw_lines(spark, [f.path for f in rest]), keys, with_side, bound))
+        lines = raw_lines(spark, [f.path for f in rest])
+        # counted once, for the numbers and for the cuts
+        blocks = settle(block_offsets(lines, keys, with_side)).df
+        parts.append(with_ordinal(lines, keys, with_side, bound, blocks))
+        cuts = blocks.select("lang_pair", "split", F.col("_offset").alias("at"))
     if whole:
         named = with_side(numbered_files(spark, [f.path for f in whole]))
         parts.append(named.select(*keys, "text", "ord"))
     numbered = reduce(DataFrame.unionByName, parts)
-    return numbered.withColumn("text", strip_text("text"))
+    return _Numbered(numbered.withColumn("text", strip_text("text")), cuts, bound)
 
 
 def read_aligned(
@@ -233,14 +250,13 @@ def read_aligned(
     :func:`skipped_splits`), ``strict`` fails on uneven sides, a missing or empty one included,
     ``report`` returns line counts per pair and split instead.
     """
-    lines = numbered_lines(spark, catalog, dev, one_sided=mode != "inner")
+    numbered = _numbered(spark, catalog, dev, one_sided=mode != "inner")
     if mode == "report":
-        if lines is None:
-            lines = spark.createDataFrame([], "lang_pair string, split string, side string")
-        return unmatched_counts(lines)
-    if lines is None:
+        empty = "lang_pair string, split string, side string"
+        return unmatched_counts(spark.createDataFrame([], empty) if numbered is None else numbered.lines)
+    if numbered is None:
         return spark.createDataFrame([], STORED_PAIR)
-    return zip_sides(lines, mode).select(
+    return zip_sides(numbered.lines, mode, cuts=numbered.cuts, max_cuts=numbered.max_cuts).select(
         "lang_pair",
         "split",
         "ord",

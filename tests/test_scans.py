@@ -2,12 +2,13 @@
 
 import gzip
 import random
+import re
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from pairloom.operators import order, sizing
+from pairloom.operators import align, order, sizing
 from pairloom.sources import files
 
 
@@ -65,6 +66,36 @@ def test_a_packed_file_is_unpacked_once(spark, tmp_path, conf):
     assert plan(numbered).count("FileScan text") == 1 and "HashAggregate" not in plan(numbered)
 
 
+def test_runs_are_cut_by_bytes(spark, tmp_path, conf):
+    conf("spark.sql.files.maxPartitionBytes", "65536b")
+    conf("spark.sql.files.openCostInBytes", "1000")
+    # lines of a thousand times the usual length in the middle, at other places on each side
+    def line(side, i, lo, hi):
+        return f"{side} {i} " + "x" * (8000 if lo <= i < hi else 8)
+
+    made = {"src": [line("s", i, 1000, 1200) for i in range(3000)], "trg": [line("t", i, 1100, 1400) for i in range(3000)]}
+    for side, of in made.items():
+        put(tmp_path / "a-b" / f"train.{side}", of)
+    catalog = files.list_pairs(spark, str(tmp_path))
+    read = files.read_aligned(spark, catalog, mode="strict")
+    got = read.orderBy("ord").select("ord", "source_text", "target_text").collect()
+    assert [tuple(r) for r in got] == [(i, s, t) for i, (s, t) in enumerate(zip(made["src"], made["trg"]))]
+    numbered = files._numbered(spark, catalog, "fallback", False)
+    runs = align.zip_runs(numbered.lines, 500, numbered.cuts, numbered.max_cuts).groupBy("_chunk", "_part")
+    sizes = runs.agg(F.sum(F.octet_length("text") + 1).alias("size"), F.min("ord"), F.max("ord"), F.count("*")).collect()
+    assert sum(r["count(1)"] for r in sizes) == 6000
+    assert all(r["max(ord)"] - r["min(ord)"] < 500 and r["count(1)"] <= 1000 for r in sizes)
+    # a block of each side, and the line that each block's last one may run over by
+    assert max(r["size"] for r in sizes) <= 2 * (65536 + 8010)
+    # by rows alone a run would have been far over it
+    assert sum(len(x) for of in made.values() for x in of[1000:1500]) > 20 * 65536
+    # the shuffle is still one, and the cuts are broadcast
+    p = plan(read)
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)
+    assert len([e for e in exchanges if "_part" in e]) == 1 and len(exchanges) == 2
+    assert "SortMergeJoin" not in p
+
+
 def test_plain_and_packed_sides_meet(spark, tmp_path):
     put(tmp_path / "a-b" / "train.src", ["one", "two"])
     put(tmp_path / "a-b" / "train.trg.gz", ["eins", "zwei"], packed=True)
