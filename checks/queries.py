@@ -23,14 +23,15 @@ from pairloom import sinks
 from pairloom.functions import text as fx
 from pairloom.functions import tokens as ft
 from pairloom.operators import align, arrays, bleu, cache, codes, counts, order, orient, select
-from pairloom.operators.ordinal import dense_ordinal, head_per_pair
+from pairloom.operators.bitmaps import keep_marked
+from pairloom.operators.ordinal import dense_ordinal, div, head_per_pair
 from pairloom.plans import corpus, training
 from pairloom.schema import STORED_PAIR
 from pairloom.sources import cache as cache_source
 from pairloom.sources import codes as code_source
 from pairloom.sources import files, scores, tables
 from pairloom.streaming import pairs as streams
-from pairloom.workspace import cut_lineage, new_dir
+from pairloom.workspace import cut_lineage, new_dir, set_down
 
 THRESHOLD = 0.95
 LOOSE_THRESHOLD = 0.5
@@ -132,13 +133,20 @@ def ingest_override(spark, sf_dir):
 def dev_files(spark, sf_dir):
     """Line files of three splits: German has ``val`` and ``dev``, French only ``dev``, Spanish ``val`` and an empty ``dev``; what
     is stored as ``val`` comes from ``val`` where it has lines, else from ``dev``."""
-    root, rows = new_dir(spark, "splits"), pairs(spark, sf_dir)
+    root = new_dir(spark, "splits")
+    # written once, read for every file
+    rows = set_down(pairs(spark, sf_dir).select("lang_pair", "ord", "source_text", "target_text"), "pairs")
+    sizes = {r.lang_pair: r.n for r in order.key_sizes(rows).collect()}
     made = {"deu-eng": {"val": 0, "dev": 1}, "eng-fra": {"dev": 1, "train": 0}, "eng-spa": {"val": 2, "train": 0}}
     for pair, splits in made.items():
         for split, third in splits.items():
-            own = rows.filter((F.col("lang_pair") == pair) & (F.col("ord") % 3 == third)).orderBy("ord")
+            # every third of dense positions is dense again
+            own = rows.filter((F.col("lang_pair") == pair) & (F.col("ord") % 3 == third)).withColumn("ord", div("ord", 3))
+            n = (sizes.get(pair, 0) + 2 - third) // 3
             for side, column in (("src", "source_text"), ("trg", "target_text")):
-                own.select(one_line(column).alias("value")).write.text(f"{root}/{pair}/{split}.{side}")
+                value = one_line(column).alias("value")
+                out = f"{root}/{pair}/{split}.{side}"
+                sinks.write_ordered(own.select("ord", value), out, n, pos="ord", rows_per_file=100_000, fmt="text")
     spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/eng-spa/dev.src")
     spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/eng-spa/dev.trg")
     lines = files.read_aligned(spark, files.list_pairs(spark, root), mode="strict")

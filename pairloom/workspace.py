@@ -51,6 +51,14 @@ def scratch_dir(spark: SparkSession, name: str) -> Iterator[str]:
         remove_dir(spark, path)
 
 
+def set_down(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once under the shared folder and read it from there. For wide rows that are used several times: the files are
+    compressed, and each use reads its own columns only, which a checkpoint does not allow."""
+    path = new_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage, so that a lost executor does not make
     Spark run what is above it a second time."""

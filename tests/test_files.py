@@ -201,3 +201,17 @@ def test_scores(spark, root, tmp_path):
     put(root, "bad.txt", "0.5\nx\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         read_scores(spark, {"a-b": f"{root}/bad.txt"}).collect()
+
+
+def test_dev_files_are_written_from_pairs_made_once(spark, monkeypatch):
+    from checks import queries
+
+    plans, write = [], queries.sinks.write_ordered
+
+    def recorded(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *a, **b)
+
+    monkeypatch.setattr(queries.sinks, "write_ordered", recorded)
+    assert queries.dev_files(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 12 and not any("Join" in p or "Window" in p for p in plans)
