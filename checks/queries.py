@@ -674,16 +674,29 @@ def teacher_restart(spark, sf_dir):
     )
 
 
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """``source_text, ord``: every text once, with its smallest position. Where positions tell rows apart they are found by
+    the texts' keys and marked, and texts stay where they are read; else the texts meet, once."""
+    if not rows.groupBy("ord").count().filter("count > 1 or ord < 0").isEmpty():
+        return set_down(rows.groupBy("source_text").agg(F.min("ord").alias("ord")), "first")
+    firsts = cache.with_keys(rows).groupBy("k1", "k2").agg(F.min("ord").alias("ord")).filter("ord is not null")
+    return keep_marked(rows.select("source_text", "ord"), firsts, [])
+
+
 def cache_levels(spark, sf_dir):
     """Ten appends, each with some texts of the ones before: runs are merged on the way, and the last translation counts."""
     root, model, rows = new_dir(spark, "cache"), "some/model", _cache_rows(spark, sf_dir)
-    first = rows.groupBy("source_text").agg(F.min("ord").alias("ord"))
+    first = _first_rows(rows)
     for run in range(10):
         part = first.filter((F.col("ord") % 10 == run) | (F.col("ord") % 7 == run))
         marked = F.concat(F.lit(f"{run}:"), "source_text")
         sinks.append_cache(part.select("source_text", marked.alias("translation")), root, model, run, fan=4)
-    kept = cache.dedup_cache(cache_source.read_cache(spark, root, model))
-    return kept.select(F.md5("source_text").alias("source_md5"), F.md5("translation").alias("target_md5"), "ord")
+    # rows meet by the texts' stored keys; of the texts only what is shown goes along
+    stored = cache_source.read_cache(spark, root, model, keys=True).withColumns(
+        {c: F.md5(c) for c in ("source_text", "translation")}
+    )
+    kept = cache.dedup_cache(stored)
+    return kept.select(F.col("source_text").alias("source_md5"), F.col("translation").alias("target_md5"), "ord")
 
 
 def _write_tsv(spark, sf_dir) -> str:

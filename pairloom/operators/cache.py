@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.bitmaps import keep_marked
 from pairloom.operators.order import batch_id, full_batches
-from pairloom.operators.skew import hot_hashes, text_join
-from pairloom.workspace import cut_lineage
+from pairloom.operators.skew import hot_hashes, text_join, text_keys, with_keys
+from pairloom.workspace import cut_lineage, set_down
 
 Translate = Callable[[list[str]], list[str]]
 
@@ -21,12 +21,19 @@ def dedup_cache(cache: DataFrame, literal: bool = False) -> DataFrame:
 
     ``literal`` first keeps only the first row of every *translation*, which loses
     sources that share one. Both steps are aggregations with map-side partial results,
-    so a text repeated in a third of the rows is folded before the shuffle.
+    so a text repeated in a third of the rows is folded before the shuffle. Of a cache that has its texts' keys ``k1, k2``
+    these are grouped and kept, so a text that is not asked for does not travel.
     """
     if literal:
         cache = cache.groupBy("translation").agg(
             F.min_by("source_text", "ord").alias("source_text"), F.min("ord").alias("ord")
         )
+    if {"k1", "k2"} <= set(cache.columns):
+        return cache.groupBy("k1", "k2").agg(
+            F.any_value("source_text").alias("source_text"),
+            F.max_by("translation", "ord").alias("translation"),
+            F.max("ord").alias("ord"),
+        )
     # a hash leads the key, so that sorts compare numbers before texts
     return (
         cache.groupBy(F.xxhash64("source_text").alias("_hash"), "source_text")
@@ -40,7 +47,8 @@ def lookup(
 ) -> DataFrame:
     """Add ``translation`` and ``hit`` to every request row; ``cache`` has each source
     once (see :func:`dedup_cache`)."""
-    answers = cache.select("source_text", "translation", F.lit(True).alias("hit"))
+    keys = [c for c in ("k1", "k2") if c in cache.columns]
+    answers = cache.select("source_text", *keys, "translation", F.lit(True).alias("hit"))
     found = text_join(req, answers, "source_text", "left", hot)
     return found.withColumn("hit", F.coalesce("hit", F.lit(False))).select(
         *req.columns, "translation", "hit"
@@ -107,16 +115,6 @@ def apply_translator(
     )
 
 
-def text_keys(text: str = "source_text") -> dict[str, Column]:
-    """A text's name in lookups: 128 bits, in two halves."""
-    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second half"), F.col(text))}
-
-
-def with_keys(df: DataFrame, text: str = "source_text") -> DataFrame:
-    """``df`` with ``k1, k2``, which a stored cache has already."""
-    return df if {"k1", "k2"} <= set(df.columns) else df.withColumns(text_keys(text))
-
-
 def missing_texts(
     req: DataFrame, cache: DataFrame, mode: str = "row", batch: int = 32, pos: str = "pos"
 ) -> DataFrame:
@@ -156,13 +154,15 @@ def translate(
 
     Every distinct missing text is sent to ``fn`` once. ``new_rows`` is checkpointed, so
     that using both results, or losing an executor, does not call ``fn`` again for texts
-    already done. ``drop_last`` cuts the trailing partial batch of requests, ``tasks`` is the number of
+    already done; requests are set down with it, as they are read several times. ``drop_last`` cuts the trailing partial batch of requests, ``tasks`` is the number of
     tasks that call ``fn``. A null text has a null translation. A job that dies loses what it had computed; see
     ``plans.training.teacher_stored`` for one that does not.
 
     In ``batch`` mode a text that was computed again has its fresh translation everywhere, also in
     batches that were all hits.
     """
+    if materialize:
+        req = set_down(req.drop("target_text"), "requests")
     if drop_last:
         req = full_batches(req, batch)
     new_rows = apply_translator(missing_texts(req, cache, mode, batch), fn, batch, tasks)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Collection, Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -117,19 +118,20 @@ def append_cache(
         start = state.version
     rows = new_rows.select(F.lit(start).cast("long").alias("ord"), "source_text", "translation")
     rows = with_keys(rows).withColumn("bucket", F.pmod("k1", F.lit(BUCKETS)).cast("int"))
-    _add_run(rows, root, model, "0")
+    _add_run(rows.repartition("bucket"), root, model, "0")
     compact_cache(spark, root, model, fan)
 
 
 def _add_run(
     rows: DataFrame, root: str, model: str, level: str, merged: Sequence[tuple[str, str]] = ()
 ) -> None:
-    """Write ``rows`` as a run and publish it, in the place of ``merged``, which must be all runs of their level."""
+    """Write ``rows``, dealt by bucket, as a run and publish it, in the place of ``merged``, which must be all runs of
+    their level."""
     spark, run = rows.sparkSession, uuid.uuid4().hex
     path = run_path(root, model, level, run)
     # a bucket's rows in one file, or in several if they are many
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "k1", "k2")
-    dealt.write.partitionBy("bucket").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    dealt = rows.sortWithinPartitions("bucket", "k1", "k2").write.partitionBy("bucket")
+    dealt.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "zstd").parquet(path)
     n = read_runs(spark, root, model, [(level, run)]).count()
     key = model_key(model)
 
@@ -157,9 +159,10 @@ def compact_cache(spark: SparkSession, root: str, model: str, fan: int = FAN) ->
         if len(runs) < fan:
             continue
         rows = read_runs(spark, root, model, runs)
-        last = rows.groupBy("bucket", "k1", "k2", "source_text").agg(
-            F.max_by("translation", "ord").alias("translation"), F.max("ord").alias("ord")
-        )
+        # what meets in a group lies in one bucket's folders, and so does what is written: a task takes a bucket as it lies,
+        # and nothing is shuffled
+        buckets = (rows.filter(F.col("bucket") == b).coalesce(1) for b in range(BUCKETS))
+        last = reduce(DataFrame.union, (_last_rows(own) for own in buckets))
         try:
             _add_run(last, root, model, str(level + 1), runs)
             merged += 1
@@ -168,6 +171,12 @@ def compact_cache(spark: SparkSession, root: str, model: str, fan: int = FAN) ->
     return merged
 
 
+def _last_rows(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bucket", "k1", "k2", "source_text").agg(
+        F.max_by("translation", "ord").alias("translation"), F.max("ord").alias("ord")
+    )
+
+
 def write_ordered(
     df: DataFrame,
     out: str,

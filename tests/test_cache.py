@@ -104,3 +104,29 @@ def test_tsv(spark, tmp_path):
     path.write_text('x\t1\n\n"q\tNA\nonly\na\tb\tc\nx\t2\n')
     assert rows(source.read_cache_tsv(spark, str(path))) == [(0, "x", "1"), (2, '"q', "NA"), (5, "x", "2")]
     assert rows(source.count_bad_lines(spark, str(path))) == [(5, 2)]
+
+
+def test_requests_are_computed_once(spark):
+    """Requests are read for missing texts, hot texts and answers, but made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"t{i % 3}"
+
+    asked = spark.range(20).select(F.col("id").alias("pos"), text.asNondeterministic()("id").alias("source_text"))
+    result, _ = cache.translate(asked, entries(spark, ("t0", "T0")), lambda texts: [t.upper() for t in texts], batch=4)
+    assert [r.target_text for r in result.orderBy("pos").collect()] == [f"T{i % 3}" for i in range(20)]
+    assert made.value == 20
+
+
+def test_texts_travel_only_if_asked_for(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    asked = spark.createDataFrame([(0, "x"), (1, None), (2, "y"), (3, "z")], "pos long, source_text string")
+    known = cache.dedup_cache(cache.with_keys(entries(spark, ("x", "1"), ("x", "2"), (None, "n"), ("z", None))))
+    found = cache.lookup(asked, known, ())
+    assert rows(found) == [(0, "x", "2", True), (1, None, None, False), (2, "y", None, False), (3, "z", None, True)]
+    plan = found.select("pos", "translation")._jdf.queryExecution().executedPlan().toString()
+    # the cache is shuffled once, to be grouped and joined by its keys
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -205,3 +205,30 @@ def test_whole_batches_are_translated_again(spark, tmp_path):
     asked = requests(spark, "a", "b", "c", "c", "a", "a")
     made = training.teacher_stored(asked, root, "m", lambda t: ["new"] * len(t), batch=2, mode="batch", portion=1)
     assert rows(made, "pos", "target_text") == [(0, "new"), (1, "new"), (2, "old"), (3, "old"), (4, "new"), (5, "new")]
+
+
+def test_merging_runs_shuffles_nothing(spark, tmp_path, monkeypatch):
+    root, model, plans = str(tmp_path), "m", []
+    add = sinks._add_run
+    monkeypatch.setattr(sinks, "_add_run", lambda rows_, *a: (plans.append(plan(rows_)), add(rows_, *a)))
+    for run in range(4):
+        part = [(f"s{i}", f"{run}:{i}") for i in range(100) if i % 10 == run or i % 7 == run]
+        sinks.append_cache(translations(spark, *part), root, model, run, fan=4)
+    assert len(plans) == 5 and "Exchange hashpartitioning" not in plans[-1]
+    assert [r[0] for r in cache_runs(spark, root, model)] == ["1"]
+    expected = [(f"s{i}", f"{max(run for run in range(4) if i % 10 == run or i % 7 == run)}:{i}")
+                for i in range(100) if i % 10 < 4 or i % 7 < 4]
+    assert rows(read_cache(spark, root, model), "source_text", "translation") == sorted(expected)
+
+
+@pytest.mark.parametrize("more", [[], [(5, "d"), (None, "e"), (9, None)], [(0, "b"), (7, "a"), (7, "a")], [(-3, "c")]])
+def test_first_rows_of_texts(spark, more):
+    from checks.queries import _first_rows
+
+    data = [(7 - i if i < 3 else 40_000 + i, t) for i, t in enumerate("abcabx")] + more
+    df = spark.createDataFrame(data, "ord long, source_text string")
+    expected = {t: min((o for o, u in data if u == t and o is not None), default=None) for _, t in data}
+    assert dict((r.source_text, r.ord) for r in _first_rows(df).filter("ord is not null").collect()) == {
+        t: o for t, o in expected.items() if o is not None
+    }
+    assert _first_rows(df).filter("ord is not null").count() == sum(o is not None for o in expected.values())
