@@ -649,12 +649,12 @@ def cache_store(spark, sf_dir):
 
 def teacher_restart(spark, sf_dir):
     """A translator that is gone when it meets a certain text; the next one, which marks its work, gets what is left."""
-    root, model, texts = new_dir(spark, "cache"), "some/model", _texts(spark, sf_dir)
-    key = cache.text_keys()["k1"]
-    wanted = texts.select("source_text", F.pmod(key, F.lit(4)).alias("part")).distinct()
+    root, model = new_dir(spark, "cache"), "some/model"
+    texts = set_down(_texts(spark, sf_dir), "texts")
+    keyed = cache.with_keys(texts)
     # a text of the third of four portions
-    last = wanted.filter("part = 2").agg(F.min("source_text")).first()[0]
-    portion = -(-wanted.count() // 4)
+    last = keyed.filter(F.pmod("k1", F.lit(4)) == 2).agg(F.min("source_text")).first()[0]
+    portion = -(-keyed.select("k1", "k2").distinct().count() // 4)
 
     def fails(chunk: list[str]) -> list[str]:
         if last in chunk:

@@ -39,7 +39,7 @@ from pairloom.operators.select import (
 )
 from pairloom.sinks import append_cache
 from pairloom.sources.cache import read_cache
-from pairloom.workspace import new_dir
+from pairloom.workspace import new_dir, set_down
 
 #: Texts that are translated before they are stored.
 PORTION = 1_000_000
@@ -157,21 +157,20 @@ def teacher_stored(
     spark = rows.sparkSession
     if drop_last:
         rows = full_batches(rows, batch)
-    path = new_dir(spark, "missing")
     todo = with_keys(missing_texts(rows, read_cache(spark, root, model, keys=True), mode, batch))
-    todo.select("k1", "source_text").write.parquet(path)
-    todo = spark.read.parquet(path)
+    # which positions lack an answer is settled, so they are counted without their texts, which are written once, as dealt
     portions = -(-todo.count() // portion)
     if portions > 1:
         dealt = new_dir(spark, "portions")
         part = F.pmod("k1", F.lit(portions)).cast("int")
-        todo.withColumn("part", part).repartition("part", F.pmod(F.hash("k1"), F.lit(8))).write.partitionBy("part").parquet(dealt)
+        split = todo.select("k1", "source_text", part.alias("part")).repartition("part", F.pmod(F.hash("k1"), F.lit(8)))
+        split.write.partitionBy("part").option("compression", "zstd").parquet(dealt)
         parts = [spark.read.parquet(f"{dealt}/part={i}") for i in _numbers(spark, dealt)]
     else:
-        parts = [todo] * portions
+        parts = [set_down(todo.select("k1", "source_text"), "missing")] * portions
     for texts in parts:
         append_cache(apply_translator(texts, fn, batch, tasks), root, model)
-    return answered(rows, dedup_cache(read_cache(spark, root, model)))
+    return answered(rows, dedup_cache(read_cache(spark, root, model, keys=True)))
 
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
