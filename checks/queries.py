@@ -885,7 +885,7 @@ def training_rows(spark, sf_dir):
 
 def training_teacher(spark, sf_dir):
     """Training rows with the teacher's targets, full batches only."""
-    rows = pairs(spark, sf_dir)
+    rows = set_down(pairs(spark, sf_dir), "pairs")
     dim = code_source.code_dimension(spark, DIMENSION)
     languages = training.resolve_languages(dim, rows.select("lang_pair").distinct(), ANCHOR)
     made = training.training_rows(rows, languages, dim, sides=SIDES)
